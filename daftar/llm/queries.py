@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daftar.llm import chunk, leak, lookalike, overlap, spam, tokenize
+from daftar.llm import chunk, cutoff, leak, lookalike, overlap, pairs, scans, spam, tokenize
 from daftar.session import table
 
 
@@ -38,6 +38,16 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_counts(questions, overlap.split_overlaps(questions))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "answer_rows"), table(spark, d, "questions"))
+
+
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "answer_rows").select("answer_no", "model").dropDuplicates(["answer_no"])
+    found = p4_found(spark, d)
+    return rows.join(found, "answer_no", "left").groupBy("model", "defect").agg(F.count("*").alias("answers"))
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for name, key in (("articles", "article_ref"), ("chunks", "id")):
@@ -56,6 +66,27 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).drop("no_space")
 
 
+def _scans(spark: SparkSession, d: str) -> DataFrame:
+    clean = table(spark, d, "articles").select("text").unionByName(table(spark, d, "chunks").select("text"))
+    return scans.repaired_pages(table(spark, d, "ocr_pages"), clean)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noisy_lines(_scans(spark, d))
+
+
+def p6_text(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).select("page_key", "repaired")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.cut_values(table(spark, d, "answer_rows"), table(spark, d, "questions"))
+
+
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    return cutoff.cut_rates(table(spark, d, "answer_rows"), table(spark, d, "questions"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.token_ids(table(spark, d, "documents"), "doc_id", "text")
 
@@ -81,7 +112,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_articles, p1_questions, p3_found, p3_counts, p5_found, p5_pieces, p8_ids, p9_found, p9_report, p10_found, p10_shares)
+    f.__name__: f for f in (p1_found, p1_articles, p1_questions, p3_found, p3_counts, p4_found, p4_counts, p5_found, p5_pieces, p6_found, p6_text, p7_found, p7_rates, p8_ids, p9_found, p9_report, p10_found, p10_shares)
 }
 
 #: Where SQL can say the same over whole tables.
