@@ -1,28 +1,706 @@
-"""Query names of the core -> (callable, oracle SQL or None)."""
+"""Query names of the core -> (callable, SQL twin).
+
+Searches ask with every row whose id is divisible by 100, against all rows; every other query runs over its whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from daftar.operators import drift
-from daftar.session import table
+from daftar.functions import citations as ci
+from daftar.functions import text as tx
+from daftar.operators import answers as an
+from daftar.operators import dense, drift, evaluate, fusion, identity, lexical, ocr, quality, segment
+from daftar.plans import sql
+from daftar.session import spread, table
+from daftar.streaming import limits
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return drift.schema_changes(table(spark, d, "run_lines")).select("file_name", "change_kind", "old_path", "new_path").distinct()
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
 
+    return add
 
-def p2_changes(spark: SparkSession, d: str) -> DataFrame:
-    return drift.schema_changes(table(spark, d, "run_lines"), moves=True)
 
+# --- tables, one row a key --------------------------------------------------------------------------
 
-def p2_table(spark: SparkSession, d: str) -> DataFrame:
-    return drift.consistent_table(table(spark, d, "run_lines"))
 
+def articles(s: SparkSession, d: str) -> DataFrame:
+    return spread(table(s, d, "articles")).select("article_ref", "id", "text", "search_text", "char_len", "law_name", "source_file").dropDuplicates(["article_ref"])
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_changes, p2_table)}
-ORACLES: dict[str, str] = {}
+
+def questions(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "questions").dropDuplicates(["id"])
+
+
+def answers(s: SparkSession, d: str) -> DataFrame:
+    return spread(table(s, d, "answer_rows")).dropDuplicates(["answer_no"])
+
+
+def asked(s: SparkSession, d: str) -> DataFrame:
+    """The stated query set: questions whose number is divisible by 100."""
+    return questions(s, d).where("cast(substring(id, 2) as bigint) % 100 = 0 and question is not null")
+
+
+A = "(SELECT DISTINCT article_ref, id, text, search_text, char_len, law_name, source_file FROM articles)"
+Q = "(SELECT DISTINCT id, category, question, expected_articles, expected_keywords, answerable, split, source FROM questions)"
+ASKED = f"(SELECT * FROM {Q} WHERE CAST(substr(id, 2) AS BIGINT) % 100 = 0 AND question IS NOT NULL)"
+R = "(SELECT DISTINCT ON (answer_no) * FROM answer_rows)"
+DOC_TERMS = f"SELECT article_ref AS id, {sql.search_tokens('text')} AS ts FROM {A} WHERE text IS NOT NULL"
+QUERY_TERMS = f"SELECT id AS query_id, {sql.search_tokens('question')} AS ts FROM {ASKED}"
+DOC_CONTENT = f"SELECT article_ref AS id, {sql.content_tokens('text')} AS ts FROM {A} WHERE text IS NOT NULL"
+QUERY_CONTENT = f"SELECT id AS query_id, {sql.content_tokens('question')} AS ts FROM {ASKED}"
+
+
+def _terms(c: str) -> Column:
+    return tx.search_tokens(F.col(c), compat=False)
+
+
+def _content(c: str) -> Column:
+    return tx.content_tokens(F.col(c), compat=False)
+
+
+def _bm25(s: SparkSession, d: str, k: int, terms: Callable[[str], Column] = _terms) -> DataFrame:
+    return lexical.bm25(asked(s, d), "id", terms("question"), articles(s, d).where("text is not null"), "article_ref", terms("text"), k)
+
+
+# --- text functions ---------------------------------------------------------------------------------
+
+
+@query(f"SELECT article_ref, {sql.evaluation('text')} AS evaluation, {sql.orthographic('text')} AS orthographic FROM {A}")
+def normalize_articles(s: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return articles(s, d).select("article_ref", tx.evaluation_form(t, compat=False).alias("evaluation"), tx.orthographic_form(t, compat=False).alias("orthographic"))
+
+
+@query()
+def normalize_articles_nfkc(s: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return articles(s, d).select("article_ref", tx.evaluation_form(t).alias("evaluation"), tx.search_form(t).alias("search"))
+
+
+@query(f"SELECT article_ref, array_to_string({sql.search_tokens('text')}, ' ') AS search FROM {A}")
+def search_normalize_articles(s: SparkSession, d: str) -> DataFrame:
+    return articles(s, d).select("article_ref", tx.search_form(F.col("text"), compat=False).alias("search"))
+
+
+@query(f"SELECT id, array_to_string({sql.content_tokens('question')}, ' ') AS tokens, CAST(len({sql.content_tokens('question')}) AS BIGINT) AS n FROM {Q} WHERE question IS NOT NULL")
+def content_tokens_questions(s: SparkSession, d: str) -> DataFrame:
+    ts = _content("question")
+    return questions(s, d).where("question is not null").select("id", F.array_join(ts, " ").alias("tokens"), F.size(ts).cast("bigint").alias("n"))
+
+
+_EDGE = "[،.:؛()\"'“”]+"
+_STRIPPED = f"list_transform(list_filter(string_split_regex(text, {sql.q(tx.SPACE + '+')}), lambda t: t <> ''), lambda t: regexp_replace(t, {sql.q(f'^{_EDGE}|{_EDGE}$')}, '', 'g'))"
+_VOCABULARY = f"SELECT term, count(*) AS n FROM (SELECT unnest({_STRIPPED}) AS term FROM {A}) WHERE term <> '' GROUP BY term"
+
+
+@query(_VOCABULARY)
+def vocabulary_counts(s: SparkSession, d: str) -> DataFrame:
+    return quality.vocabulary(articles(s, d))
+
+
+@query(f"""SELECT article_ref, substr(text, 1, 280) AS snippet, CAST(length({sql.replace_all('text', tx.SPACE)}) AS BIGINT) AS visible,
+    coalesce(TRY_CAST(regexp_extract(id, '^law-(\\d+)$', 1) AS BIGINT), 0) AS number, CAST(coalesce(TRY_CAST(regexp_extract(article_ref, '(\\d+)', 1) AS INTEGER), 0) AS BIGINT) AS place,
+    {sql.typist('text', 'all')} AS typed, {sql.replace_all('text', tx.INVISIBLE)} AS shown, regexp_matches(text, {sql.q(tx.DIRECTION)}) AS override,
+    array_to_string(regexp_extract_all(text, {sql.q('(' + tx.DIGIT_RUN + ')')}, 1), ' ') AS digits FROM {A} WHERE text IS NOT NULL""")
+def scalar_functions(s: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return articles(s, d).where("text is not null").select(
+        "article_ref", tx.snippet(t).alias("snippet"), tx.visible_length(t).cast("bigint").alias("visible"), F.coalesce(tx.article_number(F.col("id")).cast("bigint"), F.lit(0)).alias("number"),
+        tx.page_order(F.col("article_ref")).cast("bigint").alias("place"), tx.typist_form(t, "all").alias("typed"), tx.strip_invisible(t).alias("shown"),
+        tx.has_override(t).alias("override"), F.array_join(tx.digit_tokens(t), " ").alias("digits"),
+    )
+
+
+@query()
+def unsafe_text(s: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    rows = answers(s, d).where("text is not null").select("answer_no", tx.has_unsafe_gap(t).alias("gap"), tx.has_override(t).alias("override"), tx.tidy(t).alias("tidy"))
+    return rows.select("answer_no", "gap", "override", F.md5("tidy").alias("tidy_md5"))
+
+
+@query(f"SELECT DISTINCT law_name FROM {A} WHERE law_name <> ''")
+def law_names(s: SparkSession, d: str) -> DataFrame:
+    return articles(s, d).where("law_name <> ''").select("law_name").distinct()
+
+
+# --- lexical search ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {sql.bm25(QUERY_TERMS, DOC_TERMS, 5)} SELECT query_id, id, rank, score FROM hits")
+def bm25_topk(s: SparkSession, d: str) -> DataFrame:
+    return _bm25(s, d, 5)
+
+
+@query(f"WITH {sql.bm25(QUERY_TERMS, DOC_TERMS, 5)} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def bm25_term_stats(s: SparkSession, d: str) -> DataFrame:
+    docs, terms = articles(s, d).where("text is not null"), _terms("text")
+    stats = lexical.term_stats(lexical.postings(docs, "article_ref", terms), lexical.corpus_stats(docs, terms))
+    return stats.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+def _expected(s: SparkSession, d: str) -> DataFrame:
+    return asked(s, d).where("size(expected_articles) > 0").select(F.col("id").alias("query_id"), F.explode("expected_articles").alias("id"))
+
+
+def _by_id(s: SparkSession, d: str, hits: DataFrame) -> DataFrame:
+    ids = articles(s, d).select("article_ref", F.col("id").alias("article"))
+    return hits.join(ids, hits["id"] == ids["article_ref"]).groupBy("query_id", F.col("article").alias("id")).agg(F.min("rank").alias("rank"))
+
+
+def _scores(s: SparkSession, d: str, k: int) -> DataFrame:
+    return evaluate.per_question(_expected(s, d), _by_id(s, d, _bm25(s, d, k)), k)
+
+
+def _scores_sql(k: int) -> str:
+    return f"""{sql.bm25(QUERY_TERMS, DOC_TERMS, k)},
+        by_id AS (SELECT h.query_id, a.id, min(rank) AS rank FROM hits h JOIN {A} a ON h.id = a.article_ref GROUP BY ALL),
+        wanted AS (SELECT id AS query_id, unnest(expected_articles) AS id FROM {ASKED} WHERE len(expected_articles) > 0),
+        scores_q AS (SELECT query_id, round(avg(CASE WHEN rank IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS recall, round(coalesce(1.0::DOUBLE / min(rank), 0.0::DOUBLE), 6) AS rr
+            FROM wanted LEFT JOIN by_id USING (query_id, id) GROUP BY query_id)"""
+
+
+@query(f"WITH {_scores_sql(5)} SELECT query_id, recall, rr FROM scores_q")
+def bm25_recall(s: SparkSession, d: str) -> DataFrame:
+    return _scores(s, d, 5)
+
+
+@query(f"""WITH {_scores_sql(5)},
+    rows_q AS (SELECT q.id, q.category, q.answerable, s.recall, s.rr, q.answerable AND s.recall IS NOT NULL AS scored FROM {ASKED} q LEFT JOIN scores_q s ON q.id = s.query_id)
+    SELECT CASE WHEN grouping(category) = 1 THEN 'TOTAL' ELSE coalesce(category, '(none)') END AS category, count(*) AS questions, count(*) FILTER (scored) AS scored,
+        round(avg(recall) FILTER (scored), 4) AS recall, round(avg(rr) FILTER (scored), 4) AS mrr FROM rows_q GROUP BY ROLLUP (category)""")
+def bm25_scoreboard(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.scoreboard(asked(s, d).select(F.col("id").alias("query_id"), "category", "answerable"), _scores(s, d, 5))
+
+
+_RRF = f"""a AS (WITH {sql.bm25(QUERY_TERMS, DOC_TERMS, 20)} SELECT * FROM hits), b AS (WITH {sql.bm25(QUERY_CONTENT, DOC_CONTENT, 20)} SELECT * FROM hits),
+    fused AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL),
+    best AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, score FROM fused)"""
+
+
+def _fused(s: SparkSession, d: str, k: int) -> DataFrame:
+    return fusion.reciprocal_rank_fusion([_bm25(s, d, 20), _bm25(s, d, 20, _content)], k)
+
+
+@query(f"WITH {_RRF} SELECT query_id, id, rank, score FROM best WHERE rank <= 5")
+def rrf_fusion(s: SparkSession, d: str) -> DataFrame:
+    return _fused(s, d, 5)
+
+
+@query(f"""WITH {_RRF}, wanted AS (SELECT id AS query_id, unnest(expected_articles) AS id FROM {ASKED} WHERE len(expected_articles) > 0),
+    by_id AS (SELECT h.query_id, a.id, min(rank) AS rank FROM best h JOIN {A} a ON h.id = a.article_ref WHERE rank <= 20 GROUP BY ALL),
+    per_q AS (SELECT query_id, avg(CASE WHEN rank IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) AS recall FROM wanted LEFT JOIN by_id USING (query_id, id) GROUP BY query_id)
+    SELECT count(*) AS questions, round(avg(recall), 6) AS ceiling FROM per_q""")
+def candidate_ceiling(s: SparkSession, d: str) -> DataFrame:
+    scores = evaluate.per_question(_expected(s, d), _by_id(s, d, _fused(s, d, 20)), 20, decimals=12)
+    return scores.agg(F.count("*").alias("questions"), F.round(F.avg("recall"), 6).alias("ceiling"))
+
+
+@query(f"""WITH {_RRF}, t AS ({DOC_CONTENT}), qq AS ({QUERY_CONTENT}),
+    scored AS (SELECT b.query_id, b.id, round(CASE WHEN len(qq.ts) > 0 THEN CAST(len(list_filter(qq.ts, lambda x: list_contains(t.ts, x))) AS DOUBLE) / len(qq.ts) ELSE 0.0 END, 4) AS score
+        FROM best b JOIN t ON b.id = t.id JOIN qq ON b.query_id = qq.query_id WHERE b.rank <= 20)
+    SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, score FROM scored) WHERE rank <= 5""")
+def rerank_overlap(s: SparkSession, d: str) -> DataFrame:
+    texts = articles(s, d).select(F.col("article_ref").alias("id"), "text")
+    return fusion.rerank(_fused(s, d, 20), texts, asked(s, d).select(F.col("id").alias("query_id"), F.col("question").alias("query")), fusion.containment(_content("query"), _content("text")), 5)
+
+
+def _sweep(s: SparkSession, d: str) -> DataFrame:
+    """(form, query_id, article, rank): ranks of the expected articles under each spelling."""
+    forms = ["as_written", *tx.TYPIST_FORMS, "all"]
+    rows = asked(s, d).select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("form"), tx.typist_form(F.col("question"), f).alias("question")) for f in forms])).alias("x")).select(F.struct("x.form", "id").alias("key"), "x.question")
+    hits = lexical.bm25(rows, "key", _terms("question"), articles(s, d).where("text is not null"), "article_ref", _terms("text"), 20)
+    found = _by_id(s, d, hits).select("query_id.form", F.col("query_id.id").alias("query_id"), F.col("id").alias("article"), "rank")
+    wanted = _expected(s, d).select("query_id", F.col("id").alias("article")).distinct().crossJoin(F.broadcast(s.createDataFrame([(f,) for f in forms], "form string")))
+    return wanted.join(found, ["form", "query_id", "article"], "left")
+
+
+_SWEEP = " UNION ALL ".join(f"SELECT {sql.q(f)} || '/' || id AS query_id, {sql.search_tokens(sql.typist('question', f))} AS ts FROM {ASKED}" for f in ["as_written", *tx.TYPIST_FORMS, "all"])
+_SWEEP_SQL = f"""{sql.bm25(_SWEEP, DOC_TERMS, 20)},
+    by_id AS (SELECT split_part(query_id, '/', 1) AS form, split_part(query_id, '/', 2) AS query_id, a.id AS article, min(rank) AS rank FROM hits h JOIN {A} a ON h.id = a.article_ref GROUP BY ALL),
+    wanted AS (SELECT DISTINCT id AS query_id, unnest(expected_articles) AS article FROM {ASKED} WHERE len(expected_articles) > 0),
+    swept AS (SELECT f.form, w.query_id, w.article, b.rank FROM wanted w, (SELECT unnest(['as_written', {', '.join(sql.q(f) for f in [*tx.TYPIST_FORMS, 'all'])}]) AS form) f LEFT JOIN by_id b ON b.form = f.form AND b.query_id = w.query_id AND b.article = w.article)"""
+
+
+@query(f"""WITH {_SWEEP_SQL} SELECT v.form, count(DISTINCT v.query_id) FILTER (v.rank IS DISTINCT FROM o.rank) AS moved,
+    count(*) FILTER (coalesce(o.rank <= 5, false) AND NOT coalesce(v.rank <= 5, false)) AS left_top, count(*) FILTER (NOT coalesce(o.rank <= 5, false) AND coalesce(v.rank <= 5, false)) AS entered_top
+    FROM swept v JOIN swept o ON o.form = 'as_written' AND o.query_id = v.query_id AND o.article = v.article WHERE v.form <> 'as_written' GROUP BY v.form""")
+def orthographic_sweep(s: SparkSession, d: str) -> DataFrame:
+    rows = _sweep(s, d)
+    before = rows.where("form = 'as_written'").select("query_id", "article", F.col("rank").alias("was"))
+    both = rows.where("form <> 'as_written'").join(before, ["query_id", "article"])
+    was, now = F.coalesce(F.col("was") <= 5, F.lit(False)), F.coalesce(F.col("rank") <= 5, F.lit(False))
+    return both.groupBy("form").agg(F.count_distinct(F.when(~F.col("rank").eqNullSafe(F.col("was")), F.col("query_id"))).alias("moved"), F.count_if(was & ~now).alias("left_top"), F.count_if(~was & now).alias("entered_top"))
+
+
+@query(f"""WITH {_SWEEP_SQL} SELECT query_id, article, count(DISTINCT coalesce(rank, -1)) = 1 AS stable, coalesce(max(coalesce(rank, 1000)) <= 5, false) AND count(DISTINCT coalesce(rank, -1)) = 1 AS passed, min(rank) AS best FROM swept GROUP BY ALL""")
+def orthographic_stability(s: SparkSession, d: str) -> DataFrame:
+    stable = F.count_distinct(F.coalesce("rank", F.lit(-1))) == 1
+    return _sweep(s, d).groupBy("query_id", "article").agg(stable.alias("stable"), ((F.max(F.coalesce("rank", F.lit(1000))) <= 5) & stable).alias("passed"), F.min("rank").alias("best"))
+
+
+# --- dense search -----------------------------------------------------------------------------------
+
+
+def _vectors(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    v = table(s, d, "embeddings")
+    return v.where("vec_id % 100 = 0"), v
+
+
+_DOT = "list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
+_SIMILAR = f"sim AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, {_DOT} AS score FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q, embeddings v)"
+
+
+@query(f"WITH {_SIMILAR} SELECT * FROM (SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, vec_id) AS rank, round(score, 4) AS score FROM sim) WHERE rank <= 5")
+def dense_topk(s: SparkSession, d: str) -> DataFrame:
+    return dense.cosine_topk(*_pair(s, d), "vec_id", 5)
+
+
+def _pair(s: SparkSession, d: str) -> tuple[DataFrame, str, DataFrame]:
+    queries, vectors = _vectors(s, d)
+    return queries, "vec_id", vectors
+
+
+@query(f"""WITH {_SIMILAR}, pooled AS (SELECT query_id, vec_id // 4 AS id, round(max(score), 4) AS score FROM sim GROUP BY ALL)
+    SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, score FROM pooled) WHERE rank <= 5""")
+def dense_maxpool(s: SparkSession, d: str) -> DataFrame:
+    queries, vectors = _vectors(s, d)
+    return dense.cosine_topk(queries, "vec_id", vectors.withColumn("doc", F.expr("vec_id div 4")), "doc", 5)
+
+
+@query(f"""WITH {_SIMILAR}, own AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS r FROM sim WHERE label % 2 = 0)
+    SELECT * FROM (SELECT query_id, label AS doc, vec_id AS chunk, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, vec_id, label) AS rank, round(score, 4) AS score FROM own WHERE r <= 5) WHERE rank <= 5""")
+def library_scoped_search(s: SparkSession, d: str) -> DataFrame:
+    queries, vectors = _vectors(s, d)
+    live = vectors.where("label % 2 = 0").select("label").distinct().withColumn("created_at", F.lit(None).cast("timestamp"))
+    return dense.library_search(queries, "vec_id", vectors, "label", "vec_id", 5, live)
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm, CAST(len(embedding) AS BIGINT) AS size FROM embeddings")
+def vector_norms(s: SparkSession, d: str) -> DataFrame:
+    v = table(s, d, "embeddings")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return v.select("vec_id", F.round(norm, 6).alias("norm"), F.size("embedding").cast("bigint").alias("size"))
+
+
+@query("SELECT 'wrong_dimension' AS problem, count(*) AS rows FROM embeddings WHERE len(embedding) <> 64 HAVING count(*) > 0")
+def index_problems(s: SparkSession, d: str) -> DataFrame:
+    v = table(s, d, "embeddings")
+    return dense.index_problems(v, v, "vec_id", 64)
+
+
+# --- guards -----------------------------------------------------------------------------------------
+
+
+@query(f"""WITH x AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY added_at) AS r FROM questions)
+    SELECT id, CAST(r AS BIGINT) AS delivery, array_to_string(list_filter([CASE WHEN id IS NULL THEN 'missing id' END, CASE WHEN coalesce(question, '') = '' THEN 'missing question' END,
+        CASE WHEN NOT coalesce(category IN ('direct', 'multi_article', 'colloquial', 'out_of_corpus'), false) THEN 'unknown category' END,
+        CASE WHEN NOT coalesce(split IN ('train', 'dev', 'test'), false) THEN 'unknown split' END, CASE WHEN r > 1 THEN 'duplicate id' END,
+        CASE WHEN answerable AND coalesce(len(expected_articles), 0) = 0 THEN 'answerable without expected articles' END,
+        CASE WHEN NOT answerable AND coalesce(len(expected_articles), 0) > 0 THEN 'unanswerable with expected articles' END], lambda e: e IS NOT NULL), '; ') AS errors FROM x""")
+def question_errors(s: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = quality.question_errors(table(s, d, "questions"), "added_at").withColumn("delivery", F.row_number().over(Window.partitionBy("id").orderBy("added_at")).cast("bigint"))
+    return rows.select("id", "delivery", F.array_join("errors", "; ").alias("errors"))
+
+
+@query(f"SELECT DISTINCT id, article_id FROM (SELECT id, unnest(expected_articles) AS article_id FROM {Q}) WHERE article_id NOT IN (SELECT id FROM articles WHERE id IS NOT NULL)")
+def missing_references(s: SparkSession, d: str) -> DataFrame:
+    return quality.missing_references(questions(s, d), articles(s, d))
+
+
+@query(f"""WITH w AS (SELECT DISTINCT id, unnest(expected_articles) AS article_id, expected_keywords FROM {Q}),
+    p AS (SELECT w.id, a.text, unnest(expected_keywords) AS keyword FROM w JOIN {A} a ON a.id = w.article_id WHERE a.text IS NOT NULL)
+    SELECT id, keyword FROM p GROUP BY ALL HAVING NOT max(contains(text, keyword))""")
+def missing_keywords(s: SparkSession, d: str) -> DataFrame:
+    return quality.missing_keywords(questions(s, d), articles(s, d))
+
+
+def _first_texts(s: SparkSession, d: str) -> DataFrame:
+    """One text an article id: that of the least reference."""
+    return articles(s, d).where("text is not null").groupBy(F.col("id").alias("article_id")).agg(F.min_by("text", "article_ref").alias("text"))
+
+
+@query(f"""WITH t AS (SELECT id AS article_id, min_by(text, article_ref) AS text FROM {A} WHERE text IS NOT NULL GROUP BY id),
+    p AS (SELECT DISTINCT id, category, question, unnest(expected_articles) AS article_id FROM {Q} WHERE question IS NOT NULL),
+    x AS (SELECT p.id, p.category, p.article_id, {sql.content_tokens('p.question')} AS qt, {sql.content_tokens('t.text')} AS dt FROM p JOIN t USING (article_id)),
+    y AS (SELECT *, list_filter(qt, lambda w: list_contains(dt, w)) AS common FROM x),
+    z AS (SELECT *, round(CASE WHEN len(qt) > 0 THEN CAST(len(common) AS DOUBLE) / len(qt) ELSE 0.0 END, 4) AS overlap,
+        coalesce(CASE category WHEN 'direct' THEN 0.15 WHEN 'multi_article' THEN 0.15 WHEN 'colloquial' THEN 0.0 END, 0.0) AS lo, coalesce(CASE category WHEN 'direct' THEN 0.55 WHEN 'multi_article' THEN 0.60 WHEN 'colloquial' THEN 0.35 END, 0.55) AS hi FROM y)
+    SELECT id, article_id, overlap, CASE WHEN overlap > hi THEN 'HIGH' WHEN overlap < lo THEN 'LOW' ELSE 'OK' END AS verdict, array_to_string({sql.first_seen('common')}, ' ') AS leaked FROM z""")
+def containment_band(s: SparkSession, d: str) -> DataFrame:
+    pairs = questions(s, d).where("question is not null").select("id", "category", "question", F.explode("expected_articles").alias("article_id")).distinct()
+    bands = s.createDataFrame([(c, lo, hi) for c, (lo, hi) in quality.BANDS.items()], "category string, lo double, hi double")
+    rows = quality.overlap_bands(pairs.join(_first_texts(s, d), "article_id"), bands, _content("question"), _content("text"))
+    return rows.select("id", "article_id", "overlap", "verdict", F.array_join("leaked", " ").alias("leaked"))
+
+
+@query(f"""WITH voc AS ({_VOCABULARY}), t AS (SELECT article_ref, {_STRIPPED} AS ts FROM {A}),
+    p AS (SELECT article_ref, unnest(list_transform(range(1, len(ts)), lambda i: struct_pack(a := ts[i], b := ts[i + 1]))) AS p FROM t),
+    c AS (SELECT article_ref AS id, p.a || ' ' || p.b AS broken, p.a || p.b AS joined FROM p WHERE length(p.a) >= 2 AND length(p.b) BETWEEN 1 AND 4)
+    SELECT id, broken, joined, n AS joined_seen FROM c JOIN voc ON term = joined""")
+def broken_words(s: SparkSession, d: str) -> DataFrame:
+    return quality.broken_words(articles(s, d).where("text is not null"), "article_ref")
+
+
+@query("SELECT coalesce(bool_or(contains(law_name, 'Act')), false) AS bound FROM articles")
+def corpus_binding(s: SparkSession, d: str) -> DataFrame:
+    return quality.binding_problem(table(s, d, "articles"), "Act")
+
+
+@query(f"""WITH t AS (SELECT id AS article_id, min_by(text, article_ref) AS text FROM {A} WHERE text IS NOT NULL GROUP BY id),
+    p AS (SELECT DISTINCT id, unnest(expected_articles) AS article_id, expected_keywords FROM {Q} WHERE len(expected_keywords) > 0)
+    SELECT p.id, p.article_id, len(list_filter(expected_keywords, lambda k: NOT contains(text, k))) = 0 AS evidence FROM p JOIN t USING (article_id) WHERE len(list_filter(expected_keywords, lambda k: k IS NULL)) = 0""")
+def page_evidence(s: SparkSession, d: str) -> DataFrame:
+    pairs = questions(s, d).where("size(expected_keywords) > 0 and not exists(expected_keywords, k -> k is null)").select("id", F.explode("expected_articles").alias("article_id"), "expected_keywords").distinct()
+    return pairs.join(_first_texts(s, d), "article_id").select("id", "article_id", F.forall("expected_keywords", lambda k: F.contains("text", k)).alias("evidence"))
+
+
+# --- segmentation -----------------------------------------------------------------------------------
+
+_TOKENS = f"list_filter(string_split_regex(text, {sql.q(tx.SPACE + '+')}), lambda t: t <> '')"
+
+
+def _tokens(c: str = "text") -> Column:
+    return F.filter(F.split(F.col(c), tx.SPACE + "+"), lambda t: t != "")
+
+
+@query(f"""WITH t AS (SELECT doc_id AS id, {_TOKENS} AS ts FROM documents WHERE text IS NOT NULL),
+    w AS (SELECT id, ts, unnest(range(0, CAST(greatest(0, ceil((len(ts) - 256) / 192.0)) AS BIGINT) + 1)) AS window_no FROM t WHERE len(ts) > 0)
+    SELECT id, window_no, window_no * 192 AS start, CAST(len(ts[window_no * 192 + 1 : window_no * 192 + 256]) AS BIGINT) AS n, md5(array_to_string(ts[window_no * 192 + 1 : window_no * 192 + 256], ' ')) AS md5 FROM w""")
+def token_windows(s: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(s, d, "documents").select("doc_id", "text")).where("text is not null")
+    rows = segment.token_windows(docs, "doc_id", _tokens(), 256)
+    return rows.select("id", F.col("window_no").cast("bigint").alias("window_no"), F.col("start").cast("bigint").alias("start"), F.size("tokens").cast("bigint").alias("n"), F.md5(F.array_join("tokens", " ")).alias("md5"))
+
+
+@query(f"""WITH t AS (SELECT len({_TOKENS}) AS n FROM documents WHERE text IS NOT NULL)
+    SELECT count(*) AS documents, count(*) FILTER (n > 256) AS over, CAST(coalesce(sum(greatest(n - 256, 0)), 0) AS BIGINT) AS beyond, round(CAST(sum(greatest(n - 256, 0)) AS DOUBLE) / sum(n), 6) AS share FROM t""")
+def encoder_coverage(s: SparkSession, d: str) -> DataFrame:
+    return segment.window_coverage(spread(table(s, d, "documents").select("text")).where("text is not null"), _tokens(), 256)
+
+
+@query()
+def page_chunks(s: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(s, d, "documents").select("doc_id", "text")).where("text is not null")
+    pages = docs.select("doc_id", F.posexplode(F.split("text", "\f")).alias("page", "text"))
+    return segment.page_chunks(pages, "doc_id", "page", "text")
+
+
+_HEADERS = f"""l AS (SELECT doc_id AS doc, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+    n AS (SELECT doc, line_no, line, TRY_CAST({sql.digits(f"regexp_extract(line, {sql.q(segment._NUMERIC)}, 1)")} AS INTEGER) AS num, regexp_extract(line, {sql.q(segment._ORDINAL)}, 1) AS word FROM l),
+    h AS (SELECT doc, line_no, line, coalesce(num, CASE word {' '.join(f"WHEN {sql.q(k)} THEN {v}" for k, v in segment.ORDINALS.items())} END) AS number, CASE WHEN word <> '' THEN 'issuance' WHEN num IS NOT NULL THEN 'law' END AS book FROM n),
+    p AS (SELECT *, sum(CASE WHEN number IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line_no) AS pos FROM h),
+    b AS (SELECT doc, pos, max(number) AS number, max(book) AS book, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (number IS NULL), '') AS body FROM p WHERE pos > 0 GROUP BY doc, pos),
+    r AS (SELECT *, book = 'law' AND number <= last_value(CASE WHEN book = 'law' THEN number END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS restart FROM b),
+    f AS (SELECT *, min(CASE WHEN restart THEN pos END) OVER (PARTITION BY doc) AS first FROM r),
+    parts AS (SELECT doc, pos, CASE WHEN pos < first THEN 'issuance' ELSE book END AS book, number, {sql.replace_all('body', f'^{tx.SPACE}+|{tx.SPACE}+$')} AS body FROM f)"""
+
+
+def _parts(s: SparkSession, d: str) -> DataFrame:
+    return segment.articles(spread(table(s, d, "documents").select("doc_id", "text")).where("text is not null"), "doc_id", "text")
+
+
+@query(f"WITH {_HEADERS} SELECT doc, CAST(pos AS BIGINT) AS pos, book || '-' || number AS id, md5(body) AS body_md5 FROM parts WHERE body <> ''")
+def header_articles(s: SparkSession, d: str) -> DataFrame:
+    return _parts(s, d).select("doc", F.col("pos").cast("bigint").alias("pos"), "id", F.md5("body").alias("body_md5"))
+
+
+@query(f"""WITH {_HEADERS}, good AS (SELECT * FROM parts WHERE body <> ''), c AS (SELECT doc, book, number, count(*) AS n FROM good GROUP BY ALL), sp AS (SELECT doc, book, min(number) AS lo, max(number) AS hi FROM c GROUP BY ALL)
+    SELECT doc, book, 'duplicate' AS problem, number FROM c WHERE n > 1
+    UNION ALL SELECT doc, book, 'gap', number FROM (SELECT doc, book, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS number FROM sp) g WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc = g.doc AND c.book = g.book AND c.number = g.number)
+    UNION ALL SELECT doc, book, 'start', lo FROM sp WHERE lo <> 1
+    UNION ALL SELECT DISTINCT doc, book, 'short', number FROM good WHERE length(body) < 20""")
+def validate_numbering(s: SparkSession, d: str) -> DataFrame:
+    return segment.numbering_problems(_parts(s, d))
+
+
+@query()
+def chunk_documents(s: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(s, d, "documents").select("doc_id", "text")).where("text is not null")
+    return segment.chunk_documents(docs, "doc_id", "text").select("doc", "number", "article", "label", F.md5("text").alias("text_md5"))
+
+
+_BARE = sql.replace_all("coalesce(text, '')", tx.SPACE)
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_BARE} AS bare, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
+    SELECT doc_id, CASE WHEN length(bare) < 200 THEN 'too little text' ELSE array_to_string(list_filter([
+        CASE WHEN CAST(length({sql.replace_all('bare', r'[^\x{0600}-\x{06FF}]')}) AS DOUBLE) / greatest(length(bare), 1) < 0.3 THEN 'not arabic' END,
+        CASE WHEN len(list_filter(ls, lambda x: regexp_matches(x, {sql.q(segment._NUMERIC)}) OR regexp_matches(x, {sql.q(segment._ORDINAL)}))) = 0 THEN 'no headers' END], lambda e: e IS NOT NULL), '; ') END AS problems FROM t""")
+def extraction_problems(s: SparkSession, d: str) -> DataFrame:
+    return segment.extraction_problems(spread(table(s, d, "documents").select("doc_id", "text"))).select("doc_id", F.array_join("problems", "; ").alias("problems"))
+
+
+# --- identity and library ---------------------------------------------------------------------------
+
+
+@query("SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
+def duplicate_documents(s: SparkSession, d: str) -> DataFrame:
+    return identity.duplicates(table(s, d, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@query("""SELECT doc_id, title, chunks, created_at FROM (SELECT DISTINCT doc_id, title, chunks, created_at, deleted FROM doc_meta) WHERE NOT coalesce(deleted, false)""")
+def live_documents(s: SparkSession, d: str) -> DataFrame:
+    meta = identity.latest(table(s, d, "doc_meta"), "doc_id", [F.desc("created_at"), F.asc("title")])
+    return identity.live(meta).select("doc_id", "title", "chunks", "created_at")
+
+
+@query()
+def question_set_fingerprint(s: SparkSession, d: str) -> DataFrame:
+    rows = questions(s, d).withColumn("expected", F.array_join("expected_articles", ","))
+    return identity.set_fingerprint(rows, ["id", "category", "question", "expected", "answerable", "split"])
+
+
+# --- citations, answers, calls ----------------------------------------------------------------------
+
+
+@query(f"""SELECT answer_no, CAST(len({sql.sentences('text')}) AS BIGINT) AS sentences, array_to_string({sql.strict_citations('text')}, ',') AS strict, array_to_string({sql.loose_citations('text')}, ',') AS loose,
+    contains(text, {sql.q(ci.ABSTENTION)}) AS abstention FROM {R} WHERE text IS NOT NULL""")
+def sentences_citations(s: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    joined = lambda c: F.array_join(F.transform(c, lambda n: n.cast("string")), ",")
+    return answers(s, d).where("text is not null").select("answer_no", F.size(tx.sentences(t)).cast("bigint").alias("sentences"), joined(ci.strict_citations(t)).alias("strict"), joined(ci.loose_citations(t)).alias("loose"), ci.is_abstention(t).alias("abstention"))
+
+
+def _law_numbers(s: SparkSession, d: str) -> DataFrame:
+    """One row: the article numbers of the corpus, a set bounded by the numbers three digits can show."""
+    return articles(s, d).select(tx.article_number(F.col("id")).alias("n")).where("n < 1000").agg(F.collect_set("n").alias("corpus"))
+
+
+@query()
+def audit_answers(s: SparkSession, d: str) -> DataFrame:
+    numbers = _law_numbers(s, d)
+    texts = articles(s, d).where("text is not null").groupBy(tx.article_number(F.col("id")).alias("n")).agg(F.min_by("text", "article_ref").alias("t")).where("n is not null")
+    rows = answers(s, d).select("answer_no", "text", "retrieved")
+    context = rows.select("answer_no", F.explode("retrieved").alias("n")).join(texts, "n").groupBy("answer_no").agg(F.collect_list("t").alias("context"))
+    rows = rows.join(context, "answer_no", "left").crossJoin(F.broadcast(numbers))
+    out = an.audit(rows, F.col("corpus"), F.coalesce("retrieved", F.array().cast("array<int>")), F.coalesce("context", F.array().cast("array<string>")))
+    joined = lambda c: F.array_join(F.transform(c, lambda n: n.cast("string")), ",")
+    return out.select("answer_no", F.col("a_abstained").alias("abstained"), joined("a_cited").alias("cited"), joined("a_copied").alias("copied"), joined("a_fabricated").alias("fabricated"), joined("a_ungrounded").alias("ungrounded"), F.size("a_uncited").alias("uncited"), F.col("a_grounded").alias("grounded"))
+
+
+def _gated(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Sentences of saved answers as claims, their citations as places in the retrieved list."""
+    rows = answers(s, d).select(F.col("answer_no").alias("query_id"), "text", F.coalesce("retrieved", F.array().cast("array<int>")).alias("retrieved"))
+    claims = rows.where("text is not null").select("query_id", "retrieved", F.posexplode(F.slice(tx.sentences(F.col("text")), 1, 3)).alias("claim_no", "text"))
+    places = F.transform(ci.citations(F.col("text")), lambda n: F.array_position("retrieved", n).cast("int"))
+    claims = claims.select("query_id", "claim_no", "text", places.alias("sources"))
+    texts = articles(s, d).where("text is not null").groupBy(tx.article_number(F.col("id")).alias("article")).agg(F.min_by("text", "article_ref").alias("text")).where("article is not null")
+    sources = rows.select("query_id", F.posexplode("retrieved").alias("n", "article")).join(texts, "article", "left").select("query_id", (F.col("n") + 1).alias("n"), "article", F.coalesce("text", F.lit("")).alias("text"))
+    heads = rows.select("query_id", F.col("text").isNotNull().alias("parsed"), ci.is_abstention(F.col("text")).alias("abstain"), F.when(F.size("retrieved") == 0, "no_sources").alias("own_reason"))
+    return heads, an.gate(claims, sources, compat=False)
+
+
+@query()
+def gate_claims(s: SparkSession, d: str) -> DataFrame:
+    return _gated(s, d)[1].select("query_id", "claim_no", F.coalesce("reason", F.lit("kept")).alias("reason"), "copied")
+
+
+@query()
+def gate_verdicts(s: SparkSession, d: str) -> DataFrame:
+    return an.gate_verdicts(*_gated(s, d))
+
+
+@query()
+def abstain_reasons(s: SparkSession, d: str) -> DataFrame:
+    return an.gate_verdicts(*_gated(s, d)).groupBy(F.coalesce("abstain_reason", F.lit("(none)")).alias("reason"), "status").agg(F.count("*").alias("answers"))
+
+
+_ANS = "NOT coalesce(abstained, false)"
+_HAS = lambda c: f"count(*) FILTER ({_ANS} AND coalesce(len({c}), 0) > 0) AS {c}"
+
+
+@query(f"""SELECT CASE WHEN grouping(category) = 1 THEN '(all)' ELSE coalesce(category, '(none)') END AS category, CASE WHEN grouping(model) = 1 THEN '(all)' ELSE coalesce(model, '(none)') END AS batch, count(*) AS answers,
+    count(*) FILTER ({_ANS}) AS answered, count(*) FILTER (NOT ({_ANS})) AS abstained, count(*) FILTER ({_ANS} AND coalesce(grounded, false)) AS grounded, {_HAS('fabricated')}, {_HAS('ungrounded')}, {_HAS('uncited')}, {_HAS('copied')},
+    round(CAST(count(*) FILTER ({_ANS} AND coalesce(grounded, false)) AS DOUBLE) / nullif(count(*) FILTER ({_ANS}), 0), 4) AS rate FROM {R} GROUP BY GROUPING SETS ((category), (model), ())""")
+def grounding_tally(s: SparkSession, d: str) -> DataFrame:
+    return an.grounding_tally(answers(s, d))
+
+
+@query(f"""WITH x AS (SELECT count(*) AS answers, count(*) FILTER ({_ANS}) AS answered, count(*) FILTER ({_ANS} AND coalesce(grounded, false)) AS grounded, {_HAS('fabricated')}, {_HAS('ungrounded')}, {_HAS('uncited')}, {_HAS('copied')},
+    count(*) FILTER (NOT coalesce(answerable, false)) AS unanswerable, count(*) FILTER (NOT coalesce(answerable, false) AND NOT ({_ANS})) AS abstained_right, count(*) FILTER (coalesce(answerable, false) AND NOT ({_ANS})) AS abstained_wrong,
+    count(*) FILTER (coalesce(answerable, false) AND {_ANS} AND coalesce(cited_expected, false)) AS cited_expected, round(median(seconds), 4) AS median_seconds FROM {R})
+    SELECT *, round(CAST(abstained_right AS DOUBLE) / nullif(unanswerable, 0), 4) AS abstention_rate, coalesce(CAST(abstained_right AS DOUBLE) / nullif(unanswerable, 0) >= 0.8, false) AS abstention_met,
+    coalesce(CAST(abstained_right AS DOUBLE) / nullif(unanswerable, 0) >= 0.8, false) AND cited_expected >= 10 AND fabricated = 0 AS adopted FROM x""")
+def contract_report(s: SparkSession, d: str) -> DataFrame:
+    return an.contract_report(answers(s, d))
+
+
+@query(f"SELECT answer_no, coalesce(len(list_intersect(cited, expected)) > 0, false) AS cites_expected FROM {R}")
+def expected_citations(s: SparkSession, d: str) -> DataFrame:
+    return answers(s, d).select("answer_no", an.cites_expected(F.col("cited"), F.col("expected")).alias("cites_expected"))
+
+
+_CALLS = f"(SELECT answer_no, unnest(stats) AS c FROM {R})"
+
+
+@query(f"""SELECT coalesce(c.stage, '(none)') AS stage, count(*) AS calls, CAST(coalesce(sum(c.output_tokens), 0) AS BIGINT) AS tokens, round(sum(c.output_tokens) / CASE WHEN sum(c.output_s) > 0 THEN sum(c.output_s) END, 3) AS tokens_per_s,
+    count(*) FILTER (coalesce(c.truncated, false)) AS truncated, count(*) FILTER (coalesce(c.cut, false)) AS cut FROM {_CALLS} GROUP BY 1""")
+def call_stats_by_stage(s: SparkSession, d: str) -> DataFrame:
+    return an.call_statistics(answers(s, d))
+
+
+@query(f"SELECT stage, count(*) AS rows, CAST(sum(greatest(n - 1, 0)) AS BIGINT) AS retries FROM (SELECT answer_no, coalesce(c.stage, '(none)') AS stage, count(*) AS n FROM {_CALLS} GROUP BY ALL) GROUP BY stage")
+def retries(s: SparkSession, d: str) -> DataFrame:
+    return an.retries(answers(s, d), "answer_no")
+
+
+_RUN = lambda m: f"SELECT id, max(answerable) AS answerable, min(text) AS text FROM {R} WHERE model = '{m}' AND id IS NOT NULL GROUP BY id"
+
+
+@query(f"""WITH a AS ({_RUN('local:sahl-1b')}), b AS ({_RUN('local:mizan-4b')}), j AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'b' WHEN b.id IS NULL THEN 'a' ELSE 'both' END AS side, a.answerable AS able_a, b.answerable AS able_b, a.text AS text_a, b.text AS text_b FROM a FULL JOIN b ON a.id = b.id)
+    SELECT id, side, CASE WHEN side = 'both' THEN CASE WHEN able_a IS NOT DISTINCT FROM able_b THEN 'yes' ELSE 'no' END ELSE 'absent' END AS answerable_same, CASE WHEN side = 'both' THEN CASE WHEN text_a IS NOT DISTINCT FROM text_b THEN 'yes' ELSE 'no' END ELSE 'absent' END AS text_same FROM j""")
+def run_compare(s: SparkSession, d: str) -> DataFrame:
+    def run(m: str) -> DataFrame:
+        return answers(s, d).where((F.col("model") == m) & F.col("id").isNotNull()).groupBy("id").agg(F.max("answerable").alias("answerable"), F.min("text").alias("text"))
+
+    rows = an.run_comparison(run("local:sahl-1b"), run("local:mizan-4b"), "id", ["answerable", "text"])
+    told = lambda c: F.when(F.col(c).isNull(), "absent").when(F.col(c), "yes").otherwise("no").alias(c)
+    return rows.select("id", "side", told("answerable_same"), told("text_same"))
+
+
+@query()
+def run_variance(s: SparkSession, d: str) -> DataFrame:
+    return an.variance(answers(s, d).where("run_id is not null and id is not null"), "run_id", "id", "text", "seconds")
+
+
+@query(f"""WITH o AS (SELECT DISTINCT id FROM {Q}), n AS (SELECT DISTINCT id FROM {R} WHERE id IS NOT NULL)
+    SELECT id, 'added' AS change FROM n WHERE id NOT IN (SELECT id FROM o) UNION ALL SELECT id, 'dropped' FROM o WHERE id NOT IN (SELECT id FROM n)""")
+def answered_questions(s: SparkSession, d: str) -> DataFrame:
+    return an.set_changes(questions(s, d), answers(s, d).where("id is not null"), "id")
+
+
+# --- scanned pages ----------------------------------------------------------------------------------
+
+
+@query()
+def ocr_raw_lines(s: SparkSession, d: str) -> DataFrame:
+    pages = table(s, d, "ocr_pages").where("text is not null").dropDuplicates(["page_key"])
+    return ocr.raw_lines(pages, "page_key", "text")
+
+
+@query()
+def ocr_raw_text(s: SparkSession, d: str) -> DataFrame:
+    pages = table(s, d, "ocr_pages").where("text is not null").dropDuplicates(["page_key"])
+    return ocr.raw_text(pages, "scan_id", "page", "text").select(F.col("doc").alias("scan_id"), F.md5("text").alias("text_md5"), "dropped")
+
+
+_FURN = ", ".join(sql.q(w) for w in tx.FURNITURE_WORDS)
+
+
+@query(f"""WITH l AS (SELECT page_key, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT page_key, string_split(regexp_replace(text, '<[^>]+>', '', 'g'), chr(10)) AS ls FROM (SELECT DISTINCT page_key, text FROM ocr_pages) WHERE text IS NOT NULL)),
+    x AS (SELECT *, {sql.replace_all('line', f'^{tx.SPACE}+|{tx.SPACE}+$')} AS s FROM l), y AS (SELECT *, list_filter(string_split_regex(s, {sql.q(tx.SPACE + '+')}), lambda t: t <> '') AS parts FROM x),
+    z AS (SELECT *, list_filter(list_transform(list_filter(parts, lambda t: NOT regexp_matches(t, {sql.q(tx.NUMBER_LINE)})), lambda t: regexp_replace(t, '^[()،.:\\-–—]+|[()،.:\\-–—]+$', '', 'g')), lambda w: length(w) > 1) AS ev FROM y)
+    SELECT page_key, CAST(line_no AS BIGINT) AS line_no, CASE WHEN s = '' THEN false WHEN regexp_matches(s, {sql.q(tx.NUMBER_LINE)}) THEN true
+        ELSE len(parts) <= 14 AND (len(ev) = 0 OR len(list_filter(ev, lambda w: list_contains([{_FURN}], w))) * 2 > len(ev)) END AS furniture FROM z""")
+def ocr_furniture(s: SparkSession, d: str) -> DataFrame:
+    pages = table(s, d, "ocr_pages").where("text is not null").select("page_key", "text").distinct()
+    lines = pages.select("page_key", F.posexplode(F.split(tx.strip_tags(F.col("text")), "\n")).alias("line_no", "line"))
+    return lines.select("page_key", F.col("line_no").cast("bigint").alias("line_no"), tx.is_furniture(F.col("line")).alias("furniture"))
+
+
+_DIGITS = lambda c: f"SELECT article_ref AS key, {sql.digits('t')} AS token, count(*) AS n FROM (SELECT article_ref, unnest(regexp_extract_all({c}, '([٠-٩۰-۹0-9]+)', 1)) AS t FROM {A}) GROUP BY ALL"
+_DIGIT_SCORES = f"""e AS ({_DIGITS('text')}), f AS ({_DIGITS('search_text')}), j AS (SELECT coalesce(e.key, f.key) AS key, coalesce(e.n, 0) AS e, coalesce(f.n, 0) AS f FROM e FULL JOIN f ON e.key = f.key AND e.token = f.token),
+    sc AS (SELECT key, CAST(sum(e) AS BIGINT) AS expected, CAST(sum(f) AS BIGINT) AS found, CAST(sum(least(e, f)) AS BIGINT) AS correct, CAST(sum(greatest(e - f, 0)) AS BIGINT) AS missing, CAST(sum(greatest(f - e, 0)) AS BIGINT) AS spurious FROM j GROUP BY key)"""
+
+
+def _digit_scores(s: SparkSession, d: str) -> DataFrame:
+    return ocr.digit_scores(ocr.digit_counts(articles(s, d), "article_ref", "text"), ocr.digit_counts(articles(s, d), "article_ref", "search_text"))
+
+
+@query(f"WITH {_DIGIT_SCORES} SELECT *, round(CASE WHEN expected > 0 THEN CAST(correct AS DOUBLE) / expected ELSE 0.0 END, 6) AS recall FROM sc")
+def digit_multiset_scores(s: SparkSession, d: str) -> DataFrame:
+    return _digit_scores(s, d)
+
+
+@query(f"""WITH {_DIGIT_SCORES}, t AS (SELECT CAST(sum(expected) AS BIGINT) AS expected, CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(missing) AS BIGINT) AS missing, CAST(sum(spurious) AS BIGINT) AS spurious FROM sc)
+    SELECT *, round(CAST(correct AS DOUBLE) / expected, 6) AS recall, CAST(correct AS DOUBLE) / expected >= 0.99 AND spurious = 0 AS passed FROM t""")
+def digit_gate(s: SparkSession, d: str) -> DataFrame:
+    return ocr.gate_totals(_digit_scores(s, d))
+
+
+# --- statistics -------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_scores_sql(5)}, vals AS (SELECT recall AS v, row_number() OVER (ORDER BY query_id) - 1 AS i FROM scores_q), m AS (SELECT count(*) AS n, avg(v) AS mean FROM vals),
+    dr AS (SELECT b, n, unnest(range(0, n)) AS dw FROM (SELECT unnest(range(0, 1000)) AS b), m WHERE n > 0),
+    ix AS (SELECT b, CAST('0x' || substr(md5('20260923:' || b || ':' || dw), 1, 8) AS BIGINT) % n AS i FROM dr),
+    me AS (SELECT b, avg(v) AS mm FROM ix JOIN vals USING (i) GROUP BY b), pl AS (SELECT mm, row_number() OVER (ORDER BY mm, b) - 1 AS r FROM me)
+    SELECT n, round(mean, 6) AS mean, round((SELECT max(mm) FROM pl WHERE r = 25), 6) AS low, round((SELECT max(mm) FROM pl WHERE r = 975), 6) AS high FROM m""")
+def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.bootstrap_interval(_scores(s, d, 5), "recall", "query_id", 1000)
+
+
+@query("""WITH x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+    SELECT event_type, count(*) AS n, round(median(value), 4) AS median, round(max(CASE WHEN r = least(n, greatest(1, CAST(round_even(n * 95 / 100.0 + 0.5, 0) AS BIGINT))) THEN value END), 4) AS p95, round(min(value), 4) AS min, round(max(value), 4) AS max, round(avg(value), 4) AS mean FROM x GROUP BY event_type""")
+def latency_summary(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.latency_summary(table(s, d, "events"), "event_type", "value")
+
+
+@query(f"SELECT coalesce(category, '(none)') AS category, count(*) AS n, round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (), 3) AS share FROM {Q} GROUP BY ALL")
+def category_mix(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.mix(questions(s, d).withColumn("category", F.coalesce("category", F.lit("(none)"))), "category")
+
+
+@query(f"""WITH r AS (SELECT category, CAST(count(*) FILTER ({_ANS} AND coalesce(grounded, false)) AS DOUBLE) / count(*) AS rate FROM {R} WHERE category IS NOT NULL GROUP BY category),
+    m AS (SELECT category, round(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (), 3) AS share FROM {Q} WHERE category IS NOT NULL GROUP BY category) SELECT round(sum(rate * share), 6) AS rate FROM r JOIN m USING (category)""")
+def reweighted_rate(s: SparkSession, d: str) -> DataFrame:
+    good = ~F.coalesce(F.col("abstained"), F.lit(False)) & F.coalesce(F.col("grounded"), F.lit(False))
+    rates = answers(s, d).where("category is not null").groupBy("category").agg((F.count_if(good) / F.count("*")).alias("rate"))
+    return evaluate.reweighted(rates, evaluate.mix(questions(s, d).where("category is not null"), "category"))
+
+
+@query(f"""WITH a AS (SELECT model AS name, round(avg(seconds), 6) AS score FROM {R} WHERE model IS NOT NULL GROUP BY model), b AS (SELECT model AS name, round(CAST(count(*) FILTER (coalesce(grounded, false)) AS DOUBLE) / count(*), 6) AS score FROM {R} WHERE model IS NOT NULL GROUP BY model),
+    x AS (SELECT name AS a, row_number() OVER (ORDER BY score DESC, name) AS rank FROM a), y AS (SELECT name AS b, row_number() OVER (ORDER BY score DESC, name) AS rank FROM b) SELECT rank, a, b, a IS NOT DISTINCT FROM b AS same FROM x FULL JOIN y USING (rank)""")
+def order_changes(s: SparkSession, d: str) -> DataFrame:
+    rows = answers(s, d).where("model is not null").groupBy(F.col("model").alias("name"))
+    a = rows.agg(F.round(F.avg("seconds"), 6).alias("score"))
+    b = rows.agg(F.round(F.count_if(F.coalesce(F.col("grounded"), F.lit(False))) / F.count("*"), 6).alias("score"))
+    return evaluate.order_changes(a, b)
+
+
+@query(f"SELECT min_by(answer_no, struct_pack(a := abs(seconds - 20), b := answer_no)) AS answer_no FROM {R} WHERE seconds IS NOT NULL")
+def closest_answer(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.closest(answers(s, d).where("seconds is not null"), "seconds", 20.0, "answer_no", "answer_no")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    w AS (SELECT user_id, event_id, r, true AS accepted, [t] AS kept FROM e WHERE r = 1
+        UNION ALL SELECT e.user_id, e.event_id, e.r, len(list_filter(w.kept, lambda x: x > e.t - 86400)) < 3,
+            CASE WHEN len(list_filter(w.kept, lambda x: x > e.t - 86400)) < 3 THEN list_append(list_filter(w.kept, lambda x: x > e.t - 86400), e.t) ELSE list_filter(w.kept, lambda x: x > e.t - 86400) END
+        FROM w JOIN e ON e.user_id = w.user_id AND e.r = w.r + 1)
+    SELECT user_id AS key, event_id, accepted FROM w""")
+def rate_limiter(s: SparkSession, d: str) -> DataFrame:
+    return limits.limited(table(s, d, "events"), "user_id", "ts", "event_id", 3, 86400.0).select("key", "event_id", "accepted")
+
+
+# --- problem 2 --------------------------------------------------------------------------------------
+
+
+@query()
+def p2_found(s: SparkSession, d: str) -> DataFrame:
+    return drift.schema_changes(table(s, d, "run_lines")).select("file_name", "change_kind", "old_path", "new_path").distinct()
+
+
+@query()
+def p2_changes(s: SparkSession, d: str) -> DataFrame:
+    return drift.schema_changes(table(s, d, "run_lines"), moves=True)
+
+
+@query()
+def p2_table(s: SparkSession, d: str) -> DataFrame:
+    return drift.consistent_table(table(s, d, "run_lines"))
