@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daftar.functions import text as tx
 from daftar.operators.fusion import containment
@@ -99,10 +101,15 @@ def admission(files: DataFrame, content: str = "content", path: str = "path") ->
     )
 
 
+@F.arrow_udf(T.StringType())
+def _windows_1256(v: pa.Array) -> pa.Array:
+    return pa.array([None if b is None else b.decode("cp1256") for b in v.to_pylist()], pa.string())
+
+
 def decoded(files: DataFrame, content: str = "content") -> DataFrame:
     """``files`` with ``text`` (null if it is binary) and the encoding that read it: UTF-8, else Windows-1256."""
     raw = F.col(content)
     body = F.when(F.hex(F.substring(raw, 1, 3)) == "EFBBBF", F.expr(f"substring(`{content}`, 4)")).otherwise(raw)
     has_nul = F.hex(raw).rlike("^(?:..)*?00")
     good = F.is_valid_utf8(body.cast("string"))
-    return files.withColumn("encoding", F.when(has_nul, F.lit(None)).when(good, "utf-8").otherwise("windows-1256")).withColumn("text", F.when(has_nul, F.lit(None)).when(good, body.cast("string")).otherwise(F.decode(body, "windows-1256")))
+    return files.withColumn("encoding", F.when(has_nul, F.lit(None)).when(good, "utf-8").otherwise("windows-1256")).withColumn("text", F.when(has_nul, F.lit(None)).when(good, body.cast("string")).otherwise(_windows_1256(F.when(~good, body))))
