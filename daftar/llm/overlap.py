@@ -76,8 +76,23 @@ def one_slip(a: str, b: str) -> bool:
     return a[i:] == b[i + 1 :]
 
 
+def both_slipped(a: str, b: str, common: set[str]) -> bool:
+    """Two rare words that are each one slip away from the same word."""
+    if a in common or b in common or min(len(a), len(b)) < 4 or abs(len(a) - len(b)) > 2:
+        return False
+    letters = set(a) | set(b)
+
+    def slips(w: str) -> set[str]:
+        cuts = [(w[:i], w[i:]) for i in range(len(w) + 1)]
+        return {x + y[1:] for x, y in cuts if y} | {x + y[1] + y[0] + y[2:] for x, y in cuts if len(y) > 1} | {x + c + y for x, y in cuts for c in letters}
+
+    return bool(slips(a) & slips(b))
+
+
 def same_question(a: list[str], b: list[str], common: set[str]) -> bool:
-    """Whether two word bags are one question; ``common`` holds those of their words that many questions have."""
+    """Whether two word bags are one question; ``common`` holds those of their words that many questions have.
+
+    Names that differ by more than slips, numbers and negations make another question."""
     left, right = Counter(a) - Counter(b), Counter(b) - Counter(a)
     x, y = list(left.elements()), list(right.elements())
     slips = 0
@@ -85,7 +100,7 @@ def same_question(a: list[str], b: list[str], common: set[str]) -> bool:
         if w.isdigit() or len(w) < 3:
             continue
         for v in y:
-            if not v.isdigit() and len(v) >= 3 and one_slip(w, v) and not (w in NEGATIONS or v in NEGATIONS):
+            if not v.isdigit() and len(v) >= 3 and (one_slip(w, v) or both_slipped(w, v, common)) and not (w in NEGATIONS or v in NEGATIONS):
                 x.remove(w)
                 y.remove(v)
                 slips += 1
