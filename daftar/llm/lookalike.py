@@ -189,7 +189,7 @@ class Transducer:
             # a full-width or foreign base takes the plain letter's accents
             base = self._match(base)
             out.append(self._match(base + marks) if marks else base)
-        return "".join(out)
+        return unicodedata.normalize("NFC", "".join(out))
 
     @staticmethod
     def _visible_joiner(cells: list[list], seen: list[int], i: int) -> bool:
