@@ -18,6 +18,8 @@ from daftar.operators.lexical import ranked
 
 #: Query vectors shipped at once.
 BLOCK = 4096
+#: Queries multiplied with a batch at once.
+QUERIES_AT_ONCE = 256
 
 
 def unit(v: Column) -> Column:
@@ -30,16 +32,16 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def similarities(queries: DataFrame, query_key: str, vectors: DataFrame, keys: list[str], embedding: str = "embedding", keep: int | None = None) -> DataFrame:
+def similarities(queries: DataFrame, query_key: str, vectors: DataFrame, keys: list[str], embedding: str = "embedding", keep: int | None = None, pooled: bool = False) -> DataFrame:
     """(query_id, *keys, score): dot products of each query with each vector.
 
-    With ``keep`` only rows that can be among the ``keep`` best documents (first of ``keys``) of their query leave a batch."""
+    With ``keep`` only rows that can be among the ``keep`` best rows of their query leave a batch; if ``pooled``, only the best row
+    of each document (first of ``keys``) that can be among the ``keep`` best documents.  Rows within 1e-4 of the edge stay, so
+    ties after rounding are not cut."""
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
     schema = f"query_id {queries.schema[query_key].dataType.simpleString()}, " + ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", score double"
     rows = vectors.select(*keys, embedding).where(f"`{embedding}` is not null")
-    parts = []
-    block: list = []
-    blocks = []
+    parts, block, blocks = [], [], []
     for q, v in queries.select(query_key, embedding).where(f"`{embedding}` is not null").toLocalIterator():
         block.append((q, v))
         if len(block) == BLOCK:
@@ -51,21 +53,27 @@ def similarities(queries: DataFrame, query_key: str, vectors: DataFrame, keys: l
         shipped = sc.broadcast(([q for q, _ in own], np.array([v for _, v in own], dtype=np.float64)))
 
         def score(batches: Iterator[pd.DataFrame], shipped=shipped) -> Iterator[pd.DataFrame]:
-            ids, asked = shipped.value
+            ids, asked = np.array(shipped.value[0], dtype=object), shipped.value[1]
             for batch in batches:
                 if not len(batch) or not len(ids):
                     continue
-                got = asked @ np.stack(batch[embedding].to_numpy()).astype(np.float64).T
-                q = np.repeat(np.arange(len(ids)), len(batch))
-                at = np.tile(np.arange(len(batch)), len(ids))
-                out = pd.DataFrame({"query_id": np.array(ids, dtype=object)[q], **{k: batch[k].to_numpy()[at] for k in keys}, "score": got.ravel()})
-                if keep is not None:
-                    # the best window of each document, and of these the best documents (ties kept)
-                    best = out.groupby(["query_id", keys[0]])["score"].max().reset_index()
-                    edge = best.groupby("query_id")["score"].transform(lambda s: s.nlargest(keep).min())
-                    best = best[best["score"] >= edge - 1e-4].rename(columns={"score": "edge"})
-                    out = out.merge(best[["query_id", keys[0]]], on=["query_id", keys[0]])
-                yield out
+                v = np.stack(batch[embedding].to_numpy()).astype(np.float64)
+                codes, docs = pd.factorize(batch[keys[0]])
+                for at in range(0, len(ids), QUERIES_AT_ONCE):
+                    got = asked[at : at + QUERIES_AT_ONCE] @ v.T
+                    mask = np.ones(got.shape, dtype=bool)
+                    if keep is not None:
+                        best = got
+                        if pooled:
+                            best = np.full((len(docs), len(got)), -np.inf)
+                            np.maximum.at(best, codes, got.T)
+                            best = best.T
+                            mask = got == best[:, codes]
+                        if best.shape[1] > keep:
+                            edge = np.partition(best, -keep, axis=1)[:, -keep]
+                            mask &= got >= (edge - 1e-4)[:, None]
+                    q, r = np.nonzero(mask)
+                    yield pd.DataFrame({"query_id": ids[at + q], **{k: batch[k].to_numpy()[r] for k in keys}, "score": got[q, r]})
 
         parts.append(rows.mapInPandas(score, schema))
     return reduce(DataFrame.union, parts)
@@ -73,7 +81,7 @@ def similarities(queries: DataFrame, query_key: str, vectors: DataFrame, keys: l
 
 def cosine_topk(queries: DataFrame, query_key: str, vectors: DataFrame, key: str, k: int, decimals: int = 4, embedding: str = "embedding", ties: str = "asc") -> DataFrame:
     """(query_id, id, rank, score): the best window of each document, the ``k`` best documents of each query."""
-    scores = similarities(queries, query_key, vectors, [key], embedding, keep=k)
+    scores = similarities(queries, query_key, vectors, [key], embedding, keep=k, pooled=True)
     pooled = scores.groupBy("query_id", F.col(key).alias("id")).agg(F.round(F.max("score"), decimals).alias("score"))
     return ranked(pooled, k, ties)
 
@@ -83,7 +91,7 @@ def library_search(queries: DataFrame, query_key: str, vectors: DataFrame, doc:
 
     ``live`` (doc, created_at) restricts the scope and breaks ties: rounded score, created_at, chunk, doc."""
     scope = vectors if live is None else vectors.join(live.select(doc).distinct(), doc, "left_semi")
-    scores = similarities(queries, query_key, scope, [doc, chunk], embedding)
+    scores = similarities(queries, query_key, scope, [doc, chunk], embedding, keep=k)
     own = Window.partitionBy("query_id", doc).orderBy(F.desc("score"), chunk)
     best = scores.withColumn("r", F.row_number().over(own)).where(F.col("r") <= k).withColumn("score", F.round("score", decimals))
     best = best.withColumn("created_at", F.lit(None).cast("timestamp")) if live is None else best.join(live.select(doc, "created_at"), doc, "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from daftar.operators.order import running_counts
+
 RESAMPLES, SEED = 10_000, 20260923
 
 
@@ -36,7 +38,7 @@ def bootstrap_interval(values: DataFrame, value: str, order: str, resamples: int
 
     The index of draw i of resample b is the first 8 hex digits of md5('seed:b:i') modulo n, so any engine draws the same.
     Draws are joined to the values by position; nothing is collected."""
-    at = values.select(F.col(value).alias("v"), (F.row_number().over(Window.orderBy(order)) - 1).cast("bigint").alias("i"))
+    at = running_counts(values.select(F.col(value).alias("v"), F.col(order).alias("o")), [], ["o"]).select("v", F.col("before").alias("i"))
     n = at.agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
     draws = values.sparkSession.range(resamples).withColumnRenamed("id", "b").crossJoin(F.broadcast(n)).where("n > 0")
     draws = draws.select("b", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("draw"))
@@ -50,18 +52,19 @@ def bootstrap_interval(values: DataFrame, value: str, order: str, resamples: int
 
 def latency_summary(samples: DataFrame, group: str, value: str, decimals: int = 4) -> DataFrame:
     """(group, n, median, p95, min, max, mean): p95 is the nearest rank round(0.95 n + 0.5), halves to the even one."""
-    w = Window.partitionBy(group)
-    rows = samples.where(F.col(value).isNotNull()).withColumn("r", F.row_number().over(w.orderBy(value))).withColumn("n", F.count("*").over(w))
-    # the doubled value tells halves exactly: 1.9 n + 1 is twice the place
-    place = F.least(F.col("n"), F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(95) / F.lit(100) + F.lit(0.5), 0).cast("bigint")))
-    return rows.groupBy(group).agg(
-        F.count("*").alias("n"),
-        F.round(F.median(value), decimals).alias("median"),
-        F.round(F.max(F.when(F.col("r") == place, F.col(value))), decimals).alias("p95"),
-        F.round(F.min(value), decimals).alias("min"),
-        F.round(F.max(value), decimals).alias("max"),
-        F.round(F.avg(value), decimals).alias("mean"),
-    )
+    # equal values are counted before anything is sorted, and positions are found without sorting a group in one task
+    counts = samples.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("g"), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    placed = running_counts(counts, ["g"], ["v"], "c")
+    totals = counts.groupBy("g").agg(F.sum("c").alias("n"))
+    n, low, high = F.col("n"), F.col("before"), F.col("before") + F.col("c")
+    at = lambda place: F.max(F.when((low < place) & (place <= high), F.col("v")))
+    place = F.least(n, F.greatest(F.lit(1), F.bround(n * F.lit(95) / F.lit(100) + F.lit(0.5), 0).cast("bigint")))
+    out = placed.join(totals, "g").groupBy("g", "n").agg(
+        at(F.floor((n + 1) / 2)).alias("left"), at(F.floor(n / 2) + 1).alias("right"), at(place).alias("p95"),
+        F.min("v").alias("min"), F.max("v").alias("max"), F.sum(F.col("v") * F.col("c")).alias("sum"),
+    )
+    numbers = {"median": (F.col("left") + F.col("right")) / 2, "p95": F.col("p95"), "min": F.col("min"), "max": F.col("max"), "mean": F.col("sum") / F.col("n")}
+    return out.select(F.col("g").alias(group), "n", *[F.round(c, decimals).alias(k) for k, c in numbers.items()])
 
 
 def mix(rows: DataFrame, category: str, decimals: int = 3) -> DataFrame:
