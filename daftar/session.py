@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +25,25 @@ def local_session(cores: int = 8, app: str = "daftar", shuffle_partitions: int |
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers import this package: once per application, and only where their path doesn't have it."""
+    root = Path(__file__).resolve().parent
+    application = spark.sparkContext.applicationId
+    if application in _shipped or str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="daftar-"), "daftar.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
