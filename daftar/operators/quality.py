@@ -113,3 +113,32 @@ def decoded(files: DataFrame, content: str = "content") -> DataFrame:
     has_nul = F.hex(raw).rlike("^(?:..)*?00")
     good = F.is_valid_utf8(body.cast("string"))
     return files.withColumn("encoding", F.when(has_nul, F.lit(None)).when(good, "utf-8").otherwise("windows-1256")).withColumn("text", F.when(has_nul, F.lit(None)).when(good, body.cast("string")).otherwise(_windows_1256(F.when(~good, body))))
+
+
+def case_problems(cases: DataFrame, articles: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(id, problem): why a probe is not fit to be scored, null if it is.
+
+    ``cases`` (id, probe, expected_articles, evidence, variants), ``articles`` (id, text) with one text an id, ``cuts`` (id, cut): the
+    characters of an article that the encoder reads, absent if it reads all."""
+    wanted = cases.select("id", F.posexplode_outer("expected_articles").alias("pos", "article_id"))
+    texts = articles.select(F.col("id").alias("article_id"), "text")
+    found = wanted.join(texts, "article_id", "left").join(cuts.select(F.col("id").alias("article_id"), "cut"), "article_id", "left")
+    own = found.groupBy("id").agg(
+        F.count("article_id").alias("n"),
+        F.array_sort(F.collect_set(F.when(F.col("article_id").isNotNull() & F.col("text").isNull(), F.col("article_id")))).alias("missing"),
+        F.max(F.when(F.col("pos") == 0, F.col("text"))).alias("text"),
+        F.max(F.when(F.col("pos") == 0, F.col("cut"))).alias("cut"),
+    )
+    rows = cases.join(own, "id", "left")
+    place = F.instr("text", F.col("evidence")) - 1
+    problem = (
+        F.when(F.coalesce("n", F.lit(0)) == 0, "INVALID: no expected articles")
+        .when(F.size("missing") > 0, F.concat(F.lit("INVALID: not in corpus: "), F.array_join("missing", ", ")))
+        .when((F.col("probe") == "orthographic_variant") & (F.coalesce(F.size("variants"), F.lit(0)) <= 0), "INVALID: no variants")
+        .when(F.col("probe") == "orthographic_variant", F.lit(None).cast("string"))
+        .when(F.coalesce("evidence", F.lit("")) == "", "INVALID: no evidence")
+        .when(place < 0, "INVALID: evidence not found")
+        .when((F.col("probe") == "tail_evidence") & F.col("cut").isNull(), "NOT-A-PROBE: not truncated")
+        .when((F.col("probe") == "tail_evidence") & (place < F.col("cut")), "NOT-A-PROBE: evidence is read")
+    )
+    return rows.select("id", problem.alias("problem"))

@@ -212,3 +212,17 @@ def test_injected_models(spark):
 def test_formatted_sources(spark, many):
     row = spark.createDataFrame([(["t"] * many,)], "s array<string>").select(models.formatted_sources(F.col("s")).alias("x")).first()
     assert row.x == "\n\n".join(f"[{i}]\nt" for i in range(1, many + 1))
+
+
+def test_probe_cases(spark):
+    schema = "id string, probe string, expected_articles array<string>, evidence string, variants array<string>"
+    cases = [
+        ("a", "tail_evidence", [], "x", None), ("b", "tail_evidence", ["gone"], "x", None), ("c", "orthographic_variant", ["l"], None, []), ("d", "orthographic_variant", ["l"], None, ["v"]),
+        ("e", "tail_evidence", ["l"], None, None), ("f", "tail_evidence", ["l"], "zzz", None), ("g", "tail_evidence", ["m"], "tail", None), ("h", "tail_evidence", ["l"], "head", None), ("i", "tail_evidence", ["l"], "tail", None), ("j", "tail_evidence", None, "x", None),
+    ]
+    arts = spark.createDataFrame([("l", "head and tail"), ("m", "tail")], "id string, text string")
+    got = {r.id: r.problem for r in quality.case_problems(spark.createDataFrame(cases, schema), arts, spark.createDataFrame([("l", 5)], "id string, cut int")).collect()}
+    assert got == {
+        "a": "INVALID: no expected articles", "b": "INVALID: not in corpus: gone", "c": "INVALID: no variants", "d": None, "e": "INVALID: no evidence",
+        "f": "INVALID: evidence not found", "g": "NOT-A-PROBE: not truncated", "h": "NOT-A-PROBE: evidence is read", "i": None, "j": "INVALID: no expected articles",
+    }
