@@ -40,7 +40,7 @@ _LAST_WORD = re.compile(r"([^\W_]+)[\W_]*$")
 _FINAL_WORD = re.compile(r"([^\W\d_]+)['\"»”)]*[.!?؟](?=\s|$|['\"»”])")
 
 
-def _same_words(a: list[str], b: list[str]) -> float:
+def _same_words(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     """Share of the longer word list that both have."""
     if not a or not b:
         return 0.0
@@ -73,6 +73,8 @@ def ending(text: str | None, question: str | None = None) -> str:
         return "closed"
     if bare.strip(" ،,").casefold() in wording.YES_NO:
         return "whole"
+    if not dots and not question and not wording.REFUSAL.search(bare) and not wording.APOLOGY.search(bare):
+        return "open"
     last = wording.clauses(bare)[-1]
     if wording.is_refusal(last) or wording.APOLOGY.search(last):
         return "debris" if dots else "doubtful"

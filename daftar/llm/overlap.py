@@ -46,13 +46,18 @@ SYNONYMS = [
 ]
 # --------------------------------------------------------------------------------------------------
 _FOLD = {ord(a): b for a, b in zip("ىةیکٱٰ", "يهيكا ")} | {base + d: str(d) for base in (0x660, 0x6F0) for d in range(10)} | {0x640: None}
+_TO_FOLD = re.compile("[" + "".join(map(chr, _FOLD)) + "]")
+_COMBINING = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x300, 0x11000) if unicodedata.combining(chr(c))) + "]+")
 _WORD = re.compile(r"[^\W_]+")
 
 
 def words(text: str) -> list[str]:
     """Words without everything that may differ between spellings of one question."""
-    text = unicodedata.normalize("NFD", canonical(text).casefold())
-    text = "".join(c for c in text if not unicodedata.combining(c)).translate(_FOLD)
+    if text.isascii():
+        return _WORD.findall(text.casefold())
+    text = _COMBINING.sub("", unicodedata.normalize("NFD", canonical(text).casefold()))
+    if _TO_FOLD.search(text):
+        text = text.translate(_FOLD)
     return _WORD.findall(text)
 
 

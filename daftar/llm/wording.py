@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from daftar.llm.lookalike import canonical
 from daftar.llm.overlap import words
@@ -63,6 +64,7 @@ def clauses(text: str) -> list[str]:
     return out
 
 
+@lru_cache(maxsize=20_000)
 def language(text: str) -> tuple[str | None, int]:
     """(main language or script, words that tell it)."""
     text = CITATION.sub(" ", canonical(text))
@@ -77,10 +79,13 @@ def language(text: str) -> tuple[str | None, int]:
     return (best if votes[best] else "latin"), len(tokens)
 
 
+@lru_cache(maxsize=20_000)
 def is_refusal(clause: str) -> bool:
     """Whether a clause declines; words inside quotation marks are not the speaker's."""
     return bool(REFUSAL.search(QUOTED.sub(" ", canonical(clause))))
 
 
-def bag(text: str) -> list[str]:
-    return words(text)
+@lru_cache(maxsize=20_000)
+def bag(text: str) -> tuple[str, ...]:
+    """Folded words of a clause or question; questions come again and again."""
+    return tuple(words(text))
