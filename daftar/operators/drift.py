@@ -24,8 +24,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daftar.session import cut_lineage
 
@@ -265,29 +267,31 @@ def _nodes(node: Node) -> Iterator[Node]:
         yield from _nodes(child)
 
 
-_STEP = "series string, file_kind string, file_no int, file_name string, change_kind string, old_path string, new_path string, old_type string, new_type string"
+_STEP_FIELDS = ("change_kind", "old_path", "new_path", "old_type", "new_type")
+
+
+def _script(old: list[dict], new: list[dict]) -> list[dict]:
+    """Edit script between the fields of two files, with the types on both sides."""
+    a, b = (tree([(r["path"], r["type"], *(r[c] for c in _PROFILE)) for r in rows]) for rows in (old, new))
+    types = ({n.path: n.type for n in _nodes(a)}, {n.path: n.type for n in _nodes(b)})
+    return [dict(zip(_STEP_FIELDS, (*step, types[0].get(step[1]), types[1].get(step[2])))) for step in with_moves(edit_script(a, b), a, b)]
 
 
 def _scripts(summaries: DataFrame) -> DataFrame:
-    """Edit script of each file against the one with the next lower number; one small task per pair."""
-    files = summaries.select(*KEYS, "file_no", "file_name").distinct()
-    files = files.withColumn("next_no", F.lead("file_no").over(Window.partitionBy(*KEYS).orderBy("file_no", "file_name")))
-    later = F.lead("file_name").over(Window.partitionBy(*KEYS).orderBy("file_no", "file_name"))
-    files = files.withColumn("next_name", later).where("next_no is not null")
-    old = summaries.join(files.select("file_name", "next_no", "next_name"), "file_name").select(*KEYS, F.col("next_no").alias("file_no"), F.col("next_name").alias("file_name"), F.lit(0).alias("side"), "path", "type", *_PROFILE)
-    new = summaries.select(*KEYS, "file_no", "file_name", F.lit(1).alias("side"), "path", "type", *_PROFILE)
-    both = old.unionByName(new)
-
-    def diff(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        sides = [part[part.side == s] for s in (0, 1)]
-        rows = []
-        if len(sides[0]):
-            a, b = (tree(list(s[["path", "type", *_PROFILE]].where(s.notna(), None).itertuples(index=False, name=None))) for s in sides)
-            types = ({n.path: n.type for n in _nodes(a)}, {n.path: n.type for n in _nodes(b)})
-            rows = [(*key, *step, types[0].get(step[1]), types[1].get(step[2])) for step in with_moves(edit_script(a, b), a, b)]
-        return pd.DataFrame(rows, columns=[*KEYS, "file_no", "file_name", "change_kind", "old_path", "new_path", "old_type", "new_type"])
-
-    return both.groupBy(*KEYS, "file_no", "file_name").applyInPandas(diff, _STEP)
+    """Edit script of each file against the one with the next lower number.
+
+    The fields of a file, as many as its layout has, are one row; a window over the files of a series puts the file before
+    beside it."""
+    fields = F.collect_list(F.struct("path", "type", *_PROFILE))
+    files = summaries.groupBy(*KEYS, "file_no", "file_name").agg(fields.alias("new"))
+    files = files.withColumn("old", F.lag("new").over(Window.partitionBy(*KEYS).orderBy("file_no", "file_name"))).where("old is not null")
+    kind = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in _STEP_FIELDS]))
+
+    @F.arrow_udf(kind)
+    def script(old: pa.Array, new: pa.Array) -> pa.Array:
+        return pa.array([_script(x, y) for x, y in zip(old.to_pylist(), new.to_pylist())], pa.list_(pa.struct([(c, pa.string()) for c in _STEP_FIELDS])))
+
+    return files.select(*KEYS, "file_no", "file_name", F.explode(script("old", "new")).alias("s")).select(*KEYS, "file_no", "file_name", "s.*")
 
 
 def _components(edges: set[tuple[str, str]], names: set[str]) -> dict[str, str]:
