@@ -154,10 +154,11 @@ def cosine_join(left: DataFrame, right: DataFrame, key: str, terms: str, thresho
         .withColumn("behind", F.coalesce(F.sqrt(F.sum(F.col("w") * F.col("w")).over(behind)), F.lit(0.0)))
         .where((F.col("reach") >= threshold - 1e-9) & (other > 0))
     )
-    a = lists.where("side = 0").select("term", "df", F.col("k").alias("key_a"), F.col("w").alias("wa"), F.col("behind").alias("ra"))
+    a = lists.where("side = 0").select("term", F.col("k").alias("key_a"), F.col("w").alias("wa"), F.col("behind").alias("ra"))
     b = lists.where("side = 1").select("term", F.col("k").alias("key_b"), F.col("w").alias("wb"), F.col("behind").alias("rb"))
-    met = a.join(b, "term").select("key_a", "key_b", F.struct("df", "term").alias("first"), (F.col("wa") * F.col("wb") + F.col("ra") * F.col("rb")).alias("bound"))
-    met = met.groupBy("key_a", "key_b").agg(F.min_by("bound", "first").alias("bound")).where(F.col("bound") >= threshold - 1e-9).select("key_a", "key_b")
+    # at the first term that a pair has in common this bounds its cosine; at a later one a row is not needed, so all rows below
+    # the threshold go before anything is shuffled
+    met = a.join(b, "term").where(F.col("wa") * F.col("wb") + F.col("ra") * F.col("rb") >= threshold - 1e-9).select("key_a", "key_b").distinct()
     va = vectors.where("side = 0").select(F.col("k").alias("key_a"), F.map_from_entries(F.transform("v", lambda e: F.struct(e["term"], e["w"]))).alias("va"))
     vb = vectors.where("side = 1").select(F.col("k").alias("key_b"), F.col("v").alias("vb"))
     dot: Column = F.aggregate("vb", F.lit(0.0), lambda s, e: s + e["w"] * F.coalesce(F.try_element_at("va", e["term"]), F.lit(0.0)))
@@ -172,7 +173,7 @@ def split_overlaps(questions: DataFrame, key: str = "id", text: str = "question"
     """(id_a, id_b): a training and a held-out record that are the same question, the smaller key first."""
     rows = questions.select(F.col(key).alias("id"), _split(F.col(split)).alias("split"), F.col(text).alias("q")).where(F.col("split").isin(*train, *held_out) & (F.length("q") > 0)).distinct()
     rows = rows.select("id", F.col("split").isin(*train).alias("train"), words_column("q").alias("ws")).where(F.size("ws") > 0)
-    rows = cut_lineage(rows.withColumn("bag", F.sha2(F.array_join("ws", " "), 256)))
+    rows = cut_lineage(rows.withColumn("bag", F.unhex(F.md5(F.array_join("ws", " ")))))
     bags = rows.groupBy("bag").agg(F.first("ws").alias("ws"), F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_held"))
     pairs = cosine_join(bags.where("in_train").select("bag", "ws"), bags.where("in_held").select("bag", "ws"), "bag", "ws", threshold)
     # words that many distinct questions have, only for the words of candidate pairs
