@@ -355,6 +355,14 @@ def schema_changes(lines: DataFrame, moves: bool = False) -> DataFrame:
 # one table
 
 
+def _integer(value: object) -> int | None:
+    try:
+        return int(value) if isinstance(value, (int, str)) else int(value) if float(value).is_integer() else None
+    except ValueError:
+        number = float(value)
+        return int(number) if number.is_integer() else None
+
+
 def _coerce(value: object, kind: str) -> object:
     """A value in the table's type for its field; what can't be read so becomes its JSON text (strings) or null."""
     if value is None:
@@ -362,29 +370,48 @@ def _coerce(value: object, kind: str) -> object:
     if kind.startswith("array"):
         if isinstance(value, str) and kind != "array<string>":
             value = [x for x in value.replace(";", ",").split(",") if x.strip()]
-        inner = kind[6:-1] if kind != "array" else "string"
+        inner = kind[6:-1]
         return [_coerce(x, inner) for x in (value if isinstance(value, list) else [value])]
-    if isinstance(value, list) and len(value) == 1:
+    if kind != "string" and isinstance(value, list) and len(value) == 1:
         value = value[0]
     if isinstance(value, dict):
         scalars = [x for x in value.values() if not isinstance(x, (dict, list))]
-        if kind != "object" and scalars:
+        if scalars:
             value = scalars[0]
     try:
         if kind == "integer":
-            return int(round(float(value)))
+            whole = _integer(value)
+            return whole if whole is not None and -(1 << 63) <= whole < 1 << 63 else None
         if kind == "number":
-            return float(value)
+            number = float(value)
+            return number if math.isfinite(number) else None
         if kind == "boolean":
-            return value.strip().lower() in ("true", "1", "yes") if isinstance(value, str) else bool(value)
-    except (TypeError, ValueError):
+            return {"true": True, "1": True, "yes": True, "false": False, "0": False, "no": False}.get(str(value).strip().lower())
+    except (TypeError, ValueError, OverflowError):
         return None
     return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
 
 
-def consistent_schema(summaries: DataFrame, steps: DataFrame) -> tuple[dict[tuple[str, str], dict[str, str]], dict[tuple[str, str], str]]:
+def _held(value: object, typed: object) -> bool:
+    """Whether the typed value says all that the value said; 3 and 3.0 are the same number."""
+    if isinstance(value, list):
+        return isinstance(typed, list) and len(value) == len(typed) and all(map(_held, value, typed))
+    return isinstance(value, bool) == isinstance(typed, bool) and value == typed
+
+
+def widest(votes: dict[str, int]) -> str:
+    """The type that most files use, widened to hold the fractions and the arrays of all others."""
+    votes = {t: n for t, n in votes.items() if t != "array" or not any(x.startswith("array<") for x in votes)}
+    kind = max(sorted(votes), key=lambda t: votes[t])
+    if kind.startswith("array"):
+        inner = merged({t[6:-1] for t in votes if t.startswith("array<")})
+        return f"array<{inner if inner in ('integer', 'number', 'boolean', 'object') else 'string'}>"
+    return "number" if kind == "integer" and "number" in votes else kind
+
+
+def consistent_schema(summaries: DataFrame, steps: DataFrame) -> tuple[dict[tuple[str, str], str], dict[tuple[str, str], str]]:
     """(kind, path) -> table field, and the type of each field: the names tied by renames in any series are one field under the
-    name that most files use.  Gathers distinct names and types, never lines."""
+    name that most files use, inside the field of their object.  Gathers distinct names and types, never lines."""
     counts = summaries.where("type is not null and path <> ''").groupBy("file_kind", "path", "type").agg(F.count("*").alias("n")).collect()
     edges: dict[str, set] = defaultdict(set)
     for kind, a, b in steps.where("change_kind = 'renamed'").select("file_kind", "old_path", "new_path").distinct().collect():
@@ -394,41 +421,65 @@ def consistent_schema(summaries: DataFrame, steps: DataFrame) -> tuple[dict[tupl
         own = [c for c in counts if c[0] == kind]
         root = _components(edges[kind], {c[1] for c in own})
         weight: dict[str, int] = defaultdict(int)
-        votes: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
-        for _, path, t, n in own:
+        for _, path, _, n in own:
             weight[path] += n
-            votes[root[path]][t] += n
         head = {r: min((p for p in root if root[p] == r), key=lambda p: (-weight[p], p)) for r in set(root.values())}
-        best = {r: max(sorted(v), key=lambda t: v[t]) for r, v in votes.items()}
-        leaves = {p for p in root if best.get(root[p]) not in ("object", "array<object>", None)}
-        for path in root:
-            if not any(path.startswith(x + ".") for x in leaves):
-                fields[kind, path] = head[root[path]]
-                types[kind, head[root[path]]] = best[root[path]] or "string"
+        target = {"": ""}
+        for path in sorted(root, key=lambda p: (p.count("."), p)):
+            above, name = path.rpartition(".")[0], head[root[path]].rpartition(".")[2]
+            if above in target and name and "`" not in name:
+                target[path] = f"{target[above]}.{name}" if above else name
+        votes: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
+        for _, path, t, n in own:
+            if path in target:
+                votes[target[path]][t] += n
+        best = {t: widest(v) for t, v in votes.items()}
+        filled = {t.rpartition(".")[0] for t in best}
+        best = {t: b if t in filled or b not in ("object", "array<object>") else "string" if b == "object" else "array<string>" for t, b in best.items()}
+        for path, to in target.items():
+            parts = to.split(".")
+            if to in best and all(best.get(".".join(parts[:i])) in ("object", "array<object>") for i in range(1, len(parts))):
+                fields[kind, path], types[kind, to] = to, best[to]
     return fields, types
 
 
-def _project(value: dict, prefix: str, kind: str, fields: dict, types: dict) -> dict:
-    """One line, or one object in it, through the projection compiled for its kind of file."""
+def _project(value: dict, prefix: str, kind: str, fields: dict, types: dict, rest: dict) -> dict:
+    """One line, or one object in it, through the projection compiled for its kind of file.
+
+    ``rest`` gets, by path, each value that the table's fields don't hold as it is."""
     out: dict = {}
     for name, inner in value.items():
         path = f"{prefix}{name}"
-        target = fields.get((kind, path))
-        if target is None:
+        if inner is None:
             continue
-        t, key = types[kind, target], target.rpartition(".")[2]
-        if t == "object" and isinstance(inner, dict):
-            inner = _project(inner, path + ".", kind, fields, types)
-        elif t == "array<object>" and isinstance(inner, (list, dict)):
-            inner = [_project(x, path + ".", kind, fields, types) for x in (inner if isinstance(inner, list) else [inner]) if isinstance(x, dict)]
+        target = fields.get((kind, path))
+        key, typed = (target or "").rpartition(".")[2], None
+        t = types[kind, target] if target else None
+        lost: dict = {}
+        if target is None or out.get(key) is not None:
+            lost[path] = inner
+        elif t == "object":
+            if isinstance(inner, dict):
+                typed = _project(inner, path + ".", kind, fields, types, lost)
+            else:
+                lost[path] = inner
+        elif t == "array<object>":
+            inside: dict = {}
+            objects = inner if isinstance(inner, list) else [inner]
+            typed = [_project(x, path + ".", kind, fields, types, inside) for x in objects if isinstance(x, dict)]
+            if inside or not isinstance(inner, list) or len(typed) < len(inner):
+                lost[path] = inner
         else:
-            inner = _coerce(inner, t)
-        if out.get(key) is None:
-            out[key] = inner
+            typed = _coerce(inner, t)
+            if not _held(inner, typed):
+                lost[path] = inner
+        rest.update(lost)
+        if typed is not None:
+            out[key] = typed
     return out
 
 
-_SQL = {"string": "string", "integer": "bigint", "number": "double", "boolean": "boolean", "array": "array<string>"}
+_SQL = {"string": "string", "integer": "bigint", "number": "double", "boolean": "boolean"}
 
 
 def _ddl(prefix: str, kind: str, types: dict[tuple[str, str], str]) -> str:
@@ -447,9 +498,11 @@ def _ddl(prefix: str, kind: str, types: dict[tuple[str, str], str]) -> str:
 
 
 def consistent_table(lines: DataFrame, body: str = "body") -> DataFrame:
-    """(series, file_kind, file_no, file_name, line_no, <kind> struct...): all lines in one schema, read through the compiled scripts.
+    """(series, file_kind, file_no, file_name, line_no, rest, <kind> struct...): all lines in one schema, read through the compiled scripts.
 
-    One struct column for each kind of file; the schema is the same for every file of every series."""
+    One struct column for each kind of file; the schema is the same for every file of every series.  ``rest`` is a JSON object of the
+    values of the line that its struct doesn't hold as they are, by their path in the line (a list with such a value is there whole,
+    a line that is no JSON object under the path ``""``), or null: each value of a line is in its struct or in ``rest``."""
     summaries = cut_lineage(path_summaries(lines, body))
     steps = _scripts(summaries)
     fields, types = consistent_schema(summaries, steps)
@@ -457,16 +510,18 @@ def consistent_table(lines: DataFrame, body: str = "body") -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out, left = [], []
             for kind, text in zip(batch["file_kind"], batch[body]):
                 try:
                     value = json.loads(text) if text is not None else None
                 except ValueError:
                     value = None
-                out.append(json.dumps(_project(value, "", kind, fields, types), ensure_ascii=False) if isinstance(value, dict) else None)
-            yield batch.assign(record=out)[[*KEYS, "file_no", "file_name", "line_no", "record"]]
+                rest: dict = {} if isinstance(value, dict) or text is None else {"": text}
+                out.append(json.dumps(_project(value, "", kind, fields, types, rest), ensure_ascii=False) if isinstance(value, dict) else None)
+                left.append(json.dumps(rest, ensure_ascii=False) if rest else None)
+            yield batch.assign(record=out, rest=left)[[*KEYS, "file_no", "file_name", "line_no", "rest", "record"]]
 
-    table = rows.mapInPandas(read, "series string, file_kind string, file_no int, file_name string, line_no int, record string")
+    table = rows.mapInPandas(read, "series string, file_kind string, file_no int, file_name string, line_no int, rest string, record string")
     kinds = sorted({k for k, _ in types})
     columns = [F.when(F.col("file_kind") == k, F.from_json("record", f"struct<{_ddl('', k, types)}>")).alias(k) for k in kinds]
-    return table.select(*KEYS, "file_no", "file_name", "line_no", *columns)
+    return table.select(*KEYS, "file_no", "file_name", "line_no", "rest", *columns)

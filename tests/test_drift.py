@@ -53,6 +53,41 @@ def test_one_consistent_table(spark):
     assert [(r.rows.seconds, r.rows.tok, [c.n for c in r.rows.c]) for r in rows] == [(1.5, 3, [1]), (2.5, 4, [2]), (4.0, 5, [])]
 
 
+def test_every_value_can_be_read_back(spark):
+    files = [
+        [{"x": 1, "i": 1, "e": [3], "o": {"v": 1, "u": "t"}, "k": "p", "l": [{"n": 1}], "m": {"a": 1}, "b": True}] * 3,
+        [{"x": 1.4971, "i": "law", "e": ["law-1", "law-59"], "o": 5, "k": {"name": "p", "rev": 2}, "l": [{"n": 2.5}, 7], "m": {"a": 149.5}, "b": "maybe"}],
+        [{"x": 2, "i": 1 << 70, "e": [], "o": None, "k": ["p"], "l": {"n": 3}, "m": {}, "b": 5, "z": {}}, "[1]", "no json"],
+    ]
+    df = lines(spark, *files)
+    table = drift.consistent_table(df)
+    bodies = {(r.file_name, r.line_no): r.body for r in df.collect()}
+    types = {n: t for n, t in table.select("rows.*").dtypes}
+    assert types["x"] == "double" and types["e"] == "array<string>" and types["m"] == "struct<a:double>"
+    for r in table.collect():
+        body, rest = bodies[r.file_name, r.line_no], json.loads(r.rest or "{}")
+        try:
+            value = json.loads(body)
+        except ValueError:
+            value = None
+        if not isinstance(value, dict):
+            assert rest == {"": body}
+            continue
+        held = r.rows.asDict(recursive=True)
+        for name, inner in value.items():
+            back = rest.get(name, held[name])
+            if isinstance(inner, dict) and name not in rest:
+                assert all(rest.get(f"{name}.{k}", back[k]) == v for k, v in inner.items())
+            else:
+                assert back == inner, name
+
+
+def test_inside_of_a_renamed_object_is_kept(spark):
+    df = lines(spark, [{"a": {"x": 1, "y": "same text"}}], [{"a": {"x": 1, "y": "same text"}}], [{"b": {"x": 2.5, "z": "same text"}}], [{"b": {"x": 2.5, "z": "same text"}}], [{"a": {"x": 3}}])
+    rows = drift.consistent_table(df).orderBy("file_no").collect()
+    assert [r.rows.a.x for r in rows] == [1, 1, 2.5, 2.5, 3] and all(r.rest is None for r in rows)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 4).flatmap(lambda n: st.integers(n, 5).flatmap(lambda m: st.lists(st.lists(st.integers(0, 20), min_size=m, max_size=m), min_size=n, max_size=n))))
 def test_assignment_is_optimal(cost):
