@@ -494,9 +494,9 @@ def audit_answers(s: SparkSession, d: str) -> DataFrame:
 
 
 def _gated(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Sentences of saved answers as claims, their citations as places in the retrieved list."""
+    """All sentences of saved answers as claims, their citations as places in the retrieved list."""
     rows = answers(s, d).select(F.col("answer_no").alias("query_id"), "text", F.coalesce("retrieved", F.array().cast("array<int>")).alias("retrieved"))
-    claims = rows.where("text is not null").select("query_id", "retrieved", F.posexplode(F.slice(tx.sentences(F.col("text")), 1, 3)).alias("claim_no", "text"))
+    claims = rows.where("text is not null").select("query_id", "retrieved", F.posexplode(tx.sentences(F.col("text"))).alias("claim_no", "text"))
     places = F.transform(ci.citations(F.col("text")), lambda n: F.array_position("retrieved", n).cast("int"))
     claims = claims.select("query_id", "claim_no", "text", places.alias("sources"))
     texts = articles(s, d).where("text is not null").groupBy(tx.article_number(F.col("id")).alias("article")).agg(F.min_by("text", "article_ref").alias("text")).where("article is not null")
