@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daftar.functions import text as tx
@@ -51,3 +51,21 @@ def copied(sentence: Column, context: Column) -> Column:
     flat = F.transform(context, lambda t: tx.collapse(t))
     hit = F.exists(starts, lambda i: F.exists(flat, lambda t: F.contains(t, F.substring(s, i, F.lit(COPIED_RUN)))))
     return (F.length(s) >= COPIED_RUN) & F.coalesce(hit, F.lit(False))
+
+
+def copied_windows(sentence: Column) -> Column:
+    """Hashes (h, g: 96 bits) of the runs that :func:`copied` tries, to be met with :func:`run_hashes` of texts."""
+    s = tx.collapse(sentence)
+    starts = F.sequence(F.lit(1), F.greatest(F.length(s) - COPIED_RUN + 1, F.lit(1)), F.lit(COPIED_RUN // 2))
+    each = F.transform(F.transform(starts, lambda i: F.substring(s, i, F.lit(COPIED_RUN))), lambda w: F.struct(F.xxhash64(w).alias("h"), F.hash(w).alias("g")))
+    return F.when(F.length(s) >= COPIED_RUN, each).otherwise(F.array().cast("array<struct<h:bigint,g:int>>"))
+
+
+def run_hashes(texts: DataFrame, key: str, text: Column) -> DataFrame:
+    """(key, h, g): each run of 60 characters of any text of the key, once.
+
+    The runs are spread by their hashes, so a key of many texts is no hot partition."""
+    rows = texts.select(key, tx.collapse(text).alias("t")).where(F.length("t") >= COPIED_RUN)
+    rows = rows.select(key, "t", F.explode(F.sequence(F.lit(1), F.greatest(F.length("t") - COPIED_RUN + 1, F.lit(1)))).alias("i"))
+    run = F.substring(F.col("t"), F.col("i"), F.lit(COPIED_RUN))
+    return rows.select(key, F.xxhash64(run).alias("h"), F.hash(run).alias("g")).distinct()

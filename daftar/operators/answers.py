@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +14,23 @@ MOST_CLAIMS, MOST_CLAIM_TEXT = 3, 300
 ABSTENTION_GOAL, LEAST_CITED = 0.80, 10
 
 
-def audit(answers: DataFrame, corpus: Column, retrieved: Column, context: Column, text: str = "text") -> DataFrame:
+def copied_sentences(answers: DataFrame, key: str, retrieved: str, texts: DataFrame, number: str, text: str = "text") -> DataFrame:
+    """(key, copied): numbers from 0 of the sentences of an answer that are copied from any text of a retrieved article.
+
+    ``texts`` (number, text) may have any number of texts for an article."""
+    windows = F.transform(tx.sentences(F.col(text)), lambda s, i: F.transform(ci.copied_windows(s), lambda w: F.struct(i.alias("i"), w["h"].alias("h"), w["g"].alias("g"))))
+    rows = answers.select(key, retrieved, F.explode(F.flatten(windows)).alias("w")).select(key, "w.*", F.explode(F.array_distinct(retrieved)).alias(number))
+    hits = rows.join(ci.run_hashes(texts, number, F.col("text")), [number, "h", "g"], "left_semi")
+    return hits.groupBy(key).agg(F.collect_set("i").alias("copied"))
+
+
+def audit(answers: DataFrame, corpus: Column, retrieved: Column, context: Column, text: str = "text", copied: Column | None = None) -> DataFrame:
     """``answers`` with the verdict on free text: a_abstained, a_cited, a_copied, a_strict, a_fabricated, a_ungrounded, a_uncited, a_grounded.
 
-    ``corpus`` and ``retrieved`` are arrays of article numbers, ``context`` the texts that were retrieved.  An abstention is not audited."""
+    ``corpus`` and ``retrieved`` are arrays of article numbers, ``context`` the texts that were retrieved.
+    ``copied``, if given, says which sentences are copied (numbers from 0) in place of the texts.  An abstention is not audited."""
     t = F.coalesce(F.col(text), F.lit(""))
-    parts = F.transform(tx.sentences(t), lambda s: F.struct(s.alias("s"), ci.citations(s).alias("c"), ci.copied(s, context).alias("copied")))
+    parts = F.transform(tx.sentences(t), lambda s, i: F.struct(s.alias("s"), ci.citations(s).alias("c"), (ci.copied(s, context) if copied is None else F.array_contains(copied, i)).alias("copied")))
     none = F.array().cast("array<int>")
     rows = answers.withColumn("_p", parts).withColumn("a_abstained", ci.is_abstention(t))
     own = F.array_distinct(F.flatten(F.transform(F.filter("_p", lambda p: ~p["copied"]), lambda p: p["c"])))
@@ -85,14 +98,37 @@ def gate(claims: DataFrame, sources: DataFrame, compat: bool = True) -> DataFram
 
     ``sources`` (query_id, n, article, text), n from 1.  Rules apply in that order, so no claim is dropped twice.  The sources of an
     answer (a handful) are gathered to one row and joined once."""
-    own = sources.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("n", F.struct("article", "text")))).alias("m"), F.max("n").alias("k"))
+    rows = _ruled(claims, sources, lambda x: ci.citations(tx.strip_invisible(x["text"])), compat)
+    texts = F.transform("_cited", lambda x: tx.strip_invisible(x["text"]))
+    rows = rows.withColumn("copied", F.when(F.col("reason").isNull(), ci.copied(F.col("_plain"), texts)))
+    return rows.drop("m", "k", "_plain", "_cited")
+
+
+def gate_corpus(claims: DataFrame, sources: DataFrame, texts: DataFrame, compat: bool = True) -> DataFrame:
+    """(query_id, claim_no, reason, copied): the rules of :func:`gate` for ``sources`` (query_id, n, article) with any number of
+    ``texts`` (article, text) an article: what one of them cites is allowed, what stands in one of them is copied."""
+    plain = tx.strip_invisible(F.col("text"))
+    cites = texts.select("article", F.explode(ci.citations(plain)).alias("c")).groupBy("article").agg(F.collect_set("c").alias("cites"))
+    sources = sources.select("query_id", "n", "article").join(cites, "article", "left").withColumn("cites", F.coalesce("cites", F.array().cast("array<int>")))
+    rows = _ruled(claims, sources, lambda x: x["cites"], compat)
+    articles = F.array_distinct(F.filter(F.transform("_cited", lambda x: x["article"]), lambda a: a.isNotNull()))
+    windows = F.flatten(F.transform(ci.copied_windows(F.col("_plain")), lambda w: F.transform(articles, lambda a: F.struct(a.alias("article"), w["h"].alias("h"), w["g"].alias("g")))))
+    rows = rows.select("query_id", "claim_no", "reason", F.explode_outer(F.when(F.col("reason").isNull(), windows)).alias("w"))
+    # a claim without windows still needs a place of its own in the join
+    rows = rows.select("query_id", "claim_no", "reason", F.coalesce("w.article", F.lit(-1)).alias("article"), F.coalesce("w.h", F.xxhash64("query_id", "claim_no")).alias("h"), F.coalesce("w.g", F.lit(0)).alias("g"))
+    rows = rows.join(ci.run_hashes(texts, "article", plain).withColumn("hit", F.lit(True)), ["article", "h", "g"], "left")
+    return rows.groupBy("query_id", "claim_no", "reason").agg(F.when(F.col("reason").isNull(), F.coalesce(F.max("hit"), F.lit(False))).alias("copied"))
+
+
+def _ruled(claims: DataFrame, sources: DataFrame, cites: Callable[[Column], Column], compat: bool) -> DataFrame:
+    """Claims with their reason, plain text and cited sources; ``cites``: numbers that a source cites."""
+    kept = [c for c in sources.columns if c not in ("query_id", "n")]
+    own = sources.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("n", F.struct(*kept)))).alias("m"), F.max("n").alias("k"))
     rows = claims.join(own, "query_id", "left").withColumn("k", F.coalesce("k", F.lit(0)))
-    cited = F.filter(F.transform("sources", lambda s: F.try_element_at("m", s)), lambda x: x.isNotNull())
-    texts = F.transform(cited, lambda x: tx.strip_invisible(x["text"]))
-    numbers = F.filter(F.transform(cited, lambda x: x["article"]), lambda n: n.isNotNull())
-    allowed = F.array_union(numbers, F.flatten(F.transform(texts, ci.citations)))
-    plain = tx.strip_invisible(tx.evaluation_form(F.col("text"), compat))
-    rows = rows.withColumn("_plain", plain).withColumn("_texts", texts).withColumn("_allowed", allowed)
+    rows = rows.withColumn("_cited", F.filter(F.transform("sources", lambda s: F.try_element_at("m", s)), lambda x: x.isNotNull()))
+    numbers = F.filter(F.transform("_cited", lambda x: x["article"]), lambda n: n.isNotNull())
+    rows = rows.withColumn("_allowed", F.array_union(numbers, F.flatten(F.transform("_cited", cites))))
+    rows = rows.withColumn("_plain", tx.strip_invisible(tx.evaluation_form(F.col("text"), compat)))
     hazard = tx.has_unsafe_gap(F.col("text")) | tx.has_override(F.col("text"))
     stray = F.exists(ci.citations(F.col("_plain")), lambda n: ~F.array_contains("_allowed", n))
     reason = (
@@ -100,8 +136,7 @@ def gate(claims: DataFrame, sources: DataFrame, compat: bool = True) -> DataFram
         .when(F.exists("sources", lambda s: (s < 1) | (s > F.col("k"))), "fabricated")
         .when(hazard | F.coalesce(stray, F.lit(False)), "ungrounded")
     )
-    rows = rows.withColumn("reason", reason).withColumn("copied", F.when(F.col("reason").isNull(), ci.copied(F.col("_plain"), F.col("_texts"))))
-    return rows.drop("m", "k", "_plain", "_texts", "_allowed")
+    return rows.withColumn("reason", reason).drop("_allowed")
 
 
 def gate_verdicts(answers: DataFrame, gated: DataFrame) -> DataFrame:

@@ -481,14 +481,18 @@ def _law_numbers(s: SparkSession, d: str) -> DataFrame:
     return articles(s, d).select(tx.article_number(F.col("id")).alias("n")).where("n < 1000").agg(F.collect_set("n").alias("corpus"))
 
 
+def _numbered_texts(s: SparkSession, d: str, number: str) -> DataFrame:
+    """All distinct texts of each article number: an id is unique only within its source file."""
+    return articles(s, d).where("text is not null").select(tx.article_number(F.col("id")).alias(number), "text").where(F.col(number).isNotNull()).distinct()
+
+
 @query()
 def audit_answers(s: SparkSession, d: str) -> DataFrame:
     numbers = _law_numbers(s, d)
-    texts = articles(s, d).where("text is not null").groupBy(tx.article_number(F.col("id")).alias("n")).agg(F.min_by("text", "article_ref").alias("t")).where("n is not null")
-    rows = answers(s, d).select("answer_no", "text", "retrieved")
-    context = rows.select("answer_no", F.explode("retrieved").alias("n")).join(texts, "n").groupBy("answer_no").agg(F.collect_list("t").alias("context"))
-    rows = rows.join(context, "answer_no", "left").crossJoin(F.broadcast(numbers))
-    out = an.audit(rows, F.col("corpus"), F.coalesce("retrieved", F.array().cast("array<int>")), F.coalesce("context", F.array().cast("array<string>")))
+    rows = answers(s, d).select("answer_no", "text", F.coalesce("retrieved", F.array().cast("array<int>")).alias("retrieved"))
+    none = F.array().cast("array<int>")
+    rows = rows.join(an.copied_sentences(rows, "answer_no", "retrieved", _numbered_texts(s, d, "n"), "n"), "answer_no", "left").crossJoin(F.broadcast(numbers))
+    out = an.audit(rows, F.col("corpus"), F.col("retrieved"), none.cast("array<string>"), copied=F.coalesce("copied", none))
     joined = lambda c: F.array_join(F.transform(c, lambda n: n.cast("string")), ",")
     return out.select("answer_no", F.col("a_abstained").alias("abstained"), joined("a_cited").alias("cited"), joined("a_copied").alias("copied"), joined("a_fabricated").alias("fabricated"), joined("a_ungrounded").alias("ungrounded"), F.size("a_uncited").alias("uncited"), F.col("a_grounded").alias("grounded"))
 
@@ -499,10 +503,9 @@ def _gated(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     claims = rows.where("text is not null").select("query_id", "retrieved", F.posexplode(tx.sentences(F.col("text"))).alias("claim_no", "text"))
     places = F.transform(ci.citations(F.col("text")), lambda n: F.array_position("retrieved", n).cast("int"))
     claims = claims.select("query_id", "claim_no", "text", places.alias("sources"))
-    texts = articles(s, d).where("text is not null").groupBy(tx.article_number(F.col("id")).alias("article")).agg(F.min_by("text", "article_ref").alias("text")).where("article is not null")
-    sources = rows.select("query_id", F.posexplode("retrieved").alias("n", "article")).join(texts, "article", "left").select("query_id", (F.col("n") + 1).alias("n"), "article", F.coalesce("text", F.lit("")).alias("text"))
+    sources = rows.select("query_id", F.posexplode("retrieved").alias("n", "article")).select("query_id", (F.col("n") + 1).alias("n"), "article")
     heads = rows.select("query_id", F.col("text").isNotNull().alias("parsed"), ci.is_abstention(F.col("text")).alias("abstain"), F.when(F.size("retrieved") == 0, "no_sources").alias("own_reason"))
-    return heads, an.gate(claims, sources, compat=False)
+    return heads, an.gate_corpus(claims, sources, _numbered_texts(s, d, "article"), compat=False)
 
 
 @query()

@@ -1,4 +1,5 @@
 import __spark_entry__ as entry
+from daftar.operators import answers as an
 
 
 def tables(spark, path, answers, articles):
@@ -18,3 +19,26 @@ def test_all_sentences_of_an_answer_are_gated(spark, tmp_path):
     verdict = entry.queries()["gate_verdicts"](spark, d).first()
     assert (verdict.status, verdict.kept, verdict.dropped) == ("partial", 3, 2)
     assert [(r.reason, r.status) for r in entry.queries()["abstain_reasons"](spark, d).collect()] == [("(none)", "partial")]
+
+
+LONG = "يلتزم صاحب العمل بأن يؤدي للعامل أجره كاملا في موعد لا يجاوز نهاية الشهر طبقا لحكم المادة 33 من هذا القانون"
+
+
+def test_every_text_of_an_article_number_counts(spark, tmp_path):
+    arts = [("a", "law-7", "نص المادة"), ("b", "law-7", f"تمهيد {LONG} وختام"), ("c", "law-33", "نص")]
+    answers = [(1, LONG + " [مادة 7]", [7]), (2, "كما ورد في المادة 33 وفق [مادة 7]", [7]), (3, LONG + " [مادة 33]", [33]), (4, None, None)]
+    d = tables(spark, tmp_path, answers, arts)
+    got = {r.answer_no: (r.copied, r.cited) for r in entry.queries()["audit_answers"](spark, d).collect()}
+    assert got == {1: ("7,33", ""), 2: ("", "7,33"), 3: ("", "33"), 4: ("", "")}
+    gated = {r.query_id: (r.reason, r.copied) for r in entry.queries()["gate_claims"](spark, d).collect()}
+    assert gated[3] == ("kept", False)
+    # the second claim cites 33 by its own place too, which isn't retrieved
+    assert gated[1][0] == gated[2][0] == "fabricated"
+
+
+def test_gate_over_many_texts(spark):
+    claims = spark.createDataFrame([(1, 0, LONG + " [مادة 7]", [1]), (1, 1, "كما ورد في المادة 33", [1]), (1, 2, "المادة 34", [1]), (1, 3, LONG, [2]), (2, 0, "x", [])], "query_id bigint, claim_no int, text string, sources array<int>")
+    sources = spark.createDataFrame([(1, 1, 7), (1, 2, 33)], "query_id bigint, n int, article int")
+    texts = spark.createDataFrame([(7, "نص المادة"), (7, f"تمهيد {LONG} وختام"), (33, "نص")], "article int, text string")
+    got = {(r.query_id, r.claim_no): (r.reason, r.copied) for r in an.gate_corpus(claims, sources, texts, compat=False).collect()}
+    assert got == {(1, 0): (None, True), (1, 1): (None, False), (1, 2): ("ungrounded", None), (1, 3): (None, False), (2, 0): ("uncited", None)}
