@@ -121,21 +121,21 @@ class Items:
     def search(self, doc: str) -> dict[int, int]:
         """Items that the document's letters hold, with the least number of edits."""
         found: dict[int, int] = {}
-        done: set[tuple[int, int]] = set()
+        done: dict[tuple[int, int], int] = {}  # end of the last unharmed run on each diagonal
         if not self.any:
             return found
         for end, (size, where) in self.automaton.iter(doc):
             start = end - size + 1
             for key, offset in where:
-                if found.get(key) == 0 or (key, start - offset) in done:
+                if found.get(key) == 0 or end < done.get((key, start - offset), 0):
                     continue
-                done.add((key, start - offset))
-                errors = self._verify(doc, key, start, offset, size)
+                errors, done[key, start - offset] = self._verify(doc, key, start, offset, size)
                 if errors is not None and errors < found.get(key, 1 << 30):
                     found[key] = errors
         return found
 
-    def _verify(self, doc: str, key: int, at: int, offset: int, size: int) -> int | None:
+    def _verify(self, doc: str, key: int, at: int, offset: int, size: int) -> tuple[int | None, int]:
+        """The least number of edits around a hit, and the end in the document of its unharmed run."""
         text, ends = self.text[key], self.ends[key]
         # grow the unharmed run around the piece, in letters
         left, right = 0, size
@@ -152,7 +152,7 @@ class Items:
         if last - first >= run:
             windows = [(first, first + run)]
         elif (last - first) * (self.budget + 1) < run - 2 * self.budget or not self.budget:
-            return None  # even the longest unharmed part of a run within the budget is longer than this
+            return None, at + right  # even the longest unharmed part of a run within the budget is longer than this
         else:
             windows = [(first, min(n, first + run)), (max(0, last - run), last)]
         best = None
@@ -164,7 +164,7 @@ class Items:
             errors = myers(pattern, doc[lo : at - offset + ends[j] + self.budget])
             if errors <= self.budget and (best is None or errors < best):
                 best = errors
-        return best
+        return best, at + right
 
 
 def _blocks(items: DataFrame, key: str, text: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:

@@ -1,6 +1,6 @@
 import random
 
-from daftar.llm.leak import item_words, leak_report, leaked_items, letters, myers
+from daftar.llm.leak import Items, item_words, leak_report, leaked_items, letters, myers
 from daftar.llm.spam import LineModel, labelled_shares, spam_pages, units
 
 WORDS = [f"كلمة{chr(0x627 + i)}" for i in range(20)] + [f"word{c}" for c in "abcdefghijklmnopqrst"]
@@ -72,6 +72,15 @@ def test_one_edit_is_within_the_budget(spark):
     assert [(r.doc_id, r.item_id, r.errors) for r in got] == [(1, 5, 1)]
 
 
+def test_a_run_after_a_change_of_equal_length_is_exact():
+    ws = [f"{w}{i:02d}" for i, w in enumerate(WORDS[:34])]
+    for at in (3, 8, 13):
+        changed = [*ws[:at], ws[at][:-1] + "q", *ws[at + 1 :]]
+        held = Items([(5, " ".join(ws))], 20, 1)
+        assert held.search(letters("x " + " ".join(changed[: at + 21]) + " y")) == {5: 0}
+        assert held.search(letters("x " + " ".join(changed[: at + 20]) + " y")) == {5: 1}
+
+
 PROSE = ["The data steward reviews the annual ledger within 30 days, unless agreed otherwise by the parties.", "If asked in writing, the applicant must not disclose the customer files to the board.", "على الجهة المختصة أن توقع على عقود الصيانة خلال ٣٠ يوما، ما لم يتفق على خلافه."]
 TAGS = ["cheap lawyer | free consultation | fast permit | trademark filing | legal forms | best law firm", "#cheap_lawyer #free_consultation #fast_permit #legal_forms #best_firm", "cheap lawyer, free consultation, fast permit, debt recovery, legal forms, notary online", "cheap lawyer free consultation fast permit legal forms cheap lawyer free consultation"]
 LINKS = ["http://aa.example/x www.bb.test/y https://cc.invalid/z", "• cheap lawyer www.dd.example/q"]
