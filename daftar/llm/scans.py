@@ -24,10 +24,11 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +40,8 @@ Q, MOST_EDITS = 2, 2
 FIT_WORDS = 1500
 #: Pages in the sample that the furniture classifier is trained on.
 FIT_PAGES = 300
+#: Headers of a scan that its pages in that sample are compared with.
+FIT_HEADERS = 8
 LEAST_COUNT = 2
 EDGE_LINES = 2
 #: A misread form stands on so few pages, or on so small a share of its word's pages.
@@ -295,11 +298,8 @@ def _pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_key", "scan_id", "page_no", "text").where("page_key is not null").dropDuplicates(["page_key"])
 
 
-def _headers(pages: DataFrame) -> DataFrame:
-    """(scan_id, headers): line keys that pages of a scan repeat at their edges, with edge share and number of pages.
-
-    Counted by key, so a scan of any number of pages is one row a distinct key; at most eight keys a scan are kept, which is more
-    than the edges of a page have lines."""
+def _line_keys(pages: DataFrame) -> DataFrame:
+    """(scan_id, page_key, key, edge): the keys of all lines."""
 
     @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("edge", T.BooleanType())])))
     def keys(v: pa.Array) -> pa.Array:
@@ -310,11 +310,40 @@ def _headers(pages: DataFrame) -> DataFrame:
             out.append([{"key": k, "edge": i in edge} for i, line in enumerate(lines) if len(k := line_key(line)) >= 4])
         return pa.array(out, pa.list_(pa.struct([("key", pa.string()), ("edge", pa.bool_())])))
 
-    rows = pages.select("scan_id", "page_key", F.explode(keys("text")).alias("k")).select("scan_id", "page_key", "k.key", "k.edge")
-    counts = rows.groupBy("scan_id", "key").agg(F.count_if("edge").alias("at_edge"), F.count("*").alias("all"))
-    counts = counts.where((F.col("at_edge") >= 2) & (F.col("at_edge") >= 0.8 * F.col("all")))
-    best = counts.withColumn("r", F.row_number().over(Window.partitionBy("scan_id").orderBy(F.desc("at_edge"), "key"))).where("r <= 8")
-    return best.groupBy("scan_id").agg(F.collect_list(F.struct("key", "at_edge", "all")).alias("headers"))
+    return pages.select("scan_id", "page_key", F.explode(keys("text")).alias("k")).select("scan_id", "page_key", "k.key", "k.edge")
+
+
+def _headers(lines: DataFrame) -> DataFrame:
+    """(scan_id, key, at_edge, all): all line keys that pages of a scan repeat at their edges, counted by key."""
+    counts = lines.groupBy("scan_id", "key").agg(F.count_if("edge").alias("at_edge"), F.count("*").alias("all"))
+    return counts.where((F.col("at_edge") >= 2) & (F.col("at_edge") >= 0.8 * F.col("all")))
+
+
+def _edits(a: str, b: str) -> Column:
+    """The number of ``edits``."""
+    swapped = []
+    for narrow, wide in WIDE_SHAPES.items():
+        for x, y in ((a, b), (b, a)):
+            at = F.instr(x, F.lit(wide))
+            swapped.append((at > 0) & (F.concat(F.substring(F.col(x), F.lit(1), at - 1), F.lit(narrow), F.substring(F.col(x), at + len(wide), F.length(x))) == F.col(y)))
+    n = F.levenshtein(a, b)
+    return F.when((n == 2) & reduce(Column.__or__, swapped), F.lit(1)).otherwise(n)
+
+
+def _page_headers(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """(page_key, headers): for each edge line of a page the header of its scan with the greatest ``furniture_signs``.
+
+    Looked up once a distinct key of a scan: by the key itself, else among the scan's headers of about its length."""
+    edges = lines.where("edge").select("scan_id", "page_key", "key").distinct()
+    own = edges.select("scan_id", "key").distinct()
+    header = F.struct("key", "at_edge", "all").alias("header")
+    exact = headers.select("scan_id", "key", header)
+    least, most = F.ceil(F.length("key") * 0.66 - 1e-6), F.floor(F.length("key") / 0.66 + 1e-6)
+    asked = own.join(exact, ["scan_id", "key"], "left_anti").select("scan_id", "key", F.explode(F.sequence(least.cast("int"), most.cast("int"))).alias("size"))
+    near = asked.join(headers.select("scan_id", F.length("key").alias("size"), F.col("key").alias("other"), "at_edge", "all"), ["scan_id", "size"])
+    near = near.withColumn("like", 1 - _edits("key", "other") / F.greatest(F.length("key"), F.length("other")))
+    near = near.groupBy("scan_id", "key").agg(F.max_by(F.struct(F.col("other").alias("key"), "at_edge", "all"), F.struct("like", F.col("at_edge") / F.col("all"), "at_edge")).alias("header"))
+    return edges.join(exact.unionByName(near), ["scan_id", "key"]).groupBy("page_key").agg(F.collect_set("header").alias("headers"))
 
 
 def _candidates(unknown: DataFrame, known: DataFrame) -> DataFrame:
@@ -502,10 +531,14 @@ def repaired_pages(pages: DataFrame, clean: DataFrame, text: str = "text") -> Da
     often = wanted.groupBy("form").agg(F.count("*").alias("pages"))
     answers = cut_lineage(distinct.join(_replacements(unknown, known, ranker, often), "form", "left").where("n is not null or replacement is not null"))
     told = wanted.join(answers, "form").groupBy("page_key").agg(F.collect_list(F.struct("form", "n", "replacement")).alias("told"))
-    headers = cut_lineage(_headers(rows))
-    sample = rows.where(F.length(F.trim("text")) > 0).select("scan_id", "text").limit(FIT_PAGES).join(headers, "scan_id").select("text", "headers").collect()
+    lines = _line_keys(rows)
+    headers = cut_lineage(_headers(lines))
+    # the sample that the classifier is trained on has the most frequent headers of a scan
+    often_seen = headers.withColumn("r", F.row_number().over(Window.partitionBy("scan_id").orderBy(F.desc("at_edge"), "key"))).where(F.col("r") <= FIT_HEADERS)
+    often_seen = often_seen.groupBy("scan_id").agg(F.collect_list(F.struct("key", "at_edge", "all")).alias("headers"))
+    sample = rows.where(F.length(F.trim("text")) > 0).select("scan_id", "text").limit(FIT_PAGES).join(often_seen, "scan_id").select("text", "headers").collect()
     furniture = fit_furniture([(r.text, r.headers) for r in sample])
-    full = rows.join(told, "page_key", "left").join(headers, "scan_id", "left")
+    full = rows.join(told, "page_key", "left").join(_page_headers(lines, headers), "page_key", "left")
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

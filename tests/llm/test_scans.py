@@ -36,6 +36,23 @@ def test_kinds_of_lines_and_repair(spark, clean):
     assert scans.repaired_pages(rows.limit(0), clean).count() == 0
 
 
+def test_a_scan_may_have_many_running_headers(spark, clean):
+    parts = "volume alpha,second bravo,chapter charlie,delta title,echo preface,foxtrot index,golf notes here,hotel annex,india summary,juliet closing,kilo epilogue,lima afterword".split(",")
+    rng = random.Random(8)
+    body = lambda: "\n".join(" ".join(rng.choice(WORDS) for _ in range(6)) for _ in range(5))
+    rows = [(f"S2:{n:03d}", "S2", n, f"{parts[n // 3]}\n{body()}") for n in range(3 * len(parts))]
+    rows.append(("S2:900", "S2", 900, f"lirna afterword\n{body()}"))
+    out = scans.repaired_pages(spark.createDataFrame(rows, "page_key string, scan_id string, page_no int, text string"), clean)
+    found = {(r.page_key, r.line_no) for r in scans.noisy_lines(out).where("kind = 'running_header'").collect()}
+    assert found == {(r[0], 1) for r in rows}
+
+
+def test_edits_in_the_jvm(spark):
+    pairs = [("lima", "lirna"), ("kind", "kincl"), ("abc", "abd"), ("abcdef", "ab"), ("wave", "vvave"), ("same", "same"), ("mm", "rnrn")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", scans._edits("a", "b").alias("n")).collect()
+    assert [r.n for r in got] == [scans.edits(a, b)[0] for a, b in pairs]
+
+
 def test_empty_lexicon_changes_no_word(spark, clean):
     out = scans.repaired_pages(pages(spark), clean.limit(0))
     assert {r.kind for r in scans.noisy_lines(out).collect()} <= {"running_header", "page_number"}
