@@ -401,8 +401,8 @@ def page_chunks(s: SparkSession, d: str) -> DataFrame:
 
 
 _HEADERS = f"""l AS (SELECT doc_id AS doc, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
-    n AS (SELECT doc, line_no, line, TRY_CAST({sql.digits(f"regexp_extract(line, {sql.q(segment._NUMERIC)}, 1)")} AS INTEGER) AS num, regexp_extract(line, {sql.q(segment._ORDINAL)}, 1) AS word FROM l),
-    h AS (SELECT doc, line_no, line, coalesce(num, CASE word {' '.join(f"WHEN {sql.q(k)} THEN {v}" for k, v in segment.ORDINALS.items())} END) AS number, CASE WHEN word <> '' THEN 'issuance' WHEN num IS NOT NULL THEN 'law' END AS book FROM n),
+    n AS (SELECT doc, line_no, line, TRY_CAST({sql.digits(f"regexp_extract(line, {sql.q(tx.NUMERIC_HEADER)}, 1)")} AS INTEGER) AS num, regexp_extract(line, {sql.q(tx.ORDINAL_HEADER)}, 1) AS word FROM l),
+    h AS (SELECT doc, line_no, line, coalesce(num, CASE word {' '.join(f"WHEN {sql.q(k)} THEN {v}" for k, v in tx.ORDINALS.items())} END) AS number, CASE WHEN word <> '' THEN 'issuance' WHEN num IS NOT NULL THEN 'law' END AS book FROM n),
     p AS (SELECT *, sum(CASE WHEN number IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line_no) AS pos FROM h),
     b AS (SELECT doc, pos, max(number) AS number, max(book) AS book, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (number IS NULL), '') AS body FROM p WHERE pos > 0 GROUP BY doc, pos),
     r AS (SELECT *, book = 'law' AND number <= last_value(CASE WHEN book = 'law' THEN number END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS restart FROM b),
@@ -440,7 +440,7 @@ _BARE = sql.replace_all("coalesce(text, '')", tx.SPACE)
 @query(f"""WITH t AS (SELECT doc_id, {_BARE} AS bare, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)
     SELECT doc_id, CASE WHEN length(bare) < 200 THEN 'too little text' ELSE array_to_string(list_filter([
         CASE WHEN CAST(length({sql.replace_all('bare', r'[^\x{0600}-\x{06FF}]')}) AS DOUBLE) / greatest(length(bare), 1) < 0.3 THEN 'not arabic' END,
-        CASE WHEN len(list_filter(ls, lambda x: regexp_matches(x, {sql.q(segment._NUMERIC)}) OR regexp_matches(x, {sql.q(segment._ORDINAL)}))) = 0 THEN 'no headers' END], lambda e: e IS NOT NULL), '; ') END AS problems FROM t""")
+        CASE WHEN len(list_filter(ls, lambda x: regexp_matches(x, {sql.q(tx.NUMERIC_HEADER)}) OR regexp_matches(x, {sql.q(tx.ORDINAL_HEADER)}))) = 0 THEN 'no headers' END], lambda e: e IS NOT NULL), '; ') END AS problems FROM t""")
 def extraction_problems(s: SparkSession, d: str) -> DataFrame:
     return segment.extraction_problems(spread(table(s, d, "documents").select("doc_id", "text"))).select("doc_id", F.array_join("problems", "; ").alias("problems"))
 

@@ -76,4 +76,29 @@ def test_small_ones(spark):
     assert one(spark, "p07", tx.page_order(F.col("t"))) == 7
     assert one(spark, "a/b\\c.PDF", tx.suffix(F.col("t"))) == ".pdf"
     assert one(spark, "x/‮name.txt", tx.display_title(F.col("t"))) == "name.txt"
-    assert one(spark, "كلمة ، ( كلمة ) in- line", tx.tidy(F.col("t"))) == "كلمة، (كلمة) inline"
+
+
+def test_tidy_moves_blanks_only(spark):
+    cases = {
+        "كلمة ، ( كلمة ) in- line": "كلمة، (كلمة) in-line",
+        "شبكات Wi-\nFi العامة": "شبكات Wi-Fi العامة",
+        "أولا : نطاق": "أولا: نطاق",
+        "يناير .2026 وثيقة": "يناير .2026 وثيقة",
+        "ذلك ؟! نعم": "ذلك؟! نعم",
+        "ذلك ؟!نعم": "ذلك ؟!نعم",
+        "البند (( أ": "البند ((أ",
+        "البند ( ( أ ) ) .": "البند ((أ)).",
+        "مادة( 1": "مادة( 1",
+        "الشبكة - الشركة": "الشبكة - الشركة",
+        "  باب\t قول  ": "  باب\t قول  ",
+        " . أ ( ": ". أ (",
+        "": "",
+    }
+    for raw, want in cases.items():
+        assert one(spark, raw, tx.tidy(F.col("t"))) == want, raw
+    assert one(spark, None, tx.tidy(F.col("t"))) is None
+
+
+def test_normal_lines(spark):
+    assert one(spark, "أ  ب\r\nـــ\n\u2028ﺍﻟـ ٧", tx.normal_lines(F.col("t"))) == ["أ ب", "ال 7"]
+    assert one(spark, "", tx.normal_lines(F.col("t"))) == []
