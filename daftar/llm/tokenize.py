@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import importlib.util
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,6 +28,9 @@ from daftar.session import spread
 
 #: Where the public vocabulary files lie; a parameter of every function below.
 TOKENIZER_DIR = os.environ.get("DAFTAR_TOKENIZERS", "/opt/tokenizers")
+#: Python's white space has all of Unicode's and a few control characters more, so no run is taken for a lone space.
+_BLANK_RUN = re.compile(r"\s\s|\A\s|\s\Z")
+_LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _NONE = 1 << 62
 _SHIFT = 32
 #: Longest word (in characters) and number of words that a worker remembers.
@@ -118,12 +122,11 @@ class Vocabulary:
     def packed(self, text: str) -> bytes:
         """Ids of a whole text.
 
-        A single space belongs to the word after it, so a text without double spaces falls into pieces at its
-        spaces that can be encoded, and remembered, one by one."""
-        if "  " in text:
-            return self._packed(text)
+        A space between two characters that are no white space belongs to the word after it, whatever stands further away, so a
+        text falls into pieces at such spaces that can be encoded, and remembered, one by one.  A space beside other white
+        space of any kind is part of a run that the pattern cuts as a whole, and no piece begins there."""
         memo, parts = self.memo, []
-        first, *rest = text.split(" ")
+        first, *rest = _LONE_SPACE.split(text) if _BLANK_RUN.search(text) else text.split(" ")
         parts.append(self._packed(first))
         for piece in rest:
             ids = memo.get(piece)

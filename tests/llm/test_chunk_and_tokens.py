@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -65,6 +66,27 @@ def test_ids_equal_the_public_library(spark, public):
     assert token_ids(rows.limit(0), "doc_id", "text").count() == 0
 
 
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2003\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def test_white_space_of_every_kind_is_cut_as_the_public_library_cuts_it(public):
+    import base64
+
+    import tiktoken
+
+    from daftar.llm.tokenize import _pattern
+
+    with open(f"{TOKENIZER_DIR}/byte_bpe_50k.tiktoken", "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    library = tiktoken.Encoding("own", pat_str=_pattern(TOKENIZER_DIR), mergeable_ranks=ranks, special_tokens={})
+    rng, v = random.Random(11), vocabulary()
+    texts = ["".join(t) for n in range(1, 6) for t in itertools.product("a \xa0", repeat=n)] + [" \xa0 \xa0"]
+    texts += ["".join(rng.choice(BLANKS + "    a.7'م") for _ in range(rng.randint(0, 14))) for _ in range(30_000)]
+    assert [t for t in texts if v.encode(t) != library.encode_ordinary(t)] == []
+    some = texts[:4000]
+    assert [v.encode(t) for t in some] == [e.ids for e in public.encode_batch(some, add_special_tokens=False)]
+
+
 def test_merges_alone(public):
     v = vocabulary()
     for word in ["a", "ab", "hello", "zzzzzzzzz", "αβγδ"]:
