@@ -4,10 +4,11 @@ Method: pigeonhole edit matching.  A passage is any run of ``words`` (20) consec
 item if it has fewer.  With an error budget of k edits each item is cut into pieces so short that every such run
 holds k + 1 whole ones; at least one of them then stands unharmed in a document that holds the run.  The pieces
 of all items form one Aho-Corasick automaton that is run over each document; around each hit the unharmed run
-is grown, and the windows that can still be within the budget are verified with Myers' bit-parallel distance.
+is grown, and every window that can still be within the budget is verified with Myers' bit-parallel distance.  A budget of 0
+has one piece a run and finds exact passages only; ``p9_found`` asks for these, ``p9_report`` allows one edit.
 
 Letter case, punctuation, spacing, vowel marks, tatweel and the digits' script are ignored: both sides are reduced
-to their letters and digits.
+to their letters and digits.  A passage begins and ends at words of the document, so "no" is not found in "nobody".
 
 The item side is a query set.  Its automaton is shipped to the tasks in blocks whose size is checked
 (``block_chars`` of item text); a larger item table means more blocks, each one pass over the corpus,
@@ -21,8 +22,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -46,19 +49,21 @@ def _folded(text: str) -> str:
     return text.lower()
 
 
-def letters(text: str) -> str:
-    """Only the letters and digits of a text, in one case and one digit script."""
-    return _NOT_TEXT.sub("", _folded(text))
+def item_words(text: str) -> list[str]:
+    """The words of a text in one case and one digit script; what shows nothing or only marks a letter parts no word."""
+    return _WORD.findall(_MARKS.sub("", _folded(text)))
 
 
-def _letters_column(c: Column) -> Column:
-    """``letters`` for texts that are composed already."""
-    digits = "".join(map(chr, [*range(0x660, 0x66A), *range(0x6F0, 0x6FA)]))
-    return F.regexp_replace(F.lower(F.translate(c, digits, "0123456789" * 2)), "[^\\p{L}\\p{N}]+|\\u0640+", "")
+def spaced(text: str) -> str:
+    """The words of a text, one space apart."""
+    return " ".join(item_words(text))
 
 
-def item_words(text: str) -> list[str]:
-    return _WORD.findall(_MARKS.sub("", _folded(text)))
+def _spaced_column(c: Column) -> Column:
+    """``spaced`` for texts that are composed already, perhaps with a space at either end."""
+    digits = "".join(map(chr, [*range(0x660, 0x66A), *range(0x6F0, 0x6FA)]))
+    bare = F.regexp_replace(F.lower(F.translate(c, digits, "0123456789" * 2)), _MARKS.pattern, "")
+    return F.regexp_replace(bare, "[^\\p{L}\\p{N}]+", " ")
 
 
 def myers(pattern: str, text: str) -> int:
@@ -119,23 +124,29 @@ class Items:
             self.automaton.make_automaton()
 
     def search(self, doc: str) -> dict[int, int]:
-        """Items that the document's letters hold, with the least number of edits."""
+        """Items that a document of ``spaced`` words holds, with the least number of edits."""
         found: dict[int, int] = {}
         done: dict[tuple[int, int], int] = {}  # end of the last unharmed run on each diagonal
         if not self.any:
             return found
-        for end, (size, where) in self.automaton.iter(doc):
+        bare = doc.replace(" ", "")
+        edges: set[int] | None = None
+        for end, (size, where) in self.automaton.iter(bare):
             start = end - size + 1
             for key, offset in where:
                 if found.get(key) == 0 or end < done.get((key, start - offset), 0):
                     continue
-                errors, done[key, start - offset] = self._verify(doc, key, start, offset, size)
+                if edges is None:
+                    edges = set(accumulate(map(len, doc.split()), initial=0))
+                errors, done[key, start - offset] = self._verify(bare, edges, key, start, offset, size)
                 if errors is not None and errors < found.get(key, 1 << 30):
                     found[key] = errors
         return found
 
-    def _verify(self, doc: str, key: int, at: int, offset: int, size: int) -> tuple[int | None, int]:
-        """The least number of edits around a hit, and the end in the document of its unharmed run."""
+    def _verify(self, doc: str, edges: set[int], key: int, at: int, offset: int, size: int) -> tuple[int | None, int]:
+        """The least number of edits around a hit, and the end in the document of its unharmed run.
+
+        ``edges`` are the places in the document's letters where a word begins or ends."""
         text, ends = self.text[key], self.ends[key]
         # grow the unharmed run around the piece, in letters
         left, right = 0, size
@@ -144,26 +155,28 @@ class Items:
         limit = min(len(text) - offset, len(doc) - at)
         while right < limit and text[offset + right] == doc[at + right]:
             right += 1
-        a, b = offset - left, offset + right
-        n = len(ends) - 1
+        shift, n = at - offset, len(ends) - 1
         run = min(self.words, n)
-        first = next(i for i in range(n + 1) if ends[i] >= a)  # first whole word in the run
-        last = next(i for i in range(n, -1, -1) if ends[i] <= b)  # end of the last whole word
-        if last - first >= run:
-            windows = [(first, first + run)]
-        elif (last - first) * (self.budget + 1) < run - 2 * self.budget or not self.budget:
-            return None, at + right  # even the longest unharmed part of a run within the budget is longer than this
+        first, last = bisect_left(ends, offset - left), bisect_right(ends, offset + right) - 1  # the whole words of the run
+        at_edges = [i for i in range(first, last + 1) if ends[i] + shift in edges]
+        best: int | None = None
+        if at_edges and at_edges[-1] - at_edges[0] >= run:
+            windows = [at_edges[0]]
+        elif not self.budget or (last - first + 1) * (self.budget + 1) < run - self.budget:
+            windows = []  # a window within the budget has a longer unharmed part
         else:
-            windows = [(first, min(n, first + run)), (max(0, last - run), last)]
-        best = None
-        for i, j in windows:
-            if j - i < run:
-                i, j = (max(0, j - run), j) if i else (0, run)
-            pattern = text[ends[i] : ends[j]]
-            lo = max(0, at - offset + ends[i] - self.budget)
-            errors = myers(pattern, doc[lo : at - offset + ends[j] + self.budget])
+            # an edit inside a window that ends before the run does can be shifted out, so only windows around the whole run count
+            windows = range(max(0, last - run), min(first, n - run) + 1) if last - first < run else range(first, last - run + 1)
+        for i in windows:
+            lo, hi = max(0, ends[i] + shift - self.budget), ends[i + run] + shift + self.budget
+            if not any(p in edges for p in range(lo, ends[i] + shift + self.budget + 1)) or not any(p in edges for p in range(hi - 2 * self.budget, hi + 1)):
+                continue
+            errors = myers(text[ends[i] : ends[i + run]], doc[lo:hi])
             if errors <= self.budget and (best is None or errors < best):
                 best = errors
+        # an exact window that cuts a word of the document is one edit away from a passage
+        if best == 0 and not (at_edges and at_edges[-1] - at_edges[0] >= run):
+            best = 1
         return best, at + right
 
 
@@ -183,10 +196,10 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id"
     """(doc_key, item_key, errors): every document that holds a passage of an item within the edit budget.
 
     One Arrow pass over the corpus for each block of items; no shuffle."""
-    # the plain case is reduced to letters in the JVM; texts with decomposed accents need composing first
+    # the plain case is reduced to words in the JVM; texts with decomposed accents need composing first
     odd = F.col(text).rlike("[\\u0300-\\u036f\\u0653-\\u0655]")
     rows = spread(documents.select(doc_key, text).where(F.length(F.trim(text)) > 0))
-    rows = rows.select(doc_key, F.when(odd, F.col(text)).alias("raw"), F.when(~odd, _letters_column(F.col(text))).alias("clean"))
+    rows = rows.select(doc_key, F.when(odd, F.col(text)).alias("raw"), F.when(~odd, _spaced_column(F.col(text))).alias("clean"))
     kinds = rows.schema[doc_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"`{doc_key}` {kinds[0]}, `{item_key}` {kinds[1]}, errors int"
     types = pa.schema([(doc_key, pa.int64() if kinds[0] == "bigint" else pa.string() if kinds[0] == "string" else pa.int32()), (item_key, pa.int64() if kinds[1] == "bigint" else pa.string() if kinds[1] == "string" else pa.int32()), ("errors", pa.int32())])
@@ -200,7 +213,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id"
             for batch in batches:
                 out: list[tuple] = []
                 for doc, raw, clean in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    out += [(doc, k, e) for k, e in held.search(clean if raw is None else letters(raw)).items()]
+                    out += [(doc, k, e) for k, e in held.search(clean if raw is None else spaced(raw)).items()]
                 yield pa.RecordBatch.from_pylist([dict(zip(types.names, x)) for x in out], schema=types)
 
         parts.append(rows.mapInArrow(scan, schema))

@@ -1,6 +1,6 @@
 import random
 
-from daftar.llm.leak import Items, item_words, leak_report, leaked_items, letters, myers
+from daftar.llm.leak import Items, item_words, leak_report, leaked_items, myers, spaced
 from daftar.llm.spam import LineModel, labelled_shares, spam_pages, units
 
 WORDS = [f"كلمة{chr(0x627 + i)}" for i in range(20)] + [f"word{c}" for c in "abcdefghijklmnopqrst"]
@@ -24,8 +24,8 @@ def test_myers_is_brute_force():
 
 
 def test_folding():
-    assert letters("Mادّةُ ٧، ــ (X)") == "mادة7x"
-    assert letters("café") == letters("café") == "café"
+    assert spaced("Mادّةُ ٧، ــ (X)") == "mادة 7 x"
+    assert spaced("café") == spaced("café") == "café"
     assert item_words("مـــادة 7, it's") == ["مادة", "7", "it", "s"]
 
 
@@ -53,8 +53,8 @@ def test_passages_are_found_exactly(spark):
                 docs.append(" ".join(pad[:20]) + " — " + "، ".join(w.upper() + "َ" for w in ws[at : at + n]) + " " + " ".join(pad[20:]))
     rows = spark.createDataFrame([*enumerate(docs), (900, None), (901, ""), (902, docs[0])], "doc_id long, text string")
     held = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(77, None), (78, "؟!")], "item_id long, text string")
-    for block in (4_000_000, 50):
-        found = leaked_items(rows.withColumn("raw", rows.doc_id), held, block_chars=block)
+    for block, budget in ((4_000_000, 1), (50, 1), (4_000_000, 0)):
+        found = leaked_items(rows.withColumn("raw", rows.doc_id), held, block_chars=block, budget=budget)
         got = {(r.doc_id, r.item_id) for r in found.where("errors = 0").collect()}
         want = {(d, i) for d, t in [*enumerate(docs), (902, docs[0])] for i, w in items.items() if longest(" ".join(w), t) >= min(20, len(w))}
         assert got == want
@@ -77,8 +77,42 @@ def test_a_run_after_a_change_of_equal_length_is_exact():
     for at in (3, 8, 13):
         changed = [*ws[:at], ws[at][:-1] + "q", *ws[at + 1 :]]
         held = Items([(5, " ".join(ws))], 20, 1)
-        assert held.search(letters("x " + " ".join(changed[: at + 21]) + " y")) == {5: 0}
-        assert held.search(letters("x " + " ".join(changed[: at + 20]) + " y")) == {5: 1}
+        assert held.search(spaced("x " + " ".join(changed[: at + 21]) + " y")) == {5: 0}
+        assert held.search(spaced("x " + " ".join(changed[: at + 20]) + " y")) == {5: 1}
+
+
+def test_passages_begin_and_end_at_words():
+    held = Items([(1, "no"), (2, "art five"), (3, "the legal form")], 20, 0)
+    assert held.search(spaced("Nobody saw another smart fiver, other legal formats")) == {}
+    assert held.search(spaced("No! ART-five; of the le gal for\u00adm")) == {1: 0, 2: 0, 3: 0}
+    ws = [f"{w}{i:02d}" for i, w in enumerate(WORDS[:30])]
+    exact = Items([(5, " ".join(ws))], 20, 0)
+    for a, b, want in ((0, 20, {5: 0}), (7, 27, {5: 0}), (0, 19, {})):
+        assert exact.search(spaced("x " + " ".join(ws[a:b]) + " y")) == want
+        assert exact.search(spaced("x" + " ".join(ws[a:b]) + "y")) == {}
+    assert exact.search(spaced("x" + " ".join(ws[:22]) + "y")) == {5: 0}
+
+
+def test_larger_budgets_are_brute_force():
+    rng = random.Random(12)
+    pool = ["al", "be", "ce", "del", "ef", "ga"]
+    ws = [rng.choice(pool) + rng.choice(pool) for _ in range(14)]
+    held = {k: Items([(1, " ".join(ws))], 8, k) for k in (1, 2, 3)}
+    seen = 0
+    for _ in range(400):
+        i = rng.randint(0, 6)
+        part = list("".join(ws[i : i + 8]))
+        for _ in range(rng.randint(0, 4)):
+            part[rng.randrange(len(part))] = rng.choice("xyz")
+        doc = spaced("q " + "".join(part) + " q")
+        least = min(brute_distance("".join(ws[j : j + 8]), doc.replace(" ", "")) for j in range(7))
+        for k, items in held.items():
+            got = items.search(doc).get(1)
+            assert got is None or least <= got <= k
+            if least <= k:
+                seen += 1
+                assert got is not None, (doc, k, least)
+    assert seen > 300
 
 
 PROSE = ["The data steward reviews the annual ledger within 30 days, unless agreed otherwise by the parties.", "If asked in writing, the applicant must not disclose the customer files to the board.", "على الجهة المختصة أن توقع على عقود الصيانة خلال ٣٠ يوما، ما لم يتفق على خلافه."]
