@@ -1,11 +1,16 @@
 """Problem 3: the same or nearly the same records in the evaluation and the training split.
 
-Method: a weighted cosine join.  Every distinct question becomes a unit vector of term weights; inverted lists hold only
-the heavy, rare terms of each vector: once the rest of a vector can no longer reach the threshold - neither by its
-residual norm nor by the largest weights its terms have on the other side - it is not indexed.  A pair met in the
-lists is dropped if the first common term and the residual norms behind it bound its cosine below the threshold;
-the exact dot product is taken for what is left.  Pairs over the threshold are then aligned word by word:
-greetings, slips of one letter and one synonym are allowed, another number, name or a negation is not.
+Method: a weighted cosine join.  Every distinct question becomes a unit vector of term weights, rarest term first; inverted
+lists hold a term only as long as what is left of its vector can reach the threshold by its residual norm.  In the list of
+a term an entry is dropped if its weight times the largest weight on the other side, plus both residual norms, stays under
+the threshold, and so is each pair by its own weights and residuals: at the first common term that bounds the cosine.
+The exact dot product is taken for what is left.  Pairs over the threshold are then aligned word by word; what stays on either side
+without a counterpart decides by its weight:
+
+* slips of a letter (in at most a third of the words), greetings and fillers are allowed, numbers and negations never;
+* a lone word, or one against two, may be replaced if one side is vocabulary: its weight is at most ``VOCABULARY`` of the weight of
+  a word that stands once.  A name's weight is near that of a word that stands once, in a table of any size;
+* any other replacement is one of words, not of things, if the table has it in two contexts that share no rarest word.
 
 The join runs over distinct word bags, so copies never meet each other; they are expanded last.
 
@@ -15,22 +20,25 @@ once; extra columns are ignored; an empty table gives no pairs; equal weights ar
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from daftar.functions import text as tx
 from daftar.llm.lookalike import canonical
 from daftar.session import cut_lineage
 
 THRESHOLD = 0.5
-#: A lone word may be replaced by another if both occur in so many distinct questions (names and numbers don't).
-COMMON_WORD = 5
-MOST_SLIPS = 4
+#: Greatest weight of a vocabulary word, as a share of the weight of a word that stands once.
+VOCABULARY = 0.8
+#: Contexts that must agree on a replacement that the weights don't settle.
+CONTEXTS = 2
 
 # --- fixed values (folded forms: see ``words``) ---------------------------------------------------
 FILLERS = frozenset(
@@ -40,10 +48,6 @@ FILLERS = frozenset(
     "hola por favor gracias pregunta".split()
 )
 NEGATIONS = frozenset("لا لم لن ليس ليست غير never not no cannot jamais ne pas non aucun nunca".split())
-SYNONYMS = [
-    {"المده", "المهله"}, {"اي", "ما"}, {"غرامه", "عقوبه"}, {"شروط", "اشتراطات"}, {"عايز", "محتاج"}, {"تسليم", "تقديم"},
-    {"which", "what"}, {"hand over", "deliver"}, {"cover", "deal with"}, {"articles quels", "dispositions quelles"},
-]
 # --------------------------------------------------------------------------------------------------
 _FOLD = {ord(a): b for a, b in zip("ىةیکٱٰ", "يهيكا ")} | {base + d: str(d) for base in (0x660, 0x6F0) for d in range(10)} | {0x640: None}
 _TO_FOLD = re.compile("[" + "".join(map(chr, _FOLD)) + "]")
@@ -81,9 +85,9 @@ def one_slip(a: str, b: str) -> bool:
     return a[i:] == b[i + 1 :]
 
 
-def both_slipped(a: str, b: str, common: set[str]) -> bool:
-    """Two rare words that are each one slip away from the same word."""
-    if a in common or b in common or min(len(a), len(b)) < 4 or abs(len(a) - len(b)) > 2:
+def both_slipped(a: str, b: str) -> bool:
+    """Two words that are each one slip away from the same word."""
+    if min(len(a), len(b)) < 4 or abs(len(a) - len(b)) > 2:
         return False
     letters = set(a) | set(b)
 
@@ -94,75 +98,80 @@ def both_slipped(a: str, b: str, common: set[str]) -> bool:
     return bool(slips(a) & slips(b))
 
 
-def same_question(a: list[str], b: list[str], common: set[str]) -> bool:
-    """Whether two word bags are one question; ``common`` holds those of their words that many questions have.
+def weight(df: int, n: int) -> float:
+    """Weight of a word that ``df`` of ``n`` bags have."""
+    return math.log1p(n / (df + 4))
 
-    Names that differ by more than slips, numbers and negations make another question."""
+
+def aligned(a: list[str], b: list[str], df: dict[str, int], n: int) -> tuple[bool | None, str, str]:
+    """(same, replacement, rarest common word) of two word bags; ``same`` is None if only other pairs with this replacement can tell.
+
+    ``df``: bags among the ``n`` that have a word."""
     left, right = Counter(a) - Counter(b), Counter(b) - Counter(a)
     x, y = list(left.elements()), list(right.elements())
+    most = VOCABULARY * weight(1, n)
+    common = {w for w in {*x, *y} if weight(df.get(w, 1), n) <= most}
     slips = 0
     for w in list(x):
-        if w.isdigit() or len(w) < 3:
+        if w.isdigit() or len(w) < 3 or w in NEGATIONS:
             continue
         for v in y:
-            if not v.isdigit() and len(v) >= 3 and (one_slip(w, v) or both_slipped(w, v, common)) and not (w in NEGATIONS or v in NEGATIONS):
+            if not v.isdigit() and len(v) >= 3 and v not in NEGATIONS and (one_slip(w, v) or not {w, v} & common and both_slipped(w, v)):
                 x.remove(w)
                 y.remove(v)
                 slips += 1
                 break
-    if slips > MOST_SLIPS:
-        return False
-    synonym = {" ".join(sorted(x)), " ".join(sorted(y))}
+    if 3 * slips > max(len(a), len(b)) or (set(x) | set(y)) & NEGATIONS:
+        return False, "", ""
+    x, y = (sorted(w for w in ws if w not in FILLERS) for ws in (x, y))
+    if not x and not y:
+        return True, "", ""
+    if not x or not y or any(w.isdigit() for w in x + y) or max(len(x), len(y)) > 2:
+        return False, "", ""
+    if len(x) + len(y) <= 3 and any(all(w in common for w in side) for side in (x, y)):
+        return True, "", ""
+    shared = set(a) & set(b)
+    return None, "|".join(sorted([" ".join(x), " ".join(y)])), min(shared, key=lambda w: (df.get(w, 1), w), default="")
 
-    def rest(ws: list[str]) -> list[str]:
-        return sorted(w for w in ws if w not in FILLERS)
 
-    rx, ry = rest(x), rest(y)
-    if not rx and not ry:
-        return not (set(x) | set(y)) & NEGATIONS
-    for p, q in ((x, y), (rx, ry), (x, ry), (rx, y)):
-        synonym = {" ".join(sorted(p)), " ".join(sorted(q))}
-        if any(synonym == {" ".join(sorted(s.split())) for s in group} for group in SYNONYMS):
-            return True
-    return len(rx) == 1 == len(ry) and not any(w.isdigit() or w in NEGATIONS or w not in common for w in rx + ry)
+_ENTRY = "array<struct<df:bigint,term:string,w:double>>"
 
 
 def cosine_join(left: DataFrame, right: DataFrame, key: str, terms: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(key_a, key_b, cosine): all pairs of weighted term bags with a cosine of at least ``threshold``.
+    """(key_a, key_b, cosine, va, vb, n): all pairs of weighted term bags with a cosine of at least ``threshold``, with their vectors
+    (df, term, w) and the number of bags.
 
     ``left`` and ``right`` have one row per key; the weights count both tables.  Terms weigh tf * ln(1 + n / (df + 4)).
     No pair is formed but over a shared indexed term; no side is broadcast or collected."""
     sides = left.select(F.lit(0).alias("side"), F.col(key).alias("k"), F.col(terms).alias("ts")).unionByName(right.select(F.lit(1).alias("side"), F.col(key).alias("k"), F.col(terms).alias("ts"))).where(F.size("ts") > 0)
-    tf = sides.select("side", "k", F.explode("ts").alias("term")).groupBy("side", "k", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    flat = sides.select("side", "k", "ts", F.explode(F.array_distinct("ts")).alias("term"))
+    # a bag is a row, so its own counts need no shuffle
+    flat = flat.select("side", "k", "term", F.size(F.filter("ts", lambda t: t == F.col("term"))).alias("tf"))
+    df = flat.groupBy("term").agg(F.count("*").alias("df"))
     total = sides.agg(F.count("*").alias("n"))  # one row
-    weighed = tf.join(df, "term").crossJoin(F.broadcast(total)).select("side", "k", "term", "df", (F.col("tf") * F.log1p(F.col("n") / (F.col("df") + 4))).alias("w"))
-    entry = F.struct("df", "term", "w")
-    vectors = weighed.groupBy("side", "k").agg(F.array_sort(F.collect_list(entry)).alias("v"))  # rarest term first; bounded by a question's words
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e["w"] * e["w"]))
-    vectors = vectors.withColumn("norm", norm).select("side", "k", F.transform("v", lambda e: F.struct(e["df"].alias("df"), e["term"].alias("term"), (e["w"] / F.col("norm")).alias("w"))).alias("v"))
-    vectors = cut_lineage(vectors)
-    flat = vectors.select("side", "k", F.posexplode("v").alias("at", "e")).select("side", "k", "at", "e.df", "e.term", "e.w")
-    most = flat.groupBy("term").agg(F.max(F.when(F.col("side") == 0, F.col("w"))).alias("most_left"), F.max(F.when(F.col("side") == 1, F.col("w"))).alias("most_right"))
-    # what the terms from here on can still add, by the residual norm and by the largest weights of the other side
-    onward = Window.partitionBy("side", "k").orderBy("at").rowsBetween(0, Window.unboundedFollowing)
-    behind = Window.partitionBy("side", "k").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
-    other = F.coalesce(F.when(F.col("side") == 0, F.col("most_right")).otherwise(F.col("most_left")), F.lit(0.0))
-    lists = (
-        flat.join(most, "term")
-        .withColumn("reach", F.least(F.sqrt(F.sum(F.col("w") * F.col("w")).over(onward)), F.sum(F.col("w") * other).over(onward)))
-        .withColumn("behind", F.coalesce(F.sqrt(F.sum(F.col("w") * F.col("w")).over(behind)), F.lit(0.0)))
-        .where((F.col("reach") >= threshold - 1e-9) & (other > 0))
-    )
-    a = lists.where("side = 0").select("term", F.col("k").alias("key_a"), F.col("w").alias("wa"), F.col("behind").alias("ra"))
-    b = lists.where("side = 1").select("term", F.col("k").alias("key_b"), F.col("w").alias("wb"), F.col("behind").alias("rb"))
-    # at the first term that a pair has in common this bounds its cosine; at a later one a row is not needed, so all rows below
-    # the threshold go before anything is shuffled
-    met = a.join(b, "term").where(F.col("wa") * F.col("wb") + F.col("ra") * F.col("rb") >= threshold - 1e-9).select("key_a", "key_b").distinct()
-    va = vectors.where("side = 0").select(F.col("k").alias("key_a"), F.map_from_entries(F.transform("v", lambda e: F.struct(e["term"], e["w"]))).alias("va"))
+    weighed = flat.join(df, "term").crossJoin(F.broadcast(total)).select("side", "k", "n", "df", "term", (F.col("tf") * F.log1p(F.col("n") / (F.col("df") + 4))).alias("w"))
+    vectors = weighed.groupBy("side", "k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("v"))  # rarest term first; bounded by a question's words
+    vectors = vectors.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e["w"] * e["w"])))
+    vectors = cut_lineage(vectors.select("side", "k", "n", F.transform("v", lambda e: F.struct(e["df"].alias("df"), e["term"].alias("term"), (e["w"] / F.col("norm")).alias("w"))).cast(_ENTRY).alias("v")))
+    # what is left of a vector from an entry on, worked out in its row
+    onward = F.reverse(F.aggregate(F.reverse("v"), F.array().cast("array<double>"), lambda s, e: F.array_append(s, F.coalesce(F.element_at(s, F.when(F.size(s) > 0, -1)), F.lit(0.0)) + e["w"] * e["w"])))
+    entries = F.zip_with("v", onward, lambda e, r: F.struct(F.xxhash64(e["term"]).alias("t"), e["w"].alias("w"), F.sqrt(F.greatest(r - e["w"] * e["w"], F.lit(0.0))).alias("rest"), F.sqrt(r).alias("reach")))
+    lists = vectors.select("side", "k", F.explode(F.filter(entries, lambda e: e["reach"] >= threshold - 1e-9)).alias("e")).select("side", "k", "e.t", "e.w", "e.rest")
+    lists = lists.repartition("t")
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    most = lists.groupBy("t").agg(of(0, "w").alias("w0"), of(1, "w").alias("w1"), of(0, "rest").alias("r0"), of(1, "rest").alias("r1")).where("w0 is not null and w1 is not null")
+    own = F.col("side") == 0
+    bound = F.col("w") * F.when(own, F.col("w1")).otherwise(F.col("w0")) + F.col("rest") * F.when(own, F.col("r1")).otherwise(F.col("r0"))
+    lists = lists.join(most, "t").where(bound >= threshold - 1e-9)
+    a = lists.where("side = 0").select("t", F.col("k").alias("key_a"), F.col("w").alias("wa"), F.col("rest").alias("ra"))
+    b = lists.where("side = 1").select("t", F.col("k").alias("key_b"), F.col("w").alias("wb"), F.col("rest").alias("rb"))
+    # at a later common term a row is not needed, so all rows below the threshold go before anything is shuffled
+    met = a.join(b, "t").where(F.col("wa") * F.col("wb") + F.col("ra") * F.col("rb") >= threshold - 1e-9).select("key_a", "key_b").distinct()
+    va = vectors.where("side = 0").select(F.col("k").alias("key_a"), F.col("v").alias("va"), "n")
     vb = vectors.where("side = 1").select(F.col("k").alias("key_b"), F.col("v").alias("vb"))
-    dot: Column = F.aggregate("vb", F.lit(0.0), lambda s, e: s + e["w"] * F.coalesce(F.try_element_at("va", e["term"]), F.lit(0.0)))
-    return met.join(va, "key_a").join(vb, "key_b").select("key_a", "key_b", dot.alias("cosine")).where(F.col("cosine") >= threshold)
+    terms_a = F.map_from_entries(F.transform("va", lambda e: F.struct(e["term"], e["w"])))
+    dot = tx.bound(terms_a, lambda m: F.aggregate("vb", F.lit(0.0), lambda s, e: s + e["w"] * F.coalesce(F.try_element_at(m, e["term"]), F.lit(0.0))))
+    return met.join(va, "key_a").join(vb, "key_b").select("key_a", "key_b", dot.alias("cosine"), "va", "vb", "n").where(F.col("cosine") >= threshold)
 
 
 def _split(c: Column) -> Column:
@@ -176,19 +185,19 @@ def split_overlaps(questions: DataFrame, key: str = "id", text: str = "question"
     rows = cut_lineage(rows.withColumn("bag", F.unhex(F.md5(F.array_join("ws", " ")))))
     bags = rows.groupBy("bag").agg(F.first("ws").alias("ws"), F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_held"))
     pairs = cosine_join(bags.where("in_train").select("bag", "ws"), bags.where("in_held").select("bag", "ws"), "bag", "ws", threshold)
-    # words that many distinct questions have, only for the words of candidate pairs
     texts = bags.select("bag", "ws")
+    pairs = pairs.select("key_a", "key_b", "n", F.transform(F.concat("va", "vb"), lambda e: F.struct(e["df"].alias("df"), e["term"].alias("term"))).alias("df"))
     pairs = pairs.join(texts.select(F.col("bag").alias("key_a"), F.col("ws").alias("a")), "key_a").join(texts.select(F.col("bag").alias("key_b"), F.col("ws").alias("b")), "key_b")
-    odd = pairs.select("key_a", "key_b", F.explode(F.array_union(F.array_except("a", "b"), F.array_except("b", "a"))).alias("w"))
-    often = bags.select(F.explode(F.array_distinct("ws")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_WORD).select("w")
-    common = odd.join(often, "w").groupBy("key_a", "key_b").agg(F.collect_set("w").alias("common"))
-    pairs = pairs.join(common, ["key_a", "key_b"], "left")
+    told = T.StructType([T.StructField("same", T.BooleanType()), T.StructField("swap", T.StringType()), T.StructField("rarest", T.StringType())])
 
-    @F.arrow_udf("boolean")
-    def same(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
-        return pa.array([same_question(x, y, set(z or ())) for x, y, z in zip(a.to_pylist(), b.to_pylist(), c.to_pylist())], pa.bool_())
+    @F.arrow_udf(told)
+    def judged(a: pa.Array, b: pa.Array, df: pa.Array, n: pa.Array) -> pa.Array:
+        out = [aligned(x, y, {e["term"]: e["df"] for e in d}, m) for x, y, d, m in zip(a.to_pylist(), b.to_pylist(), df.to_pylist(), n.to_pylist())]
+        return pa.array([dict(zip(("same", "swap", "rarest"), x)) for x in out], pa.struct([("same", pa.bool_()), ("swap", pa.string()), ("rarest", pa.string())]))
 
-    held = pairs.where(same("a", "b", "common")).select("key_a", "key_b")
+    verdicts = cut_lineage(pairs.select("key_a", "key_b", judged("a", "b", "df", "n").alias("j")).where("j.same is null or j.same").select("key_a", "key_b", "j.*"))
+    swaps = verdicts.where("same is null").groupBy("swap").agg(F.count_distinct("rarest").alias("contexts")).where(F.col("contexts") >= CONTEXTS).select("swap")
+    held = verdicts.where("same").select("key_a", "key_b").unionByName(verdicts.where("same is null").join(swaps, "swap", "left_semi").select("key_a", "key_b"))
     t, e = rows.where("train").select(F.col("bag").alias("key_a"), F.col("id").alias("t")), rows.where("not train").select(F.col("bag").alias("key_b"), F.col("id").alias("e"))
     out = held.join(t, "key_a").join(e, "key_b").where("t <> e")
     return out.select(F.least("t", "e").alias("id_a"), F.greatest("t", "e").alias("id_b")).distinct()

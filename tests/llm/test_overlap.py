@@ -1,6 +1,8 @@
 import random
 
-from daftar.llm.overlap import cosine_join, one_slip, overlap_counts, same_question, split_overlaps, words
+import pytest
+
+from daftar.llm.overlap import aligned, cosine_join, one_slip, overlap_counts, split_overlaps, words
 
 BASE = "What does the network carrier pay for the operating budget if asked in writing on the Gitomabe Zazalaho platform?"
 SAME = [
@@ -20,14 +22,48 @@ def test_pairs_of_one_question(spark):
     assert split_overlaps(df.limit(0)).count() == 0
 
 
-def test_numbers_negations_and_synonyms():
-    a = words("ما المدة خلال 635 يوما للمورد")
-    assert same_question(a, words("ما المهلة خلال ٦٣٥ يوما للمورد"), set())
-    assert not same_question(a, words("ما المدة خلال 636 يوما للمورد"), set())
-    assert not same_question(words("هل يجوز"), words("هل لا يجوز"), set())
-    assert same_question(words("which one"), words("what one"), set())
-    assert not same_question(words("alpha beta"), words("gamma beta"), set())
-    assert same_question(words("alpha beta"), words("gamma beta"), {"alpha", "gamma"})
+def test_numbers_negations_and_replacements():
+    df = {"المده": 300, "alpha": 400, "beta": 30, "which": 500, "reply": 200}
+    same = lambda a, b, n=3000: aligned(words(a), words(b), df, n)[0]
+    assert same("ما المدة خلال 635 يوما للمورد", "ما المهلة خلال ٦٣٥ يوما للمورد") is True
+    assert same("ما المدة خلال 635 يوما للمورد", "ما المدة خلال 636 يوما للمورد") is False
+    assert same("هل يجوز", "هل لا يجوز") is False
+    assert same("which one at Zagora", "what one at Zagora") is True
+    assert same("which one at Zagora", "which one at Felino") is None  # both rare: a name, unless other questions show otherwise
+    assert same("reply at Zagora", "hand back at Zagora") is True and same("reply alpha at Zagora", "hand back at Zagora") is None
+    assert same("please which one", "which one") is True
+    assert aligned(words("a dispositions quelles zuza"), words("a articles quels zuza"), df, 3000) == (None, "articles|dispositions", "a")
+
+
+def planted(n, seed):
+    """(rows, true pairs): questions in pairs that are one, or differ in a name, a number or a negation."""
+    rng = random.Random(seed)
+    name = lambda: "".join(rng.choice("bdfgjklmnprstvz") + rng.choice("aeiou") for _ in range(4)).capitalize()
+    who, what, when = ["network carrier", "branch manager", "appeals board", "data steward"], ["risk report", "price offers", "customer files", "training plan"], ["on renewal", "after hearing parties", "where damage is proven", "before work begins"]
+    rows, true = [], set()
+    for i in range(n):
+        a, b = name(), name()
+        text = f"How many days does the {rng.choice(who)} have to hand over the {rng.choice(what)} {rng.choice(when)} within {rng.randint(100, 999)} hours on the {a} {b} platform?"
+        word = rng.choice(["carrier", "manager", "board", "steward", "report", "offers", "files", "plan", "days", "hours"])
+        kind = i % 10
+        near = {
+            0: text.upper(), 1: "Hello, " + text, 2: text.replace("hand over", "deliver"), 3: text.replace("many", "numerous"), 4: text.replace(word, word[0] + word[2:]),
+            5: text.replace(a, name()), 6: text.replace(a, name()).replace(b, name()), 7: text.replace(" hours", "1 hours"), 8: text.replace("does", "does never"), 9: text.replace("on the", "for the old"),
+        }[kind]
+        rows += [(f"q{2 * i:07d}", text, "train"), (f"q{2 * i + 1:07d}", near, ("dev", "Test ")[i % 2])]
+        if kind < 5:
+            true.add((f"q{2 * i:07d}", f"q{2 * i + 1:07d}"))
+    return rows, true
+
+
+@pytest.mark.parametrize("n,seed", [(150, 1), (1500, 2)])
+def test_planted_pairs_at_two_sizes(spark, n, seed):
+    rows, true = planted(n, seed)
+    df = spark.createDataFrame(rows, "id string, question string, split string")
+    got = {(r.id_a, r.id_b) for r in split_overlaps(df.repartition(3)).collect()}
+    rest = {p for p in got - true if int(p[0][1:]) // 2 % 10 != 9}  # a swap of two common words may be told by its contexts
+    assert len(got & true) >= 0.95 * len(true) and len(rest) <= 0.02 * len(true)
+    assert got == {(r.id_a, r.id_b) for r in split_overlaps(df.repartition(7, "question")).collect()}
 
 
 def test_one_slip():
