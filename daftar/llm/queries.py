@@ -19,6 +19,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    articles = table(spark, d, "articles")
+    parts = [lookalike.same_looking_classes(articles, "article_ref", f) for f in ("text", "search_text")]
+    parts.append(lookalike.same_looking_classes(table(spark, d, "questions"), "id", "question"))
+    return reduce(DataFrame.unionByName, parts).drop("n")
+
+
 def p1_articles(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "articles").select("article_ref", "text", "search_text").dropDuplicates(["article_ref"])
     return lookalike.canonical_columns(rows, ["text", "search_text"]).drop("text", "search_text")
@@ -112,7 +119,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_articles, p1_questions, p3_found, p3_counts, p4_found, p4_counts, p5_found, p5_pieces, p6_found, p6_text, p7_found, p7_rates, p8_ids, p9_found, p9_report, p10_found, p10_shares)
+    f.__name__: f for f in (p1_found, p1_classes, p1_articles, p1_questions, p3_found, p3_counts, p4_found, p4_counts, p5_found, p5_pieces, p6_found, p6_text, p7_found, p7_rates, p8_ids, p9_found, p9_report, p10_found, p10_shares)
 }
 
 #: Where SQL can say the same over whole tables.
