@@ -51,7 +51,8 @@ NEGATIONS = frozenset("لا لم لن ليس ليست غير never not no cannot
 # --------------------------------------------------------------------------------------------------
 _FOLD = {ord(a): b for a, b in zip("ىةیکٱٰ", "يهيكا ")} | {base + d: str(d) for base in (0x660, 0x6F0) for d in range(10)} | {0x640: None}
 _TO_FOLD = re.compile("[" + "".join(map(chr, _FOLD)) + "]")
-_COMBINING = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x300, 0x11000) if unicodedata.combining(chr(c))) + "]+")
+_COMBINING = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x300, 0x10000) if unicodedata.combining(chr(c))) + "]+")
+_UPPER_PLANES = re.compile("[\U00010000-\U0010ffff]")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -60,6 +61,8 @@ def words(text: str) -> list[str]:
     if text.isascii():
         return _WORD.findall(text.casefold())
     text = _COMBINING.sub("", unicodedata.normalize("NFD", canonical(text).casefold()))
+    if _UPPER_PLANES.search(text):
+        text = "".join(c for c in text if not unicodedata.combining(c))
     if _TO_FOLD.search(text):
         text = text.translate(_FOLD)
     return _WORD.findall(text)

@@ -31,6 +31,8 @@ LABELS = ("prose", "links", "tags", "menu")
 FIT_DOCUMENTS = 1500
 SPAM_SHARE = 0.5
 LIST_LINES = 8
+#: Characters of a long sentence or list that are labelled as one.
+STRETCH = 200
 
 # --- fixed values: words that hold sentences together -------------------------------------------
 GLUE = frozenset(
@@ -41,6 +43,7 @@ GLUE = frozenset(
 )
 # ------------------------------------------------------------------------------------------------
 _SENTENCE = re.compile(r"(?<=[.!?؟])\s+")
+_STRETCHES = re.compile(r"\S(?:.{%d,}?(?=\s)|.*)" % STRETCH)
 _URL = re.compile(r"(?:https?://|www\.)[^\s,;|<>()\[\]،]+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}/[^\s,;|<>()\[\]،]*", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _SEPARATOR = re.compile(r"[|•;,،/>#*]|\s[-–~]\s|->")
@@ -55,6 +58,7 @@ _BINS = {
     "variety": (0.3, 0.6, 0.85),
     "words": (3, 7, 16, 60),
     "lexicon": (-1.5, -0.5, -0.1, 0.1, 0.5, 1.5),
+    "glue": (0.001, 0.05, 0.12),
     "end": (0.5,),
     "leader": (0.5,),
 }
@@ -69,11 +73,13 @@ class _Weights(dict):
 
 
 def units(text: str) -> list[str]:
-    """The lines of a page, long ones parted at sentence ends."""
-    out = []
+    """The lines of a page, long ones parted at sentence ends, and what is still long in stretches of about ``STRETCH`` characters, so a
+    list weighs by its length however it is broken into lines."""
+    out: list[str] = []
     for line in text.splitlines() if "\r" in text else text.split("\n"):
         if len(line) > 120:
-            out += filter(None, _SENTENCE.split(line.strip()))
+            for part in filter(None, _SENTENCE.split(line.strip())):
+                out += [part] if len(part) <= 2 * STRETCH else _STRETCHES.findall(part)
         elif line and not line.isspace():
             out.append(line)
     return out
@@ -96,6 +102,7 @@ def line_values(part: str, weights: dict[str, float]) -> tuple[float, ...]:
         len(set(words)) / len(words) if words else 1.0,
         n,
         sum(map(weights.__getitem__, words)) / share,
+        sum(map(GLUE.__contains__, words)) / share,
         part.rstrip("\"'»)] ")[-1:] in _END,
         1.0 if dots and _LEADER.search(part) else 0.0,
         n + links,  # not a feature: the line's weight in its page; a link counts as two words
@@ -110,10 +117,9 @@ def page_values(text: str, weights: dict[str, float]) -> list[tuple[float, ...]]
     return [line_values(part, weights) for part in units(text)]
 
 
-def clear_label(words: list[str], values: tuple[float, ...]) -> int:
+def clear_label(values: tuple[float, ...]) -> int:
     """Label of a line that leaves no doubt, or -1."""
-    url, tag, separators, product, variety, n, _, end, leader, _ = values
-    glue = sum(w in GLUE for w in words) / max(len(words), 1)
+    url, tag, separators, product, variety, n, _, glue, end, leader, _ = values
     if leader:
         return 3
     if url >= 0.2:
@@ -151,7 +157,7 @@ class LineModel:
         pages = [units(t) for t in texts]
         values = [np.array([line_values(u, _Weights()) for u in page]).reshape(-1, len(FEATURES) + 1) for page in pages]
         words = [[_WORD.findall(_URL.sub(" ", u).lower()) for u in page] for page in pages]
-        seeds = [np.array([clear_label(w, tuple(v)) for w, v in zip(*page)], dtype=np.int64) for page in zip(words, values)]
+        seeds = [np.array([clear_label(tuple(v)) for v in page], dtype=np.int64) for page in values]
         for seed, v in zip(seeds, values):
             _lists(seed, v)
         labels = seeds
@@ -223,12 +229,9 @@ class LineModel:
 
 
 def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", pages: int = FIT_DOCUMENTS) -> LineModel:
-    """Model from a bounded sample of pages, spread over the table by a hash of the key."""
-    n = documents.count()
-    rows = documents.where(F.length(F.trim(text)) > 0)
-    if n > 2 * pages:
-        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(n // (2 * pages) + 1)) == 0)
-    return LineModel.fit([t for (t,) in rows.select(text).limit(pages).collect()])
+    """Model from a bounded sample: the pages whose keys have the least hashes, so it is the same however the table is partitioned."""
+    rows = documents.where(F.length(F.trim(text)) > 0).select(text, F.xxhash64(key).alias("_h"), F.col(key).alias("_k"))
+    return LineModel.fit([t for t, *_ in rows.orderBy("_h", "_k").limit(pages).collect()])
 
 
 def labelled_shares(documents: DataFrame, key: str = "doc_id", text: str = "text", model: LineModel | None = None) -> DataFrame:

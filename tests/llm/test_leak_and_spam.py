@@ -139,7 +139,45 @@ def test_spam_pages(spark):
     assert spam_pages(df.limit(0)).count() == 0
 
 
+def planted_pages(n, seed):
+    """(rows, ids of spam): pages with fresh words; keyword stuffing of many kinds, and pages that only look a little like it."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    things = [f"{word()} {word()}" for _ in range(120)]
+    thing = lambda: rng.choice(things)
+    prose = lambda: f"The {thing()} must be filed with the {thing()} within {rng.randint(2, 90)} days if the {thing()} has not been paid by then."
+    rows, spam = [], set()
+    for i in range(n):
+        kind = i % 12
+        text = " ".join(prose() for _ in range(8))
+        if kind == 0:
+            text = ", ".join(thing() for _ in range(90)) + ".\n" + prose()
+        elif kind == 1:
+            text = prose() + "\n" + " ".join(thing() for _ in range(80))
+        elif kind == 2:
+            text = "\n".join(f"#{word()} #{word()} #{word()}" for _ in range(14))
+        elif kind == 3:
+            text = "\n".join(f"https://{word()}.example/{word()}" for _ in range(15)) + "\n" + prose()
+        elif kind == 4:
+            text = "Home | Laws | Contact\n" + text + "\n" + " | ".join(thing() for _ in range(6))
+        elif kind == 5:
+            text = "Contents\n" + "\n".join(f"{k}. {thing()} ........ {k + 2}" for k in range(1, 9)) + "\n" + text
+        rows.append((i, text))
+        if kind < 4:
+            spam.add(i)
+    return rows, spam
+
+
+def test_planted_pages_at_two_sizes(spark):
+    for n, seed in ((240, 1), (2400, 2)):
+        rows, want = planted_pages(n, seed)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id for r in spam_pages(df.repartition(3)).collect()}
+        assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
+        assert got == {r.doc_id for r in spam_pages(df.repartition(11, "text")).collect()}
+
+
 def test_model_without_any_page():
     model = LineModel.fit([])
-    assert len(model.label(__import__("numpy").zeros((3, 9), dtype=int))) == 3
+    assert len(model.label(__import__("numpy").zeros((3, 10), dtype=int))) == 3
     assert units("a\r\nb\n\n c ") == ["a", "b", " c "]
