@@ -1,16 +1,19 @@
 """Problem 6: noise in text from scanned pages.
 
 Method: words of the pages that a clean lexicon does not know retrieve correction candidates through an inverted join of
-character q-grams; gradient-boosted stumps rank the candidates and choose the replacement.  Two line-pair classifiers
-decide whether a hyphen at a line end is the word's own or a break (line and next line), and whether a line at
-the edge of a page is furniture that other pages of the scan repeat.
+character q-grams; gradient-boosted stumps rank the candidates and choose the replacement.  Line-pair classifiers
+decide whether a hyphen at a line end is the word's own or a break (line and next line), whether a line at
+the edge of a page is furniture that other pages of the scan repeat (line and header), and whether it is the page's number
+(line and number).  A word of digits and letters that reads as a number has that number as one more candidate.
 
-The lexicon is counted over clean tables of the same domain.  Models are trained here: the ranking on corrupted lexicon words,
+The lexicon is counted over clean tables of the same domain.  Models are trained here: the ranking on corrupted lexicon words and numbers,
 the joins on lexicon words broken at random and on its own hyphenated words; both from a bounded sample of the
-lexicon (``FIT_WORDS``); the furniture classifier on lines of a bounded sample of pages (``FIT_PAGES``).  Counts, candidate search and repair cover all pages.
+lexicon (``FIT_WORDS``); the furniture classifiers on lines of a bounded sample of pages (``FIT_PAGES``), each line beside its own
+page's number and, as what a page number is not, beside another's.  Counts, candidate search and repair cover all pages.  What is rare is told
+by shares, so nothing flips with the size of the tables.
 
-The q-gram join is exact for up to ``MOST_EDITS`` edits: an unknown word is looked up by its 2 * MOST_EDITS + 1 rarest grams,
-one of which every such neighbour shares.
+The q-gram join is exact for up to ``MOST_EDITS`` edits: an edit touches at most Q grams, so a neighbour of a word shares
+one of any Q * MOST_EDITS + 1 of its grams; it is looked up by the rarest of them, among words of about its length.
 
 Cases: null, empty and blank pages have no lines of any kind and come out as null or empty text; a page delivered twice counts
 once; a scan of one page has no running header of its own; pages of any length are treated whole; an empty lexicon
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daftar.llm.boost import BoostedStumps, Logistic
+from daftar.llm.sampling import hashed_sample
 from daftar.session import cut_lineage, spread
 
 Q, MOST_EDITS = 2, 2
@@ -42,10 +46,9 @@ FIT_WORDS = 1500
 FIT_PAGES = 300
 #: Headers of a scan that its pages in that sample are compared with.
 FIT_HEADERS = 8
-LEAST_COUNT = 2
 EDGE_LINES = 2
-#: A misread form stands on so few pages, or on so small a share of its word's pages.
-RARE_PAGES, RARE_SHARE = 2, 0.1
+#: A misread form stands on at most this share of the places, pages and clean ones, of its word.
+RARE_SHARE = 0.1
 HYPHENS = "-­¬‐‑"
 
 # --- fixed values: shapes that scanners take for each other ----------------------------------------
@@ -142,6 +145,12 @@ def corrupted(word: str, rng: random.Random) -> str | None:
     return None
 
 
+def misread_number(number: str, rng: random.Random) -> str:
+    """A number with some of its digits taken for letters of their shape."""
+    near = {d: [c for c, x in DIGIT_SHAPES.items() if x == d and c.isalpha()] for d in number}
+    return "".join(rng.choice(near[d]) if near[d] and rng.random() < 0.6 else d for d in number)
+
+
 def fit_ranker(sample: list[tuple[str, int]], seed: int = 7) -> BoostedStumps:
     rng = random.Random(seed)
     known = dict(sample)
@@ -158,12 +167,25 @@ def fit_ranker(sample: list[tuple[str, int]], seed: int = 7) -> BoostedStumps:
         for c in {word, *(c for c, _ in near)}:
             x.append(rank_features(form, c, known[c]))
             y.append(float(c == word))
+        # the clean texts have slips of their own, which are no replacement
+        slip = corrupted(word, rng)
+        if slip and slip != form and slip not in known:
+            x.append(rank_features(form, slip, 1))
+            y.append(0.0)
         # a word the lexicon lacks must find no replacement
         other = "".join(rng.sample(word, len(word)))
         if other not in known:
             for c, _ in Counter(c for g in grams(other) for c in index[g]).most_common(2):
                 x.append(rank_features(other, c, known[c]))
                 y.append(0.0)
+    for _ in range(len(sample) // 8):
+        number = str(rng.randint(10, 9999))
+        form = misread_number(number, rng)
+        if is_mixed(form):
+            x.append(rank_features(form, number, 0))
+            y.append(1.0)
+            x.append(rank_features(form, str(rng.randint(10, 9999)), 0))
+            y.append(0.0)
     if not x:
         x, y = [rank_features("a0", "ao", 1)], [1.0]
     return BoostedStumps.fit(np.array(x, dtype=float), np.array(y))
@@ -251,25 +273,55 @@ def edge_lines(lines: list[str]) -> set[int]:
     return set(full[:EDGE_LINES] + full[-EDGE_LINES:])
 
 
-def is_page_number(line: str, page_no: int | None, outermost: bool) -> bool:
-    """A line that holds only the page's number, perhaps with a word, signs or a total."""
+def number_signs(line: str, page_no: int | None, outermost: bool) -> list[float] | None:
+    """Signs that a line is the page's number, or None if it holds more than a number with a word, signs or a total: the number
+    beside the page's own (the same, or one digit off), its place, and what stands around it."""
     text = plain(_TAG.sub("", line)).strip()
     tokens = _TOKEN.findall(text)
     rest = [t for t in tokens if t not in PAGE_WORDS and t not in TOTAL_WORDS]
     if not rest or len(rest) > 2 or len(tokens) > 4 or len(text) > 28:
-        return False
-    if len(rest) == 2 and "/" not in text and not TOTAL_WORDS & set(tokens):
-        return False
+        return None
     number = number_of(rest[0])
-    if number is None:
-        return False
-    if page_no is None:
-        return outermost
-    if int(number) == page_no:
-        return True
-    own = str(page_no)
-    near = len(number) == len(own) and sum(a != b for a, b in zip(number, own)) == 1
-    return outermost and near and (len(rest) < len(tokens) or len(rest) == 2 or is_mixed(rest[0]) or len(own) > 1)
+    if number is None or len(rest) == 2 and "/" not in text and not TOTAL_WORDS & set(tokens):
+        return None
+    own = "" if page_no is None else str(page_no)
+    same = number.lstrip("0") == own.lstrip("0") and bool(own)
+    near = not same and len(number) == len(own) and sum(a != b for a, b in zip(number, own)) == 1
+    telling = len(rest) < len(tokens) or len(rest) == 2 or is_mixed(rest[0]) or len(own) > 1
+    return [same, near, near and outermost and telling, outermost, not own and outermost, len(rest) < len(tokens), len(rest) == 2, is_mixed(rest[0])]
+
+
+def fit_numbers(sample: list[tuple[str, int | None]], seed: int = 7) -> Logistic:
+    """Classifier from (page text, page number): lines at the edges beside their own page's number, as they are and misread, against
+    the same lines beside another page's number and lone numbers of the body."""
+    rng = random.Random(seed)
+    x, y = [], []
+    for text, page_no in sample:
+        if page_no is None:
+            continue
+        lines = text.split("\n")
+        edge, full = edge_lines(lines), [i for i, line in enumerate(lines) if line.strip()]
+        for i in full:
+            outer = i in (full[0], full[-1])
+            signs = number_signs(lines[i], page_no, outer)
+            if signs is None:
+                continue
+            x.append(signs)
+            y.append(float(i in edge and signs[0]))
+            if i in edge and signs[0]:
+                x.append(number_signs(lines[i], None, outer))
+                y.append(float(outer))
+                other = rng.randint(1, max(2 * page_no, 20))
+                if other != page_no:
+                    x.append(number_signs(lines[i], other, outer))
+                    y.append(float(x[-1][1] and x[-1][2]))
+                at = rng.randrange(len(str(page_no)))
+                worse = str(page_no)[:at] + rng.choice("0123456789") + str(page_no)[at + 1 :]
+                x.append(number_signs(lines[i], int(worse), outer))
+                y.append(float(x[-1][0] or x[-1][2]))
+    if not any(y) or all(y):
+        return Logistic(np.array([8.0, -2.0, 8.0, 1.0, 6.0, 0.0, 0.0, 0.0, -4.0]))  # nothing to tell apart
+    return Logistic.fit(np.array(x, dtype=float), np.array(y))
 
 
 # ---------------------------------------------------------------------------------------------------
@@ -290,8 +342,7 @@ def lexicon(texts: DataFrame, text: str = "text") -> DataFrame:
                     found.update(re.findall(r"[^\W\d_]+-[^\W\d_]+", t))
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["form", "n"])
 
-    counts = rows.mapInArrow(count, "form string, n bigint").groupBy("form").agg(F.sum("n").alias("n"))
-    return counts.where(F.col("n") >= LEAST_COUNT)
+    return rows.mapInArrow(count, "form string, n bigint").groupBy("form").agg(F.sum("n").alias("n"))
 
 
 def _pages(pages: DataFrame) -> DataFrame:
@@ -354,18 +405,21 @@ def _candidates(unknown: DataFrame, known: DataFrame) -> DataFrame:
     def grams_of(v: pa.Array) -> pa.Array:
         return pa.array([grams(w) for w in v.to_pylist()], pa.list_(pa.string()))
 
-    index = known.where(~F.contains("form", F.lit("-"))).select(F.col("form").alias("word"), "n", F.explode(grams_of("form")).alias("gram"))
+    index = known.where(~F.contains("form", F.lit("-"))).select(F.col("form").alias("word"), "n", F.length("form").alias("size"), F.explode(grams_of("form")).alias("gram"))
     often = index.groupBy("gram").agg(F.count("*").alias("df"))
     own = unknown.select("form", F.explode(grams_of("form")).alias("gram")).join(often, "gram", "left")
-    rare = own.withColumn("r", F.row_number().over(Window.partitionBy("form").orderBy(F.coalesce("df", F.lit(0)), "gram"))).where(F.col("r") <= 2 * Q * MOST_EDITS + 1)
-    met = rare.select("form", "gram").join(index, "gram").where(F.abs(F.length("form") - F.length("word")) <= MOST_EDITS)
+    rare = own.withColumn("r", F.row_number().over(Window.partitionBy("form").orderBy(F.coalesce("df", F.lit(0)), "gram"))).where(F.col("r") <= Q * MOST_EDITS + 1)
+    # a hot gram's list is parted by the length of its words
+    sizes = F.sequence(F.greatest(F.length("form") - MOST_EDITS, F.lit(1)), F.length("form") + MOST_EDITS)
+    met = rare.select("form", "gram", F.explode(sizes).alias("size")).join(index, ["gram", "size"])
     return met.select("form", "word", "n").distinct().where(F.levenshtein("form", "word", MOST_EDITS) >= 0)
 
 
 def _replacements(unknown: DataFrame, known: DataFrame, ranker: BoostedStumps, pages: DataFrame) -> DataFrame:
     """(form, replacement): the best candidate of each unknown form if the ranking believes in it.
 
-    A form on many pages that is not rare beside its candidate is a word of the scans and no misreading; ``pages`` (form, pages)."""
+    A form that is not rare beside its candidate is a word of the scans and no misreading; ``pages`` (form, pages).  A number is
+    a candidate of a form that reads as it, with no places of its own to compare."""
 
     @F.arrow_udf("double")
     def chance(form: pa.Array, word: pa.Array, n: pa.Array) -> pa.Array:
@@ -374,10 +428,18 @@ def _replacements(unknown: DataFrame, known: DataFrame, ranker: BoostedStumps, p
         p = ranker.probability(x) if len(x) else np.zeros(0)
         return pa.array(np.where(x[:, 0] <= MOST_EDITS, p, 0.0) if len(x) else p)
 
-    scored = _candidates(unknown, known).withColumn("p", chance("form", "word", "n"))
-    best = scored.groupBy("form").agg(F.max_by("word", F.struct("p", "n", "word")).alias("replacement"), F.max("p").alias("p")).where("p >= 0.5")
+    @F.arrow_udf("string")
+    def number(form: pa.Array) -> pa.Array:
+        return pa.array([number_of(f) if is_mixed(f) else None for f in form.to_pylist()], pa.string())
+
+    numbers = unknown.select("form", number("form").alias("word"), F.lit(0).cast("bigint").alias("n")).where("word is not null")
+    scored = _candidates(unknown, known).unionByName(numbers).withColumn("p", chance("form", "word", "n"))
+    best = scored.groupBy("form").agg(F.max_by(F.struct("word", "n"), F.struct("p", "n", "word")).alias("best"), F.max("p").alias("p")).where("p >= 0.5").select("form", F.col("best.word").alias("replacement"), "best.n")
     best = best.join(pages.withColumnRenamed("pages", "own"), "form").join(pages.select(F.col("form").alias("replacement"), F.col("pages").alias("its")), "replacement", "left")
-    return best.where((F.col("own") <= RARE_PAGES) | (F.col("own") <= RARE_SHARE * F.coalesce("its", F.lit(0)))).select("form", "replacement")
+    # places of a word: its pages, or as many as its share of the clean texts lets expect
+    scale = pages.agg(F.sum("pages").alias("on_pages")).crossJoin(known.agg(F.sum("n").alias("clean"))).select((F.col("on_pages") / F.col("clean")).alias("scale"))
+    places = F.greatest(F.col("n") * F.col("scale"), F.coalesce("its", F.lit(0)))
+    return best.crossJoin(F.broadcast(scale)).where((F.col("n") == 0) | (F.col("own") <= RARE_SHARE * places)).select("form", "replacement")
 
 
 def _page_forms(text: str | None) -> list[str]:
@@ -401,7 +463,7 @@ def plain_end(line: str) -> str:
 class Page:
     """One page with what the lexicon says: kinds of its lines and its repaired text."""
 
-    def __init__(self, text: str, page_no: int | None, headers: list, known: dict[str, int], replacement: dict[str, str], joins: Logistic, furniture: Logistic):
+    def __init__(self, text: str, page_no: int | None, headers: list, known: dict[str, int], replacement: dict[str, str], joins: Logistic, furniture: Logistic, numbers: Logistic):
         self.lines = text.split("\n")
         self.known, self.replacement, self.joins = known, replacement, joins
         self.kinds: list[tuple[int, str]] = []
@@ -410,7 +472,8 @@ class Page:
         self.furniture: set[int] = set()
         for i in sorted(edge):
             line = self.lines[i]
-            if is_page_number(line, page_no, i in (full[0], full[-1])):
+            signs = number_signs(line, page_no, i in (full[0], full[-1]))
+            if signs is not None and numbers.probability(np.array([signs], dtype=float))[0] >= 0.5:
                 self._add(i, "page_number")
                 self.furniture.add(i)
             elif headers and len(key := line_key(line)) >= 4:
@@ -434,7 +497,7 @@ class Page:
             left, right = m[1], head[0] if head else ""
             get = self.known.get
             x = join_features(bool(_SURE.search(line)), get(left + right, 0), get(f"{left}-{right}", 0), get(left, 0), get(right, 0))
-            self.broken[i] = bool(_SURE.search(line)) or self.joins.probability(np.array([x]))[0] >= 0.5
+            self.broken[i] = bool(self.joins.probability(np.array([x]))[0] >= 0.5)
             if self.broken[i]:
                 self._add(i, "split_word")
         before = self.body[self.body.index(i) - 1] if self.body.index(i) else None
@@ -452,8 +515,6 @@ class Page:
     def _misread(self, form: str, at_end: bool, at_start: bool) -> bool:
         if form in self.known:
             return False
-        if is_mixed(form) and number_of(form) is not None:
-            return True
         word = self.replacement.get(form)
         if word is None:
             return False
@@ -535,9 +596,13 @@ def repaired_pages(pages: DataFrame, clean: DataFrame, text: str = "text") -> Da
     headers = cut_lineage(_headers(lines))
     # the sample that the classifier is trained on has the most frequent headers of a scan
     often_seen = headers.withColumn("r", F.row_number().over(Window.partitionBy("scan_id").orderBy(F.desc("at_edge"), "key"))).where(F.col("r") <= FIT_HEADERS)
-    often_seen = often_seen.groupBy("scan_id").agg(F.collect_list(F.struct("key", "at_edge", "all")).alias("headers"))
-    sample = rows.where(F.length(F.trim("text")) > 0).select("scan_id", "text").limit(FIT_PAGES).join(often_seen, "scan_id").select("text", "headers").collect()
-    furniture = fit_furniture([(r.text, r.headers) for r in sample])
+    often_seen = often_seen.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("key", "at_edge", "all"))).alias("headers"))
+    # the pages whose keys have the least hashes: the same however the table is partitioned
+    sample = hashed_sample(rows, "page_key", FIT_PAGES, F.length(F.trim("text")) > 0)
+    sample = sample.join(often_seen, "scan_id", "left").select("page_key", F.col("page_no").cast("int").alias("page_no"), "text", "headers").collect()
+    sample.sort(key=lambda r: r.page_key)
+    furniture = fit_furniture([(r.text, r.headers) for r in sample if r.headers])
+    numbers = fit_numbers([(r.text, r.page_no) for r in sample])
     full = rows.join(told, "page_key", "left").join(_page_headers(lines, headers), "page_key", "left")
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -548,7 +613,7 @@ def repaired_pages(pages: DataFrame, clean: DataFrame, text: str = "text") -> Da
                 if r["text"] and r["text"].strip():
                     known_here = {x["form"]: x["n"] for x in r["told"] or () if x["n"] is not None}
                     better = {x["form"]: x["replacement"] for x in r["told"] or () if x["n"] is None}
-                    page = Page(r["text"], r["page_no"], r["headers"] or [], known_here, better, joins, furniture)
+                    page = Page(r["text"], r["page_no"], r["headers"] or [], known_here, better, joins, furniture, numbers)
                     kinds, fixed = [{"line_no": n, "kind": k} for n, k in page.kinds], page.repaired()
                 out.append({"page_key": r["page_key"], "scan_id": r["scan_id"], "page_no": r["page_no"], "kinds": kinds, "repaired": fixed})
             schema = pa.schema([("page_key", pa.string()), ("scan_id", pa.string()), ("page_no", pa.int32()), ("kinds", pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string())]))), ("repaired", pa.string())])

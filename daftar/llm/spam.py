@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daftar.llm.sampling import hashed_sample
 from daftar.session import spread
 
 LABELS = ("prose", "links", "tags", "menu")
@@ -230,8 +231,8 @@ class LineModel:
 
 def fit(documents: DataFrame, key: str = "doc_id", text: str = "text", pages: int = FIT_DOCUMENTS) -> LineModel:
     """Model from a bounded sample: the pages whose keys have the least hashes, so it is the same however the table is partitioned."""
-    rows = documents.where(F.length(F.trim(text)) > 0).select(text, F.xxhash64(key).alias("_h"), F.col(key).alias("_k"))
-    return LineModel.fit([t for t, *_ in rows.orderBy("_h", "_k").limit(pages).collect()])
+    sample = hashed_sample(documents.select(key, text), key, pages, F.length(F.trim(text)) > 0)
+    return LineModel.fit([r[text] for r in sample.collect()])
 
 
 def labelled_shares(documents: DataFrame, key: str = "doc_id", text: str = "text", model: LineModel | None = None) -> DataFrame:

@@ -58,9 +58,20 @@ def test_empty_lexicon_changes_no_word(spark, clean):
     assert {r.kind for r in scans.noisy_lines(out).collect()} <= {"running_header", "page_number"}
 
 
-@pytest.mark.parametrize("line,no,want", [("٨٣/95", 83, True), ("صفحة l7O", 170, True), ("- 12 -", 12, True), ("(١٤)", 14, True), ("Page 9 of 12", 9, True), ("171", 84, False), ("Article 12", 12, False), ("12 days", 12, False), ("", 1, False)])
-def test_page_numbers(line, no, want):
-    assert scans.is_page_number(line, no, True) is want
+NUMBERS = [("٨٣/95", 83, True), ("صفحة l7O", 170, True), ("- 12 -", 12, True), ("(١٤)", 14, True), ("Page 9 of 12", 9, True), ("Page 13", 18, True), ("171", 84, False), ("Article 12", 12, False), ("12 days", 12, False), ("", 1, False)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_page_numbers(seed):
+    import numpy as np
+
+    rng = random.Random(seed)
+    shapes = ["{}", "- {} -", "Page {}", "({})", "{}/200", "صفحة {}"]
+    sample = [(rng.choice(shapes).format(n) + "\nsome body text\n77\nmore body text\nand its end", n) if n % 2 else ("Header\nbody text\n" + rng.choice(shapes).format(n), n) for n in rng.sample(range(1, 200), 60)]
+    model = scans.fit_numbers(sample)
+    for line, no, want in NUMBERS:
+        signs = scans.number_signs(line, no, True)
+        assert bool(signs is not None and model.probability(np.array([signs], dtype=float))[0] >= 0.5) is want, (line, signs)
 
 
 def test_ranker_on_held_out_corruptions():
@@ -90,6 +101,49 @@ def test_candidates_are_all_neighbours(spark):
     assert {(f, w) for f in forms for w in lex if scans.edits(f, w)[0] <= 2 and scans.edits(f, w)[1] == scans.edits(f, w)[0]} <= got | {(f, w) for f in forms for w in lex if len(f) <= 4}
 
 
+def planted_scans(n, seed):
+    """(pages, clean texts, noisy lines): fresh words at every size, noise of each kind."""
+    rng = random.Random(seed)
+    fresh = lambda: "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(rng.randint(3, 4)))
+    lexicon = sorted({fresh() for _ in range(150)})
+    clean = [" ".join(rng.choice(lexicon) for _ in range(80)) for _ in range(n)]
+    rows, want = [], set()
+    for scan in range(max(n // 12, 2)):
+        header = f"{fresh()} {fresh()} gazette".title()
+        for page in range(10, 22):
+            key = f"S{scan:04d}:{page}"
+            lines = [header] + [" ".join(rng.choice(lexicon) for _ in range(8)) for _ in range(9)] + [rng.choice(["- {} -", "Page {}", "{}"]).format(page)]
+            want |= {(key, 1, "running_header"), (key, len(lines), "page_number")}
+            for at in rng.sample(range(2, 9), 2):
+                words = lines[at].split()
+                if at % 2:
+                    long = words[3]
+                    worse = scans.corrupted(long, rng)
+                    if worse and worse not in lexicon:
+                        words[3] = worse
+                        want.add((key, at + 1, "misread"))
+                    lines[at] = " ".join(words)
+                else:
+                    word, cut = words[-1], rng.randint(2, len(words[-1]) - 2)
+                    lines[at] = " ".join([*words[:-1], word[:cut] + "-"])
+                    lines[at + 1] = word[cut:] + " " + lines[at + 1]
+                    want.add((key, at + 1, "split_word"))
+            rows.append((key, f"S{scan:04d}", page, "\n".join(lines)))
+    return rows, clean, want
+
+
+def test_planted_noise_at_two_sizes(spark):
+    for n, seed in ((40, 1), (400, 2)):
+        rows, texts, want = planted_scans(n, seed)
+        df = spark.createDataFrame(rows, "page_key string, scan_id string, page_no int, text string")
+        lex = spark.createDataFrame([(t,) for t in texts], "text string")
+        got = {tuple(r) for r in scans.noisy_lines(scans.repaired_pages(df.repartition(3), lex)).collect()}
+        for kind in ("running_header", "page_number", "split_word", "misread"):
+            true, found = {x for x in want if x[2] == kind}, {x for x in got if x[2] == kind}
+            assert len(true & found) >= 0.9 * len(true) and len(true & found) >= 0.9 * len(found), (n, kind, len(true), len(found), len(true & found))
+        assert got == {tuple(r) for r in scans.noisy_lines(scans.repaired_pages(df.repartition(7, "text"), lex)).collect()}
+
+
 def test_small_models():
     import numpy as np
 
