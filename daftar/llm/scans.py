@@ -47,7 +47,7 @@ FIT_PAGES = 300
 #: Headers of a scan that its pages in that sample are compared with.
 FIT_HEADERS = 8
 EDGE_LINES = 2
-#: A misread form stands on at most this share of the places, pages and clean ones, of its word.
+#: A misread form stands, besides its first place, which shows no rate, on at most this share of its word's places.
 RARE_SHARE = 0.1
 HYPHENS = "-­¬‐‑"
 
@@ -439,7 +439,7 @@ def _replacements(unknown: DataFrame, known: DataFrame, ranker: BoostedStumps, p
     # places of a word: its pages, or as many as its share of the clean texts lets expect
     scale = pages.agg(F.sum("pages").alias("on_pages")).crossJoin(known.agg(F.sum("n").alias("clean"))).select((F.col("on_pages") / F.col("clean")).alias("scale"))
     places = F.greatest(F.col("n") * F.col("scale"), F.coalesce("its", F.lit(0)))
-    return best.crossJoin(F.broadcast(scale)).where((F.col("n") == 0) | (F.col("own") <= RARE_SHARE * places)).select("form", "replacement")
+    return best.crossJoin(F.broadcast(scale)).where((F.col("n") == 0) | (F.col("own") - 1 <= RARE_SHARE * places)).select("form", "replacement")
 
 
 def _page_forms(text: str | None) -> list[str]:
