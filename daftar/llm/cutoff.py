@@ -2,12 +2,15 @@
 
 Method: the lengths of the finished values of each source follow a log-normal distribution; values that look unfinished
 are right-censored observations of it.  The distribution is fitted per source by maximum likelihood (EM over a histogram
-of bounded size).  Candidate limits are lengths, in characters or bytes, at which unfinished values pile up.  Each
-value gets the posterior probability that it was censored at its length; this is combined with the evidence of its
-ending (open word or sentence, open citation, broken character, debris) to a decision.
+of lengths).  Candidate limits are lengths of any size, in characters or bytes, at which unfinished values pile up.  Each
+value gets the posterior probability that it was censored at its length.  How much an ending (open word or sentence, open
+citation, broken character, debris, a refusal without a mark by what its last words do elsewhere) says is a likelihood ratio on
+the same scale: expectation and maximization over the counts of (ending, posterior) fit the endings of censored and of
+finished values, starting from ``EVIDENCE`` with the weight of ``PRIOR`` values.  The sum of both log odds decides.  A closed
+sentence or citation and a whole answer are finished by definition; a refusal without a mark is what the length can decide.
 
-The scan gives one small row per value; fits see histograms (source, unit, log-bin) and (source, unit, length) counts only, so a
-source with a third of all rows is no larger than another.
+The scan gives one small row per value; fits see histograms only, so a source with a third of all rows is no larger than
+another.
 
 Cases: null, empty, sign-only and placeholder texts are no cases; a finished sentence or citation, a bare yes or no and a
 whole refusal or repeated question without a full stop are finished whatever the statistics say; sources of few
@@ -29,15 +32,22 @@ from pyspark.sql import types as T
 from daftar.llm import wording
 from daftar.session import cut_lineage, spread
 
-#: Evidence of an ending for being cut, as log odds.
-EVIDENCE = {"empty": -99.0, "closed": -9.0, "whole": -9.0, "doubtful": 0.5, "open": 7.0, "debris": 9.0}
-SALTS = 8
+#: What an ending says of having been cut, as log odds, before the data speak.  A refusal without a mark is told by its last words: they
+#: hardly ever end refusals (inner), do so again and again, as no cut at any place does (final), or stand in no other (unseen).
+EVIDENCE = {"empty": -99.0, "closed": -99.0, "whole": -99.0, "doubtful": 0.0, "unseen": 0.0, "final": -4.0, "inner": 3.0, "open": 7.0, "debris": 9.0}
+ENDINGS, FINISHED = ("closed", "whole", "unseen", "final", "inner", "open", "debris"), ("closed", "whole")
+#: Values that ``EVIDENCE`` weighs as, last words that are looked at, and the share of their places that end sentences from which they are final.
+PRIOR, LAST_WORDS, FINAL_SHARE = 200.0, 3, 0.05
+#: Share of finished values whose length follows no model, evenly spread over so many powers of e.
+STRAY, STRAY_RANGE = 0.1, 14.0
+#: A question that has more than this share of all rows is joined apart.
+HOT_SHARE = 0.01
 _HARD = re.compile(r"(?:\s*(?:�+|\\u?[0-9a-fA-F]{0,3}|</?[a-zA-Z]{0,6}|&#?[a-zA-Z0-9]{0,5}))+$")
 _DOTS = re.compile(r"\s*(?:\.{2,}|…)+\s*$")
 _CLOSED = re.compile(r"[.!?؟]['\"»”’)\]]*$")
 _OPEN_CITATION = re.compile(r"\[[^\[\]]{0,24}$|\([^()]{0,24}$")
-_LAST_WORD = re.compile(r"([^\W_]+)[\W_]*$")
-_FINAL_WORD = re.compile(r"([^\W\d_]+)['\"»”)]*[.!?؟](?=\s|$|['\"»”])")
+_ANY_WORD = re.compile(r"[^\W_]+")
+_MARK = re.compile(r"[.!?؟]+(?=[\s'\"»”)]|$)")
 
 
 def _same_words(a: tuple[str, ...], b: tuple[str, ...]) -> float:
@@ -53,6 +63,18 @@ def _same_words(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     return hit / max(len(a), len(b))
 
 
+def word_ends(text: str) -> tuple[list[str], list[str]]:
+    """(last words of each sentence, words in front of all other places) of a text, ``LAST_WORDS`` at a time; a text without a mark
+    at its end has its own last words last among the first."""
+    finals, inner = [], []
+    for sentence in _MARK.split(text.casefold()):
+        words = _ANY_WORD.findall(sentence)
+        runs = [" ".join(words[max(0, i - LAST_WORDS) : i]) for i in range(1, len(words) + 1)]
+        finals += runs[-1:]
+        inner += runs[:-1]
+    return finals, inner
+
+
 def ending(text: str | None, question: str | None = None) -> str:
     """Class of a value's ending; ``doubtful`` is a refusal without a mark, to be settled by its last word."""
     if wording.is_empty(text):
@@ -85,7 +107,7 @@ def ending(text: str | None, question: str | None = None) -> str:
     return "debris" if dots else "open"
 
 
-_ENDING = T.StructType([T.StructField("kind", T.StringType()), T.StructField("chars", T.IntegerType()), T.StructField("bytes", T.IntegerType()), T.StructField("last", T.StringType()), T.StructField("finals", T.ArrayType(T.StringType()))])
+_ENDING = T.StructType([T.StructField("kind", T.StringType()), T.StructField("chars", T.IntegerType()), T.StructField("bytes", T.IntegerType()), T.StructField("last", T.StringType()), T.StructField("finals", T.ArrayType(T.StringType())), T.StructField("inner", T.ArrayType(T.StringType()))])
 
 
 @F.arrow_udf(_ENDING)
@@ -93,18 +115,30 @@ def _ending_column(text: pa.Array, question: pa.Array) -> pa.Array:
     out = []
     for t, q in zip(text.to_pylist(), question.to_pylist()):
         kind = ending(t, q)
-        last = _LAST_WORD.search(t) if kind == "doubtful" else None
-        finals = None
-        if kind == "closed" and (wording.REFUSAL.search(t) or wording.APOLOGY.search(t)):
-            finals = list({m[1].casefold() for m in _FINAL_WORD.finditer(t)})
-        out.append({"kind": kind, "chars": len(t or ""), "bytes": len((t or "").encode()), "last": last and last[1].casefold(), "finals": finals})
-    return pa.array(out, pa.struct([("kind", pa.string()), ("chars", pa.int32()), ("bytes", pa.int32()), ("last", pa.string()), ("finals", pa.list_(pa.string()))]))
+        last = finals = inner = None
+        if kind == "doubtful":
+            last = (word_ends(t)[0] or [None])[-1]
+        elif kind == "closed" and (wording.REFUSAL.search(t) or wording.APOLOGY.search(t)):
+            finals, inner = (sorted(set(x)) for x in word_ends(t))
+        out.append({"kind": kind, "chars": len(t or ""), "bytes": len((t or "").encode()), "last": last, "finals": finals, "inner": inner})
+    return pa.array(out, pa.struct([("kind", pa.string()), ("chars", pa.int32()), ("bytes", pa.int32()), ("last", pa.string()), ("finals", pa.list_(pa.string())), ("inner", pa.list_(pa.string()))]))
 
 
 def with_questions(answers: DataFrame, questions: DataFrame, key: str = "answer_no") -> DataFrame:
-    """Answers with the text of their question; the join is salted, for one question may hold a large part of all rows."""
-    asked = questions.select("id", "question").where("id is not null").dropDuplicates(["id"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return answers.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(asked, ["id", "salt"], "left").drop("salt")
+    """Answers with the text of their question.
+
+    Questions with more than ``HOT_SHARE`` of the rows, at most 1 / HOT_SHARE of them, are broadcast; the other rows meet theirs by
+    id.  In that join a row of a hot or of no question has a place of its own, so no key is hot."""
+    asked = questions.select("id", "question").where("id is not null").dropDuplicates(["id"])
+    counts = answers.where("id is not null").groupBy("id").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    hot = counts.crossJoin(F.broadcast(total)).where(F.col("n") > HOT_SHARE * F.col("total")).select("id")
+    hot = F.broadcast(asked.join(F.broadcast(hot), "id").select(F.col("id").alias("_hot"), F.col("question").alias("_hot_question")))
+    rows = answers.join(hot, answers["id"] == F.col("_hot"), "left")
+    own = F.when(F.col("_hot").isNull(), F.col("id"))
+    rows = rows.withColumn("_at", F.coalesce(own, F.concat(F.lit("\0"), F.col(key).cast("string"))))
+    rows = rows.join(asked.withColumnRenamed("id", "_at"), "_at", "left")
+    return rows.withColumn("question", F.coalesce("question", "_hot_question")).drop("_at", "_hot", "_hot_question")
 
 
 # ---------------------------------------------------------------------------------------------------
@@ -158,42 +192,70 @@ def _fit_source(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
 
 
 def length_models(judged: DataFrame, source: str) -> DataFrame:
-    """(source, mu, sigma, limits, hazard): one row per source, fitted on histograms of bounded size."""
+    """(source, mu, sigma, limits, hazard): one row per source, fitted on its counts of lengths, as many as there are lengths."""
     units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("e.chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("e.bytes").alias("length")))).alias("u")
-    # beyond 20,000 characters a length is binned: no field limit is looked for there
-    length = F.when(F.col("u.length") <= 20_000, F.col("u.length")).otherwise((F.col("u.length") / 1000).cast("int") * 1000)
     open_ = F.col("kind").isin("open", "debris")
-    rows = judged.where("e.kind <> 'empty'").select(F.col(source).alias("source"), F.col("kind"), units, "e").select("source", "kind", F.col("u.unit").alias("unit"), length.alias("length"))
+    rows = judged.where("e.kind <> 'empty'").select(F.col(source).alias("source"), F.col("kind"), units, "e").select("source", "kind", F.col("u.unit").alias("unit"), F.col("u.length").alias("length"))
     histogram = rows.groupBy("source", "unit", "length").agg(F.count_if(~open_).cast("double").alias("whole"), F.count_if(open_).cast("double").alias("cut"))
     return histogram.groupBy("source").applyInPandas(_fit_source, _FIT)
 
 
 def _posterior(mu: Column, sigma: Column, limits: Column, hazard: Column, chars: Column, bytes_: Column) -> Column:
-    """Probability that a value of this length was censored at it."""
+    """Probability that a value of this length was censored at it.
+
+    ``STRAY`` of the finished values may have any length, so one far from the usual is no proof."""
     z = (F.log(F.greatest(chars, F.lit(1))) - mu) / sigma
     upper = 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
     density = F.exp(-0.5 * z * z) / (2.5066 * sigma * F.greatest(chars, F.lit(1)))
+    density = (1 - STRAY) * density + STRAY / (STRAY_RANGE * F.greatest(chars, F.lit(1)))
     at = F.aggregate(limits, F.lit(0.0), lambda s, x: F.greatest(s, F.when(x["length"] == F.when(x["unit"] == "bytes", bytes_).otherwise(chars), x["share"]).otherwise(0.0)))
     cut = upper * (at + hazard / F.exp(mu))
     return cut / F.greatest(cut + density * (1 - hazard), F.lit(1e-12))
 
 
+def fit_endings(counts: list[tuple[str, float, float]], rounds: int = 50) -> dict[str, float]:
+    """Log odds of each ending from (ending, log odds of its length, values), by expectation and maximization.
+
+    Each value is cut or finished; its length says how likely that is, and its ending is drawn from one of two distributions, which start
+    from ``EVIDENCE`` and stay there as far as there are few values."""
+    place = {e: i for i, e in enumerate(ENDINGS)}
+    finished = [place[e] for e in FINISHED]
+    rows = [(place[e], x, n) for e, x, n in counts if e in place]
+    kind, odds, n = np.array([r[0] for r in rows], dtype=int), np.array([r[1] for r in rows], dtype=float), np.array([r[2] for r in rows], dtype=float)
+    start = np.array([EVIDENCE[e] for e in ENDINGS])
+    share = 1 / (1 + np.exp(-start))
+    prior = (PRIOR / len(ENDINGS)) * np.stack([share, 1 - share])  # places of the endings among cut and among finished values
+    log_ratio = start
+    for _ in range(rounds):
+        cut = np.where(np.isin(kind, finished), 0.0, n / (1 + np.exp(-np.clip(log_ratio[kind] + odds, -60, 60))))
+        seen = np.stack([np.bincount(kind, cut, len(ENDINGS)), np.bincount(kind, n - cut, len(ENDINGS))]) + prior
+        seen /= seen.sum(1, keepdims=True)
+        log_ratio = np.log(np.maximum(seen[0], 1e-12)) - np.log(np.maximum(seen[1], 1e-12))
+    return {e: EVIDENCE[e] if e in FINISHED else float(x) for e, x in zip(ENDINGS, log_ratio)}
+
+
 def judged_values(answers: DataFrame, questions: DataFrame, key: str = "answer_no", source: str = "model", text: str = "text") -> DataFrame:
-    """(key, source, kind, chars, posterior, score, cut) of each value; ``cut`` is the decision."""
+    """(key, source, kind, chars, posterior, ending_odds, score, cut) of each value; ``cut`` is the decision, by ``score``: the log odds
+    of the length's posterior and of the ending together."""
     rows = answers.select(key, "id", F.col(source).alias("source"), F.col(text).alias("text")).dropDuplicates([key])
     rows = spread(with_questions(rows, questions, key))
     judged = cut_lineage(rows.select(key, "source", _ending_column("text", "question").alias("e")))
-    # a refusal without a mark is whole if its last word ends marked sentences elsewhere
-    finals = judged.select(F.explode("e.finals").alias("last")).groupBy("last").agg(F.count("*").alias("ends"))
-    judged = judged.join(finals, judged["e.last"] == finals["last"], "left").drop("last")
-    kind = F.when((F.col("e.kind") == "doubtful") & (F.col("ends") > 0), "whole").otherwise(F.col("e.kind"))
-    judged = judged.select(key, F.coalesce("source", F.lit("")).alias("source"), "e", kind.alias("kind"))
+    # what the last words of a refusal without a mark do in all other refusals
+    ends = judged.select(F.explode(F.concat(F.coalesce("e.finals", F.array().cast("array<string>")), F.array_compact(F.array("e.last")))).alias("last")).groupBy("last").agg(F.count("*").alias("ends"))
+    stays = judged.select(F.explode("e.inner").alias("last")).groupBy("last").agg(F.count("*").alias("stays"))
+    unmarked = judged.where("e.kind = 'doubtful'").select(key, "e.last").join(ends, "last", "left").join(stays, "last", "left")
+    others, stays = F.coalesce(F.col("ends"), F.lit(1)) - 1, F.coalesce(F.col("stays"), F.lit(0))
+    unmarked = unmarked.select(key, F.when(others + stays > 0, others / (others + stays)).alias("share"))
+    unmarked = unmarked.select(key, F.when(F.col("share").isNull(), "unseen").when(F.col("share") >= FINAL_SHARE, "final").otherwise("inner").alias("own"))
+    judged = judged.join(unmarked, key, "left").select(key, F.coalesce("source", F.lit("")).alias("source"), "e", F.coalesce("own", "e.kind").alias("kind"))
     fits = length_models(judged, "source")
     p = F.coalesce(_posterior(F.col("mu"), F.col("sigma"), F.col("limits"), F.col("hazard"), F.col("e.chars"), F.col("e.bytes")), F.lit(0.5))
-    odds = F.greatest(F.lit(-3.0), F.least(F.lit(3.0), F.log(F.greatest(p, F.lit(1e-6)) / F.greatest(1 - p, F.lit(1e-6)))))
-    evidence = F.create_map(*[x for k, v in EVIDENCE.items() for x in (F.lit(k), F.lit(v))])
-    out = judged.join(fits, "source", "left").select(key, "source", "kind", F.col("e.chars").alias("chars"), p.alias("posterior"), (evidence[F.col("kind")] + odds).alias("score"))
-    return out.withColumn("cut", F.col("score") > 0)
+    out = cut_lineage(judged.join(fits, "source", "left").select(key, "source", "kind", F.col("e.chars").alias("chars"), p.alias("posterior")))
+    odds = F.log(F.greatest("posterior", F.lit(1e-6)) / F.greatest(1 - F.col("posterior"), F.lit(1e-6)))
+    counts = out.where(F.col("kind") != "empty").groupBy("kind", (F.round(odds * 4) / 4).alias("odds")).agg(F.count("*").alias("n")).collect()  # endings times at most 112 steps of the odds
+    fitted = fit_endings([(r.kind, r.odds, float(r.n)) for r in sorted(counts, key=lambda r: (r.kind, r.odds))]) | {"empty": EVIDENCE["empty"]}
+    ending = F.create_map(*[x for k, v in fitted.items() for x in (F.lit(k), F.lit(v))])[F.col("kind")]
+    return out.withColumn("ending_odds", ending).withColumn("score", F.col("ending_odds") + odds).withColumn("cut", F.col("score") > 0)
 
 
 def cut_values(answers: DataFrame, questions: DataFrame, key: str = "answer_no") -> DataFrame:
