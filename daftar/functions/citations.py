@@ -46,11 +46,13 @@ def is_abstention(c: Column) -> Column:
 
 def copied(sentence: Column, context: Column) -> Column:
     """Whether a run of 60 characters of the sentence, tried every 30, stands in any of the context texts."""
-    s = tx.collapse(sentence)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(s) - COPIED_RUN + 1, F.lit(1)), F.lit(COPIED_RUN // 2))
-    flat = F.transform(context, lambda t: tx.collapse(t))
-    hit = F.exists(starts, lambda i: F.exists(flat, lambda t: F.contains(t, F.substring(s, i, F.lit(COPIED_RUN)))))
-    return (F.length(s) >= COPIED_RUN) & F.coalesce(hit, F.lit(False))
+    def found(x: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(x["s"]) - COPIED_RUN + 1, F.lit(1)), F.lit(COPIED_RUN // 2))
+        hit = F.exists(starts, lambda i: F.exists(x["texts"], lambda t: F.contains(t, F.substring(x["s"], i, F.lit(COPIED_RUN)))))
+        return (F.length(x["s"]) >= COPIED_RUN) & F.coalesce(hit, F.lit(False))
+
+    # the texts are collapsed once a sentence, not once a run
+    return tx.bound(F.struct(tx.collapse(sentence).alias("s"), F.transform(context, tx.collapse).alias("texts")), found)
 
 
 def copied_windows(sentence: Column) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from daftar.functions.text import bound
 from daftar.operators.lexical import ranked
 
 RRF_CONSTANT, DEPTH = 60, 20
@@ -28,6 +29,8 @@ def rerank(candidates: DataFrame, texts: DataFrame, queries: DataFrame, scorer:
 
 
 def containment(query_terms: Column, doc_terms: Column) -> Column:
-    """Share of the query's terms (each occurrence) that the document has; 0 for a query without terms."""
-    hits = F.size(F.filter(query_terms, lambda t: F.array_contains(doc_terms, t)))
-    return F.when(F.size(query_terms) > 0, hits / F.size(query_terms)).otherwise(0.0)
+    """Share of the query's terms (each occurrence) that the document has; 0 for a query without terms.
+
+    Both lists are worked out once a row, however many terms the query has."""
+    share = lambda x: F.when(F.size(x["q"]) > 0, F.size(F.filter(x["q"], lambda t: F.array_contains(x["d"], t))) / F.size(x["q"])).otherwise(0.0)
+    return bound(F.struct(query_terms.alias("q"), doc_terms.alias("d")), share)

@@ -56,7 +56,8 @@ def overlap_bands(pairs: DataFrame, bands: DataFrame, query_terms: Column, doc_t
     """``pairs`` (id, category, ...) with overlap and verdict LOW, OK or HIGH against the category's band.
 
     ``bands`` (category, lo, hi) has one row a category and is tiny; a category without one takes the default."""
-    rows = pairs.withColumn("overlap", F.round(containment(query_terms, doc_terms), decimals)).withColumn("leaked", F.array_distinct(F.filter(query_terms, lambda t: F.array_contains(doc_terms, t))))
+    leaked = tx.bound(F.struct(query_terms.alias("q"), doc_terms.alias("d")), lambda x: F.array_distinct(F.filter(x["q"], lambda t: F.array_contains(x["d"], t))))
+    rows = pairs.withColumn("overlap", F.round(containment(query_terms, doc_terms), decimals)).withColumn("leaked", leaked)
     rows = rows.join(bands, "category", "left")
     lo, hi = F.coalesce("lo", F.lit(DEFAULT_BAND[0])), F.coalesce("hi", F.lit(DEFAULT_BAND[1]))
     verdict = F.when(F.col("overlap") > hi, "HIGH").when(F.col("overlap") < lo, "LOW").otherwise("OK")

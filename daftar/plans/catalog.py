@@ -84,7 +84,7 @@ def normalize_articles(s: SparkSession, d: str) -> DataFrame:
     return articles(s, d).select("article_ref", tx.evaluation_form(t, compat=False).alias("evaluation"), tx.orthographic_form(t, compat=False).alias("orthographic"))
 
 
-@query()
+@query(f"WITH {sql.nfkc(A, 'article_ref', 'text')} SELECT key AS article_ref, {sql.evaluation('text')} AS evaluation, array_to_string({sql.search_tokens('text')}, ' ') AS search FROM compat")
 def normalize_articles_nfkc(s: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return articles(s, d).select("article_ref", tx.evaluation_form(t).alias("evaluation"), tx.search_form(t).alias("search"))
@@ -124,7 +124,12 @@ def scalar_functions(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query()
+_STRONG = r"\x{200F}\x{061C}\x{0640}\x{06E5}\x{06E6}\x{06DD}"
+_DIGIT = "[0-9٠-٩۰-۹]"
+_DROPPED = tx.INVISIBLE[:-1] + tx.MARKS[1:-1] + "ـ]"
+
+
+@query(f"""SELECT answer_no, regexp_matches(text, {sql.q(f"{_DIGIT}{_DROPPED}*[{_STRONG}]{_DROPPED}*{_DIGIT}")}) AS gap, regexp_matches(text, {sql.q(tx.DIRECTION)}) AS override, md5({sql.tidy('text')}) AS tidy_md5 FROM {R} WHERE text IS NOT NULL""")
 def unsafe_text(s: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     rows = answers(s, d).where("text is not null").select("answer_no", tx.has_unsafe_gap(t).alias("gap"), tx.has_override(t).alias("override"), tx.tidy(t).alias("tidy"))
@@ -146,8 +151,8 @@ def bm25_topk(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {sql.bm25(QUERY_TERMS, DOC_TERMS, 5)} SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_term_stats(s: SparkSession, d: str) -> DataFrame:
-    docs, terms = articles(s, d).where("text is not null"), _terms("text")
-    stats = lexical.term_stats(lexical.postings(docs, "article_ref", terms), lexical.corpus_stats(docs, terms))
+    tokens = lexical.tokenized(articles(s, d).where("text is not null"), "article_ref", _terms("text"))
+    stats = lexical.term_stats(lexical.postings(tokens), lexical.corpus_stats(tokens))
     return stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -329,22 +334,24 @@ def missing_keywords(s: SparkSession, d: str) -> DataFrame:
     return quality.missing_keywords(questions(s, d), articles(s, d))
 
 
-def _first_texts(s: SparkSession, d: str) -> DataFrame:
-    """One text an article id: that of the least reference."""
-    return articles(s, d).where("text is not null").groupBy(F.col("id").alias("article_id")).agg(F.min_by("text", "article_ref").alias("text"))
-
-
-@query(f"""WITH t AS (SELECT id AS article_id, min_by(text, article_ref) AS text FROM {A} WHERE text IS NOT NULL GROUP BY id),
+@query(f"""WITH t AS (SELECT id AS article_id, list_sort(list_distinct(flatten(list({sql.content_tokens('text')})))) AS dt FROM {A} WHERE text IS NOT NULL GROUP BY id),
     p AS (SELECT DISTINCT id, category, question, unnest(expected_articles) AS article_id FROM {Q} WHERE question IS NOT NULL),
-    x AS (SELECT p.id, p.category, p.article_id, {sql.content_tokens('p.question')} AS qt, {sql.content_tokens('t.text')} AS dt FROM p JOIN t USING (article_id)),
+    x AS (SELECT p.id, p.category, p.article_id, {sql.content_tokens('p.question')} AS qt, dt FROM p JOIN t USING (article_id)),
     y AS (SELECT *, list_filter(qt, lambda w: list_contains(dt, w)) AS common FROM x),
     z AS (SELECT *, round(CASE WHEN len(qt) > 0 THEN CAST(len(common) AS DOUBLE) / len(qt) ELSE 0.0 END, 4) AS overlap,
         coalesce(CASE category WHEN 'direct' THEN 0.15 WHEN 'multi_article' THEN 0.15 WHEN 'colloquial' THEN 0.0 END, 0.0) AS lo, coalesce(CASE category WHEN 'direct' THEN 0.55 WHEN 'multi_article' THEN 0.60 WHEN 'colloquial' THEN 0.35 END, 0.55) AS hi FROM y)
     SELECT id, article_id, overlap, CASE WHEN overlap > hi THEN 'HIGH' WHEN overlap < lo THEN 'LOW' ELSE 'OK' END AS verdict, array_to_string({sql.first_seen('common')}, ' ') AS leaked FROM z""")
 def containment_band(s: SparkSession, d: str) -> DataFrame:
-    pairs = questions(s, d).where("question is not null").select("id", "category", "question", F.explode("expected_articles").alias("article_id")).distinct()
+    """Against the terms of all texts that stand under an article id, in whatever source; each text is tokenized once."""
+    terms = articles(s, d).where("text is not null").select(F.col("id").alias("article_id"), F.explode(F.array_distinct(_content("text"))).alias("t"))
+    terms = terms.groupBy("article_id").agg(F.collect_set("t").alias("dt"))
+    asked_ = questions(s, d).where("question is not null").select("id", "category", "expected_articles", _content("question").alias("qt"))
+    pairs = asked_.select("id", "category", "qt", F.explode(F.array_distinct("expected_articles")).alias("article_id"))
     bands = s.createDataFrame([(c, lo, hi) for c, (lo, hi) in quality.BANDS.items()], "category string, lo double, hi double")
-    rows = quality.overlap_bands(pairs.join(_first_texts(s, d), "article_id"), bands, _content("question"), _content("text"))
+    # an article without a word still has a text, so its pairs stay
+    ids = articles(s, d).where("text is not null").select(F.col("id").alias("article_id")).distinct()
+    joined = pairs.join(ids, "article_id").join(terms, "article_id", "left").withColumn("dt", F.coalesce("dt", F.array().cast("array<string>")))
+    rows = quality.overlap_bands(joined, bands, F.col("qt"), F.col("dt"))
     return rows.select("id", "article_id", "overlap", "verdict", F.array_join("leaked", " ").alias("leaked"))
 
 
@@ -361,12 +368,16 @@ def corpus_binding(s: SparkSession, d: str) -> DataFrame:
     return quality.binding_problem(table(s, d, "articles"), "Act")
 
 
-@query(f"""WITH t AS (SELECT id AS article_id, min_by(text, article_ref) AS text FROM {A} WHERE text IS NOT NULL GROUP BY id),
+@query(f"""WITH t AS (SELECT DISTINCT id AS article_id, text FROM {A} WHERE text IS NOT NULL),
     p AS (SELECT DISTINCT id, unnest(expected_articles) AS article_id, expected_keywords FROM {Q} WHERE len(expected_keywords) > 0)
-    SELECT p.id, p.article_id, len(list_filter(expected_keywords, lambda k: NOT contains(text, k))) = 0 AS evidence FROM p JOIN t USING (article_id) WHERE len(list_filter(expected_keywords, lambda k: k IS NULL)) = 0""")
+    SELECT p.id, p.article_id, bool_or(len(list_filter(expected_keywords, lambda k: NOT contains(text, k))) = 0) AS evidence FROM p JOIN t USING (article_id) WHERE len(list_filter(expected_keywords, lambda k: k IS NULL)) = 0 GROUP BY ALL""")
 def page_evidence(s: SparkSession, d: str) -> DataFrame:
+    """Whether one text of the article holds all keywords; equal keyword lists and equal texts of an article meet once."""
     pairs = questions(s, d).where("size(expected_keywords) > 0 and not exists(expected_keywords, k -> k is null)").select("id", F.explode("expected_articles").alias("article_id"), "expected_keywords").distinct()
-    return pairs.join(_first_texts(s, d), "article_id").select("id", "article_id", F.forall("expected_keywords", lambda k: F.contains("text", k)).alias("evidence"))
+    texts = articles(s, d).where("text is not null").select(F.col("id").alias("article_id"), "text").distinct()
+    found = pairs.select("article_id", "expected_keywords").distinct().join(texts, "article_id")
+    found = found.groupBy("article_id", "expected_keywords").agg(F.bool_or(F.forall("expected_keywords", lambda k: F.contains("text", k))).alias("evidence"))
+    return pairs.join(found, ["article_id", "expected_keywords"]).select("id", "article_id", "evidence")
 
 
 # --- segmentation -----------------------------------------------------------------------------------
@@ -393,21 +404,30 @@ def encoder_coverage(s: SparkSession, d: str) -> DataFrame:
     return segment.window_coverage(spread(table(s, d, "documents").select("text")).where("text is not null"), _tokens(), 256)
 
 
-@query()
+_PAGES = "SELECT doc_id AS doc, unnest(range(0, len(ps))) AS page, unnest(ps) AS text FROM (SELECT doc_id, string_split(text, chr(12)) AS ps FROM documents WHERE text IS NOT NULL)"
+
+
+@query(f"WITH {sql.chunks(_PAGES, segment.CHUNK_MOST, segment.CHUNK_LEAST)} SELECT doc, CAST(number AS BIGINT) AS number, CAST(page AS BIGINT) AS page, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS size FROM chunked")
 def page_chunks(s: SparkSession, d: str) -> DataFrame:
     docs = spread(table(s, d, "documents").select("doc_id", "text")).where("text is not null")
     pages = docs.select("doc_id", F.posexplode(F.split("text", "\f")).alias("page", "text"))
-    return segment.page_chunks(pages, "doc_id", "page", "text")
+    rows = segment.page_chunks(pages, "doc_id", "page", "text", compat=False)
+    return rows.select("doc", "number", F.col("page").cast("bigint").alias("page"), F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("size"))
 
 
-_HEADERS = f"""l AS (SELECT doc_id AS doc, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
-    n AS (SELECT doc, line_no, line, TRY_CAST({sql.digits(f"regexp_extract(line, {sql.q(tx.NUMERIC_HEADER)}, 1)")} AS INTEGER) AS num, regexp_extract(line, {sql.q(tx.ORDINAL_HEADER)}, 1) AS word FROM l),
-    h AS (SELECT doc, line_no, line, coalesce(num, CASE word {' '.join(f"WHEN {sql.q(k)} THEN {v}" for k, v in tx.ORDINALS.items())} END) AS number, CASE WHEN word <> '' THEN 'issuance' WHEN num IS NOT NULL THEN 'law' END AS book FROM n),
+def _headers_sql(lines: str) -> str:
+    """CTEs ending in ``parts`` (doc, pos, book, number, page, body) of ``lines``, a select of (doc, line_no, page, line)."""
+    return f"""l AS ({lines}),
+    n AS (SELECT doc, line_no, page, line, TRY_CAST({sql.digits(f"regexp_extract(line, {sql.q(tx.NUMERIC_HEADER)}, 1)")} AS INTEGER) AS num, regexp_extract(line, {sql.q(tx.ORDINAL_HEADER)}, 1) AS word FROM l),
+    h AS (SELECT doc, line_no, page, line, coalesce(num, CASE word {' '.join(f"WHEN {sql.q(k)} THEN {v}" for k, v in tx.ORDINALS.items())} END) AS number, CASE WHEN word <> '' THEN 'issuance' WHEN num IS NOT NULL THEN 'law' END AS book FROM n),
     p AS (SELECT *, sum(CASE WHEN number IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line_no) AS pos FROM h),
-    b AS (SELECT doc, pos, max(number) AS number, max(book) AS book, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (number IS NULL), '') AS body FROM p WHERE pos > 0 GROUP BY doc, pos),
+    b AS (SELECT doc, pos, max(number) AS number, max(book) AS book, max(page) FILTER (number IS NOT NULL) AS page, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (number IS NULL), '') AS body FROM p WHERE pos > 0 GROUP BY doc, pos),
     r AS (SELECT *, book = 'law' AND number <= last_value(CASE WHEN book = 'law' THEN number END IGNORE NULLS) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS restart FROM b),
     f AS (SELECT *, min(CASE WHEN restart THEN pos END) OVER (PARTITION BY doc) AS first FROM r),
-    parts AS (SELECT doc, pos, CASE WHEN pos < first THEN 'issuance' ELSE book END AS book, number, {sql.replace_all('body', f'^{tx.SPACE}+|{tx.SPACE}+$')} AS body FROM f)"""
+    parts AS (SELECT doc, pos, CASE WHEN pos < first THEN 'issuance' ELSE book END AS book, number, page, {sql.replace_all('body', f'^{tx.SPACE}+|{tx.SPACE}+$')} AS body FROM f)"""
+
+
+_HEADERS = _headers_sql("SELECT doc_id AS doc, unnest(range(0, len(ls))) AS line_no, NULL AS page, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)")
 
 
 def _parts(s: SparkSession, d: str) -> DataFrame:
@@ -419,19 +439,46 @@ def header_articles(s: SparkSession, d: str) -> DataFrame:
     return _parts(s, d).select("doc", F.col("pos").cast("bigint").alias("pos"), "id", F.md5("body").alias("body_md5"))
 
 
-@query(f"""WITH {_HEADERS}, good AS (SELECT * FROM parts WHERE body <> ''), c AS (SELECT doc, book, number, count(*) AS n FROM good GROUP BY ALL), sp AS (SELECT doc, book, min(number) AS lo, max(number) AS hi FROM c GROUP BY ALL)
-    SELECT doc, book, 'duplicate' AS problem, number FROM c WHERE n > 1
-    UNION ALL SELECT doc, book, 'gap', number FROM (SELECT doc, book, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS number FROM sp) g WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc = g.doc AND c.book = g.book AND c.number = g.number)
-    UNION ALL SELECT doc, book, 'start', lo FROM sp WHERE lo <> 1
-    UNION ALL SELECT DISTINCT doc, book, 'short', number FROM good WHERE length(body) < 20""")
-def validate_numbering(s: SparkSession, d: str) -> DataFrame:
-    return segment.numbering_problems(_parts(s, d))
+_PROBLEMS = """good AS (SELECT * FROM parts WHERE body <> ''), c AS (SELECT doc, book, number, count(*) AS n FROM good GROUP BY ALL), sp AS (SELECT doc, book, min(number) AS lo, max(number) AS hi FROM c GROUP BY ALL),
+    problems AS (SELECT doc, book, 'duplicate' AS problem, number FROM c WHERE n > 1
+        UNION ALL SELECT doc, book, 'gap', number FROM (SELECT doc, book, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS number FROM sp) g WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc = g.doc AND c.book = g.book AND c.number = g.number)
+        UNION ALL SELECT doc, book, 'start', lo FROM sp WHERE lo <> 1
+        UNION ALL SELECT DISTINCT doc, book, 'short', number FROM good WHERE length(body) < 20)"""
+# the corpus as raw statutes, one for each source file and stretch of references, two articles a page; and all documents as they are
+_STATUTES = f"""st AS (SELECT doc, string_agg(CASE WHEN r % 2 = 1 AND r > 1 THEN chr(12) ELSE '' END || 'مادة (' || r || ')' || chr(13) || chr(10) || text, chr(10) ORDER BY r) AS text
+        FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY article_ref) AS r FROM (SELECT source_file || '/' || CAST(substr(article_ref, 2) AS BIGINT) // 500 AS doc, article_ref, text FROM {A} WHERE text IS NOT NULL AND source_file IS NOT NULL)) GROUP BY doc
+    UNION ALL SELECT 'd' || doc_id, text FROM documents WHERE text IS NOT NULL)"""
+_STATUTE_PAGES = r"sp0 AS (SELECT doc, unnest(range(1, len(ps) + 1)) AS page, unnest(ps) AS text FROM (SELECT doc, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(12)) AS ps FROM st))"
+_STATUTE_LINES = "SELECT doc, page * 1000000 + unnest(range(1, len(ls) + 1)) AS line_no, page, unnest(ls) AS line FROM (SELECT doc, page, string_split(text, chr(10)) AS ls FROM sp0)"
 
 
-@query()
+def _statutes(s: SparkSession, d: str) -> DataFrame:
+    """(doc, text): all articles as raw statutes, at most 500 references of a source file each, and all documents."""
+    from pyspark.sql import Window
+
+    rows = articles(s, d).where("text is not null and source_file is not null").withColumn("doc", F.concat_ws("/", "source_file", F.expr("cast(cast(substring(article_ref, 2) as bigint) div 500 as string)")))
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy("article_ref")))
+    part = F.concat(F.when((F.col("r") % 2 == 1) & (F.col("r") > 1), "\f").otherwise(""), F.lit("مادة ("), F.col("r").cast("string"), F.lit(")\r\n"), F.col("text"))
+    made = rows.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", part.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    return made.unionByName(spread(table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc"), "text")).where("text is not null"))
+
+
+@query(f"""WITH {_STATUTES}, {_STATUTE_PAGES}, {_headers_sql(_STATUTE_LINES)}, {_PROBLEMS},
+    ok AS (SELECT doc FROM good GROUP BY doc HAVING count(*) >= 3 AND doc NOT IN (SELECT doc FROM problems)),
+    {sql.chunks('SELECT doc, page, text FROM sp0 WHERE doc NOT IN (SELECT doc FROM ok)', segment.CHUNK_MOST, segment.CHUNK_LEAST)},
+    own AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY pos) AS number, CASE WHEN book = 'law' THEN number END AS article, {sql.q(segment.ARTICLE_LABEL)} || number || CASE WHEN book = 'law' THEN '' ELSE {sql.q(segment.ISSUANCE_LABEL)} END AS label, page, {sql.evaluation('body')} AS b FROM good WHERE doc IN (SELECT doc FROM ok))
+    SELECT doc, CAST(number AS BIGINT) AS number, article, label, CAST(page AS BIGINT) AS page, md5({sql.tidy('b')}) AS text_md5 FROM own
+    UNION ALL SELECT doc, CAST(number AS BIGINT), NULL, {sql.q(segment.PAGE_LABEL)} || page, CAST(page AS BIGINT), md5(text) FROM chunked""")
 def chunk_documents(s: SparkSession, d: str) -> DataFrame:
-    docs = spread(table(s, d, "documents").select("doc_id", "text")).where("text is not null")
-    return segment.chunk_documents(docs, "doc_id", "text").select("doc", "number", "article", "label", F.md5("text").alias("text_md5"))
+    return segment.chunk_documents(_statutes(s, d), "doc", "text", compat=False).select("doc", "number", "article", "label", F.col("page").cast("bigint").alias("page"), F.md5("text").alias("text_md5"))
+
+
+@query(f"""WITH parts AS (SELECT source_file AS doc, split_part(id, '-', 1) AS book, TRY_CAST(split_part(id, '-', 2) AS INTEGER) AS number, text AS body FROM {A} WHERE text IS NOT NULL AND regexp_matches(id, '^(law|issuance)-[0-9]+$')), {_PROBLEMS} SELECT * FROM problems""")
+def validate_numbering(s: SparkSession, d: str) -> DataFrame:
+    """Over the corpus itself: the articles of each source file."""
+    rows = articles(s, d).where("text <> '' and id rlike '^(law|issuance)-[0-9]+$'")
+    book, number = F.split_part("id", F.lit("-"), F.lit(1)), F.split_part("id", F.lit("-"), F.lit(2)).try_cast("int")
+    return segment.numbering_problems(rows.select(F.col("source_file").alias("doc"), book.alias("book"), number.alias("number"), F.col("text").alias("body")))
 
 
 _BARE = sql.replace_all("coalesce(text, '')", tx.SPACE)
