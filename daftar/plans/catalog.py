@@ -506,7 +506,9 @@ def live_documents(s: SparkSession, d: str) -> DataFrame:
     return identity.live(meta).select("doc_id", "title", "chunks", "created_at")
 
 
-@query()
+@query(f"""WITH h AS (SELECT sha256(concat_ws('|', coalesce(id, ''), coalesce(category, ''), coalesce(question, ''), coalesce(array_to_string(expected_articles, ','), ''), coalesce(CAST(answerable AS VARCHAR), ''), coalesce(split, ''))) AS h
+        FROM (SELECT DISTINCT ON (id) * FROM questions)), p AS (SELECT substr(h, 1, 2) AS p, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1)
+    SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(h, '' ORDER BY p)) AS fingerprint FROM p""")
 def question_set_fingerprint(s: SparkSession, d: str) -> DataFrame:
     rows = questions(s, d).withColumn("expected", F.array_join("expected_articles", ","))
     return identity.set_fingerprint(rows, ["id", "category", "question", "expected", "answerable", "split"])
@@ -533,7 +535,22 @@ def _numbered_texts(s: SparkSession, d: str, number: str) -> DataFrame:
     return articles(s, d).where("text is not null").select(tx.article_number(F.col("id")).alias(number), "text").where(F.col(number).isNotNull()).distinct()
 
 
-@query()
+_LAW = "TRY_CAST(regexp_extract(id, '^law-(\\d+)$', 1) AS INTEGER)"
+_WINDOWS = lambda c: f"list_transform(range(1, greatest(length({c}) - {ci.COPIED_RUN} + 1, 1) + 1, {ci.COPIED_RUN // 2}), lambda i: substr({c}, i, {ci.COPIED_RUN}))"
+_AUDIT = f"""r AS (SELECT answer_no, coalesce(text, '') AS text, coalesce(retrieved, []) AS retrieved FROM {R}), corpus AS (SELECT DISTINCT {_LAW} AS n FROM {A}),
+    sn AS (SELECT answer_no, unnest(range(0, len(ss))) AS i, unnest(ss) AS s FROM (SELECT answer_no, {sql.sentences('text')} AS ss FROM r)),
+    cs AS (SELECT answer_no, i, s, {sql.collapse('s')} AS c FROM sn), w AS (SELECT answer_no, i, unnest({_WINDOWS('c')}) AS win FROM cs WHERE length(c) >= {ci.COPIED_RUN}),
+    rt AS (SELECT DISTINCT answer_no, unnest(retrieved) AS n FROM r), tt AS (SELECT DISTINCT {_LAW} AS n, {sql.collapse('text')} AS c FROM {A} WHERE text IS NOT NULL),
+    dw AS (SELECT DISTINCT n, win FROM w JOIN rt USING (answer_no)), dh AS (SELECT DISTINCT n, win FROM dw JOIN tt USING (n) WHERE contains(c, win)), hit AS (SELECT DISTINCT answer_no, i FROM w JOIN rt USING (answer_no) JOIN dh USING (n, win)),
+    x AS (SELECT cs.*, {sql.citations('s')} AS cit, hit.i IS NOT NULL AS copied FROM cs LEFT JOIN hit ON cs.answer_no = hit.answer_no AND cs.i = hit.i),
+    g AS (SELECT answer_no, coalesce(flatten(list(cit ORDER BY i) FILTER (NOT copied)), []) AS own, coalesce(flatten(list(cit ORDER BY i) FILTER (copied)), []) AS other, count(*) FILTER (length(s) >= {ci.LEAST_CLAIM} AND (len(cit) = 0 OR copied)) AS uncited FROM x GROUP BY answer_no),
+    v AS (SELECT r.answer_no, contains(r.text, {sql.q(ci.ABSTENTION)}) AS abstained, retrieved, coalesce({sql.first_seen('own')}, []) AS own, coalesce({sql.first_seen('other')}, []) AS other, coalesce(uncited, 0) AS uncited FROM r LEFT JOIN g USING (answer_no)),
+    vc AS (SELECT *, CASE WHEN abstained THEN [] ELSE own END AS cited, CASE WHEN abstained THEN [] ELSE list_filter(other, lambda n: NOT list_contains(own, n)) END AS copied, (SELECT list(n) FROM corpus WHERE n < 1000) AS corpus FROM v),
+    vf AS (SELECT *, list_filter(cited, lambda n: NOT list_contains(corpus, n)) AS fabricated, list_filter(cited, lambda n: list_contains(corpus, n) AND NOT list_contains(retrieved, n)) AS ungrounded, CASE WHEN abstained THEN 0 ELSE uncited END AS un FROM vc)"""
+
+
+@query(f"""WITH {_AUDIT} SELECT answer_no, abstained, array_to_string(cited, ',') AS cited, array_to_string(copied, ',') AS copied, array_to_string(fabricated, ',') AS fabricated, array_to_string(ungrounded, ',') AS ungrounded, un AS uncited,
+    len(fabricated) = 0 AND len(ungrounded) = 0 AND un = 0 AS grounded FROM vf""")
 def audit_answers(s: SparkSession, d: str) -> DataFrame:
     numbers = _law_numbers(s, d)
     rows = answers(s, d).select("answer_no", "text", F.coalesce("retrieved", F.array().cast("array<int>")).alias("retrieved"))
@@ -555,17 +572,39 @@ def _gated(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return heads, an.gate_corpus(claims, sources, _numbered_texts(s, d, "article"), compat=False)
 
 
-@query()
+_PLAIN = sql.replace_all(sql.evaluation("text"), tx.INVISIBLE)
+_SHOWN = sql.replace_all("text", tx.INVISIBLE)
+_GATE = f"""r AS (SELECT answer_no AS query_id, text, coalesce(retrieved, []) AS retrieved, answerable, seconds, expected FROM {R}),
+    c0 AS (SELECT query_id, retrieved, unnest(range(0, len(ss))) AS claim_no, unnest(ss) AS text FROM (SELECT query_id, retrieved, {sql.sentences('text')} AS ss FROM r WHERE text IS NOT NULL)),
+    c1 AS (SELECT *, {sql.citations('text')} AS cit, {_PLAIN} AS plain, regexp_matches(text, {sql.q(f"{_DIGIT}{_DROPPED}*[{_STRONG}]{_DROPPED}*{_DIGIT}")}) OR regexp_matches(text, {sql.q(tx.DIRECTION)}) AS hazard FROM c0),
+    c2 AS (SELECT *, {sql.citations('plain')} AS pcit, list_transform(cit, lambda n: coalesce(list_position(retrieved, n), 0)) AS sources FROM c1),
+    art AS (SELECT DISTINCT {_LAW} AS n, {_SHOWN} AS t FROM {A} WHERE text IS NOT NULL), ac AS (SELECT n, flatten(list({sql.citations('t')})) AS cites FROM art GROUP BY n),
+    ca AS (SELECT query_id, claim_no, list(DISTINCT n) AS arts, coalesce(flatten(list(cites)), []) AS cites FROM (SELECT query_id, claim_no, unnest(list_transform(list_filter(sources, lambda s: s >= 1), lambda s: retrieved[s])) AS n FROM c2) LEFT JOIN ac USING (n) GROUP BY ALL),
+    c3 AS (SELECT c2.*, list_concat(coalesce(arts, []), coalesce(cites, [])) AS allowed, coalesce(arts, []) AS arts FROM c2 LEFT JOIN ca USING (query_id, claim_no)),
+    c4 AS (SELECT *, CASE WHEN len(sources) = 0 THEN 'uncited' WHEN len(list_filter(sources, lambda s: s < 1)) > 0 THEN 'fabricated' WHEN hazard OR len(list_filter(pcit, lambda n: NOT list_contains(allowed, n))) > 0 THEN 'ungrounded' END AS reason FROM c3),
+    cw AS (SELECT query_id, claim_no, arts, unnest({_WINDOWS('p')}) AS win FROM (SELECT query_id, claim_no, arts, {sql.collapse('plain')} AS p FROM c4 WHERE reason IS NULL) WHERE length(p) >= {ci.COPIED_RUN}), cwa AS (SELECT query_id, claim_no, win, unnest(arts) AS n FROM cw),
+    ch AS (SELECT DISTINCT query_id, claim_no FROM cwa JOIN (SELECT n, {sql.collapse('t')} AS t FROM art) USING (n) WHERE contains(t, win)),
+    gated AS (SELECT c4.query_id, c4.claim_no, c4.text, c4.cit, c4.arts, reason, CASE WHEN reason IS NULL THEN ch.query_id IS NOT NULL END AS copied FROM c4 LEFT JOIN ch ON c4.query_id = ch.query_id AND c4.claim_no = ch.claim_no),
+    cn AS (SELECT query_id, count(*) AS claims, count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason = 'uncited') AS uncited, count(*) FILTER (reason = 'fabricated') AS fabricated, count(*) FILTER (reason = 'ungrounded') AS ungrounded FROM gated GROUP BY query_id),
+    hd AS (SELECT query_id, text IS NOT NULL AS parsed, coalesce(contains(text, {sql.q(ci.ABSTENTION)}), false) AS abstain, len(retrieved) = 0 AS none FROM r),
+    vd AS (SELECT query_id, parsed, abstain, none, NOT parsed OR abstain AS quiet, coalesce(claims, 0) AS claims, coalesce(kept, 0) AS k, coalesce(uncited, 0) AS u, coalesce(fabricated, 0) AS f, coalesce(ungrounded, 0) AS g FROM hd LEFT JOIN cn USING (query_id)),
+    ve AS (SELECT *, CASE WHEN quiet THEN 0 ELSE k END AS kept, CASE WHEN quiet THEN 0 ELSE claims - k END AS dropped, CASE WHEN quiet THEN 0 ELSE u END AS uncited, CASE WHEN quiet THEN 0 ELSE f END AS fabricated, CASE WHEN quiet THEN 0 ELSE g END AS ungrounded, CASE WHEN parsed AND abstain THEN claims ELSE 0 END AS ignored_on_abstain FROM vd),
+    verdicts AS (SELECT query_id, CAST(kept AS BIGINT) AS kept, CAST(dropped AS BIGINT) AS dropped, CAST(uncited AS BIGINT) AS uncited, CAST(fabricated AS BIGINT) AS fabricated, CAST(ungrounded AS BIGINT) AS ungrounded, CAST(ignored_on_abstain AS BIGINT) AS ignored_on_abstain,
+        CASE WHEN kept = 0 THEN 'abstained' WHEN dropped > 0 THEN 'partial' ELSE 'answered' END AS status,
+        CASE WHEN none THEN 'no_sources' WHEN NOT parsed THEN 'schema_failure' WHEN abstain THEN 'model_abstained' WHEN kept = 0 AND dropped > 0 THEN 'all_dropped' WHEN kept = 0 THEN 'no_claims' END AS abstain_reason FROM ve)"""
+
+
+@query(f"WITH {_GATE} SELECT query_id, CAST(claim_no AS INTEGER) AS claim_no, coalesce(reason, 'kept') AS reason, copied FROM gated")
 def gate_claims(s: SparkSession, d: str) -> DataFrame:
     return _gated(s, d)[1].select("query_id", "claim_no", F.coalesce("reason", F.lit("kept")).alias("reason"), "copied")
 
 
-@query()
+@query(f"WITH {_GATE} SELECT * FROM verdicts")
 def gate_verdicts(s: SparkSession, d: str) -> DataFrame:
     return an.gate_verdicts(*_gated(s, d))
 
 
-@query()
+@query(f"WITH {_GATE} SELECT coalesce(abstain_reason, '(none)') AS reason, status, count(*) AS answers FROM verdicts GROUP BY ALL")
 def abstain_reasons(s: SparkSession, d: str) -> DataFrame:
     return an.gate_verdicts(*_gated(s, d)).groupBy(F.coalesce("abstain_reason", F.lit("(none)")).alias("reason"), "status").agg(F.count("*").alias("answers"))
 
@@ -609,21 +648,30 @@ def retries(s: SparkSession, d: str) -> DataFrame:
     return an.retries(answers(s, d), "answer_no")
 
 
-_RUN = lambda m: f"SELECT id, max(answerable) AS answerable, min(text) AS text FROM {R} WHERE model = '{m}' AND id IS NOT NULL GROUP BY id"
-
-
-@query(f"""WITH a AS ({_RUN('local:sahl-1b')}), b AS ({_RUN('local:mizan-4b')}), j AS (SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'b' WHEN b.id IS NULL THEN 'a' ELSE 'both' END AS side, a.answerable AS able_a, b.answerable AS able_b, a.text AS text_a, b.text AS text_b FROM a FULL JOIN b ON a.id = b.id)
-    SELECT id, side, CASE WHEN side = 'both' THEN CASE WHEN able_a IS NOT DISTINCT FROM able_b THEN 'yes' ELSE 'no' END ELSE 'absent' END AS answerable_same, CASE WHEN side = 'both' THEN CASE WHEN text_a IS NOT DISTINCT FROM text_b THEN 'yes' ELSE 'no' END ELSE 'absent' END AS text_same FROM j""")
+@query(f"""WITH p AS (SELECT model, run_id, id, max(answerable) AS answerable, md5(string_agg(coalesce(sha256(text), 'null'), ',' ORDER BY coalesce(sha256(text), 'null'))) AS texts FROM {R} WHERE model IS NOT NULL AND run_id IS NOT NULL AND id IS NOT NULL GROUP BY ALL),
+    f AS (SELECT model, min(run_id) AS first FROM p GROUP BY model), ru AS (SELECT DISTINCT p.model, p.run_id FROM p JOIN f ON p.model = f.model WHERE run_id <> first),
+    a AS (SELECT ru.model, ru.run_id, p.id, p.answerable, p.texts FROM ru JOIN f USING (model) JOIN p ON p.model = ru.model AND p.run_id = f.first), b AS (SELECT p.* FROM p JOIN ru USING (model, run_id))
+    SELECT coalesce(a.model, b.model) AS model, coalesce(a.run_id, b.run_id) AS run_id, coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'b' WHEN b.id IS NULL THEN 'a' ELSE 'both' END AS side,
+        CASE WHEN a.id IS NULL OR b.id IS NULL THEN 'absent' WHEN a.answerable IS NOT DISTINCT FROM b.answerable THEN 'yes' ELSE 'no' END AS answerable_same,
+        CASE WHEN a.id IS NULL OR b.id IS NULL THEN 'absent' WHEN a.texts = b.texts THEN 'yes' ELSE 'no' END AS texts_same
+    FROM a FULL JOIN b ON a.model = b.model AND a.run_id = b.run_id AND a.id = b.id""")
 def run_compare(s: SparkSession, d: str) -> DataFrame:
-    def run(m: str) -> DataFrame:
-        return answers(s, d).where((F.col("model") == m) & F.col("id").isNotNull()).groupBy("id").agg(F.max("answerable").alias("answerable"), F.min("text").alias("text"))
-
-    rows = an.run_comparison(run("local:sahl-1b"), run("local:mizan-4b"), "id", ["answerable", "text"])
+    """Every run of a model against its first one, by the multiset of answers that a question has in each."""
+    rows = answers(s, d).where("model is not null and run_id is not null and id is not null")
+    # the sum of hashes stands for the multiset of texts, so none is gathered
+    own = rows.groupBy("model", "run_id", "id").agg(F.max("answerable").alias("answerable"), F.struct(F.count("*").alias("n"), F.sum(F.xxhash64(F.coalesce("text", F.lit("\0"))).cast("decimal(38,0)")).alias("sum")).alias("texts"))
+    first = own.groupBy("model").agg(F.min("run_id").alias("first"))
+    runs = own.select("model", "run_id").distinct().join(first, "model").where("run_id <> first")
+    a = runs.join(own.withColumnRenamed("run_id", "first"), ["model", "first"]).drop("first")
+    key = F.struct("model", "run_id", "id").alias("key")
+    out = an.run_comparison(a.select(key, "answerable", "texts"), own.join(runs, ["model", "run_id"], "left_semi").select(key, "answerable", "texts"), "key", ["answerable", "texts"])
     told = lambda c: F.when(F.col(c).isNull(), "absent").when(F.col(c), "yes").otherwise("no").alias(c)
-    return rows.select("id", "side", told("answerable_same"), told("text_same"))
+    return out.select("key.*", "side", told("answerable_same"), told("texts_same"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT run_id, id, coalesce(sha256(text), 'null') AS h, seconds FROM {R} WHERE run_id IS NOT NULL AND id IS NOT NULL),
+    sg AS (SELECT run_id, md5(string_agg(id || h, ',' ORDER BY id, h)) AS sig, avg(seconds) AS m FROM p GROUP BY run_id), vr AS (SELECT id FROM p GROUP BY id HAVING count(DISTINCT h) > 1)
+    SELECT count(*) AS runs, count(DISTINCT sig) AS signatures, (SELECT count(*) FROM vr) AS varying, round(max(m) - min(m), 4) AS span FROM sg""")
 def run_variance(s: SparkSession, d: str) -> DataFrame:
     return an.variance(answers(s, d).where("run_id is not null and id is not null"), "run_id", "id", "text", "seconds")
 
@@ -637,26 +685,35 @@ def answered_questions(s: SparkSession, d: str) -> DataFrame:
 # --- scanned pages ----------------------------------------------------------------------------------
 
 
-@query()
+_FURN = ", ".join(sql.q(w) for w in tx.FURNITURE_WORDS)
+_FURNITURE = f"""x AS (SELECT *, {sql.replace_all('line', f'^{tx.SPACE}+|{tx.SPACE}+$')} AS s FROM l), y AS (SELECT *, list_filter(string_split_regex(s, {sql.q(tx.SPACE + '+')}), lambda t: t <> '') AS parts FROM x),
+    z AS (SELECT *, list_filter(list_transform(list_filter(parts, lambda t: NOT regexp_matches(t, {sql.q(tx.NUMBER_LINE)})), lambda t: regexp_replace(t, '^[()،.:\\-–—]+|[()،.:\\-–—]+$', '', 'g')), lambda w: length(w) > 1) AS ev FROM y),
+    told AS (SELECT *, CASE WHEN s = '' THEN false WHEN regexp_matches(s, {sql.q(tx.NUMBER_LINE)}) THEN true ELSE len(parts) <= 14 AND (len(ev) = 0 OR len(list_filter(ev, lambda w: list_contains([{_FURN}], w))) * 2 > len(ev)) END AS furniture FROM z)"""
+_ENTITIES = "text"
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", chr(0xA0)), ("&amp;", "&")):
+    _ENTITIES = f"replace({_ENTITIES}, {sql.q(_a)}, {sql.q(_b)})"
+_BOLD = r"^[ \t]*\*\*(.*)\*\*[ \t]*$"
+_OCR_LINES = f"""o AS (SELECT DISTINCT ON (page_key) page_key, scan_id, page, {_ENTITIES.replace('text', "regexp_replace(text, '" + tx.TAG + "', '', 'g')", 1)} AS text FROM ocr_pages WHERE text IS NOT NULL),
+    l0 AS (SELECT page_key, scan_id, page, unnest(range(0, len(ls))) AS line_no, regexp_replace(unnest(ls), {sql.q(tx.LINE_PREFIX.removeprefix('(?m)'))}, '') AS line FROM (SELECT *, string_split(text, chr(10)) AS ls FROM o)),
+    l1 AS (SELECT *, regexp_extract(line, {sql.q(_BOLD)}, 1) AS bold FROM l0), l2 AS (SELECT * EXCLUDE (line, bold), CASE WHEN bold <> '' AND NOT contains(bold, '**') AND NOT regexp_matches(bold, '^\\s|\\s$') THEN bold ELSE line END AS line FROM l1),
+    l AS (SELECT * EXCLUDE (line), regexp_replace(line, {sql.q(tx.NUMBER_FIRST.removeprefix('(?m)'))}, '\\2 (\\1)') AS line FROM l2), {_FURNITURE}"""
+
+
+@query(f"WITH {_OCR_LINES} SELECT page_key, CAST(line_no AS INTEGER) AS line_no, {sql.replace_all('line', tx.SPACE + '+$')} AS line, furniture FROM told")
 def ocr_raw_lines(s: SparkSession, d: str) -> DataFrame:
     pages = table(s, d, "ocr_pages").where("text is not null").dropDuplicates(["page_key"])
     return ocr.raw_lines(pages, "page_key", "text")
 
 
-@query()
+@query(f"""WITH {_OCR_LINES}, k AS (SELECT scan_id, coalesce(TRY_CAST(regexp_extract(page, '(\\d+)', 1) AS INTEGER), 0) AS page_no, line_no, {sql.replace_all('line', tx.SPACE + '+$')} AS line, furniture FROM told)
+    SELECT scan_id, md5(coalesce(string_agg(line, chr(10) ORDER BY page_no, line_no, line) FILTER (NOT furniture), '')) AS text_md5, count(*) FILTER (furniture) AS dropped FROM k GROUP BY scan_id""")
 def ocr_raw_text(s: SparkSession, d: str) -> DataFrame:
     pages = table(s, d, "ocr_pages").where("text is not null").dropDuplicates(["page_key"])
     return ocr.raw_text(pages, "scan_id", "page", "text").select(F.col("doc").alias("scan_id"), F.md5("text").alias("text_md5"), "dropped")
 
 
-_FURN = ", ".join(sql.q(w) for w in tx.FURNITURE_WORDS)
-
-
-@query(f"""WITH l AS (SELECT page_key, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT page_key, string_split(regexp_replace(text, '<[^>]+>', '', 'g'), chr(10)) AS ls FROM (SELECT DISTINCT page_key, text FROM ocr_pages) WHERE text IS NOT NULL)),
-    x AS (SELECT *, {sql.replace_all('line', f'^{tx.SPACE}+|{tx.SPACE}+$')} AS s FROM l), y AS (SELECT *, list_filter(string_split_regex(s, {sql.q(tx.SPACE + '+')}), lambda t: t <> '') AS parts FROM x),
-    z AS (SELECT *, list_filter(list_transform(list_filter(parts, lambda t: NOT regexp_matches(t, {sql.q(tx.NUMBER_LINE)})), lambda t: regexp_replace(t, '^[()،.:\\-–—]+|[()،.:\\-–—]+$', '', 'g')), lambda w: length(w) > 1) AS ev FROM y)
-    SELECT page_key, CAST(line_no AS BIGINT) AS line_no, CASE WHEN s = '' THEN false WHEN regexp_matches(s, {sql.q(tx.NUMBER_LINE)}) THEN true
-        ELSE len(parts) <= 14 AND (len(ev) = 0 OR len(list_filter(ev, lambda w: list_contains([{_FURN}], w))) * 2 > len(ev)) END AS furniture FROM z""")
+@query(f"""WITH l AS (SELECT page_key, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT page_key, string_split(regexp_replace(text, '<[^>]+>', '', 'g'), chr(10)) AS ls FROM (SELECT DISTINCT page_key, text FROM ocr_pages) WHERE text IS NOT NULL)), {_FURNITURE}
+    SELECT page_key, CAST(line_no AS BIGINT) AS line_no, furniture FROM told""")
 def ocr_furniture(s: SparkSession, d: str) -> DataFrame:
     pages = table(s, d, "ocr_pages").where("text is not null").select("page_key", "text").distinct()
     lines = pages.select("page_key", F.posexplode(F.split(tx.strip_tags(F.col("text")), "\n")).alias("line_no", "line"))
