@@ -253,3 +253,52 @@ def set_changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """(key, change): keys added to and dropped from a set."""
     a, b = old.select(key).distinct(), new.select(key).distinct()
     return b.join(a, key, "left_anti").select(key, F.lit("added").alias("change")).unionByName(a.join(b, key, "left_anti").select(key, F.lit("dropped").alias("change")))
+
+
+def claims_report(answers: DataFrame, verdicts: DataFrame, claims: DataFrame, least_cited: int = LEAST_CITED) -> DataFrame:
+    """One row: a claims run in figures, and whether it may be adopted.
+
+    ``answers`` (query_id, answerable, cites_expected), ``verdicts`` as of :func:`gate_verdicts`, ``claims`` (query_id, text, reason, copied).
+    Claims of an abstention were not checked and count as ignored only.  Adopted: nothing fabricated, four fifths of the unanswerable
+    questions declined, enough expected articles cited."""
+    rows = answers.join(verdicts, "query_id")
+    able = F.coalesce(F.col("answerable"), F.lit(False))
+    away = F.col("status") == "abstained"
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
+    out = rows.agg(
+        F.count_if(able).alias("answerable"), F.count_if(~able).alias("unanswerable"), F.count_if(able & (F.col("kept") > 0)).alias("covered"),
+        F.count_if(able & away).alias("false_abstentions"), F.count_if(~able & away).alias("right_abstentions"),
+        F.count_if(able & F.coalesce("cites_expected", F.lit(False))).alias("cited_expected"),
+        F.count_if(F.coalesce(F.col("abstain_reason") == "schema_failure", F.lit(False))).alias("schema_failures"),
+        *[F.count_if(F.col("status") == x).alias(x) for x in ("answered", "partial", "abstained")],
+        *[total(c) for c in ("ignored_on_abstain", "fabricated", "uncited", "ungrounded")],
+    )
+    kept = claims.where("reason is null").join(verdicts.where("kept > 0").select("query_id"), "query_id", "left_semi")
+    texts = kept.agg(F.count("*").alias("kept_claims"), F.count_if(F.coalesce("copied", F.lit(False))).alias("copied_claims"), F.count_if(F.length(F.trim("text")) < ci.LEAST_CLAIM).alias("short_claims"))
+    rate = F.when(F.col("unanswerable") > 0, F.col("right_abstentions") / F.col("unanswerable")).otherwise(0.0)
+    out = out.crossJoin(F.broadcast(texts)).withColumn("abstention_rate", F.round(rate, 4))
+    return out.withColumn("adopted", (F.col("fabricated") == 0) & (rate >= ABSTENTION_GOAL) & (F.col("cited_expected") >= least_cited))
+
+
+def app_summary(rows: DataFrame, decimals: int = 4) -> DataFrame:
+    """One row of an app run: coverage, page-grounded answers, abstentions right and wrong, fabricated claims, mean seconds.
+
+    ``rows`` (answerable, status, kept, page_grounded, fabricated, seconds), one a question."""
+    able, away = F.coalesce(F.col("answerable"), F.lit(False)), F.col("status") == "abstained"
+    return rows.agg(
+        F.count_if(able).alias("answerable"), F.count_if(~able).alias("out_of_document"), F.count_if(able & (F.col("kept") > 0)).alias("covered"),
+        F.count_if(able & F.coalesce("page_grounded", F.lit(False))).alias("page_grounded"), F.count_if(~able & away).alias("right_abstentions"), F.count_if(able & away).alias("false_abstentions"),
+        F.coalesce(F.sum("fabricated"), F.lit(0)).cast("bigint").alias("fabricated"), F.round(F.avg("seconds"), decimals).alias("mean_seconds"),
+    )
+
+
+def missing_articles(answers: DataFrame, key: str, retrieved: str, numbers: DataFrame, number: str) -> DataFrame:
+    """(key, number): retrieved articles that the corpus doesn't have; any row means that it is not the corpus the run saw."""
+    return answers.select(key, F.explode(F.array_distinct(retrieved)).alias(number)).join(numbers.select(number).distinct(), number, "left_anti").select(key, number)
+
+
+def require_articles(answers: DataFrame, key: str, retrieved: str, numbers: DataFrame, number: str) -> None:
+    """Raise if a saved answer retrieved an article that the corpus lacks, before it is audited again."""
+    lost = missing_articles(answers, key, retrieved, numbers, number).limit(5).collect()
+    if lost:
+        raise ValueError(f"retrieved articles that the corpus lacks: {', '.join(f'{r[0]}: {r[1]}' for r in lost)}")

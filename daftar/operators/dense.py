@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from daftar.functions.text import bound
 from daftar.operators.lexical import ranked
 
 #: Query vectors shipped at once.
@@ -28,6 +29,13 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
 
 
+def hashed_terms(terms: Column, dimensions: int = 64) -> Column:
+    """A unit vector that counts terms by the bucket of their hash: a deterministic stand-in for an encoder, inside the JVM."""
+    buckets = F.transform(terms, lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("bigint") % dimensions)
+    counts = bound(buckets, lambda bs: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.size(F.filter(bs, lambda b: b == k)).cast("double")))
+    return bound(counts, unit)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

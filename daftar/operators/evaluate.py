@@ -90,3 +90,35 @@ def order_changes(a: DataFrame, b: DataFrame) -> DataFrame:
 def closest(rows: DataFrame, value: str, target: float, tie: str, pick: str) -> DataFrame:
     """One row: the ``pick`` whose ``value`` is closest to the target, the smaller ``tie`` first."""
     return rows.agg(F.min_by(pick, F.struct(F.abs(F.col(value) - target), F.col(tie))).alias(pick))
+
+
+def ablation(scores: DataFrame, questions: DataFrame, base: str, categories: list[str], decimals: int = 6) -> DataFrame:
+    """(config, recall, mrr, <category>_recall..., delta): configurations side by side, ``delta`` against the recall of ``base``.
+
+    ``scores`` (config, query_id, recall, rr), ``questions`` (query_id, category)."""
+    rows = scores.join(questions.select("query_id", "category"), "query_id")
+    by_category = [F.round(F.avg(F.when(F.col("category") == c, F.col("recall"))), decimals).alias(f"{c}_recall") for c in categories]
+    out = rows.groupBy("config").agg(F.avg("recall").alias("r"), F.round(F.avg("rr"), decimals).alias("mrr"), *by_category)
+    own = out.where(F.col("config") == base).select(F.col("r").alias("b"))  # one row
+    return out.join(F.broadcast(own)).select("config", F.round("r", decimals).alias("recall"), "mrr", *[f"{c}_recall" for c in categories], F.round(F.col("r") - F.col("b"), decimals).alias("delta"))
+
+
+def probe_ranks(cases: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """(query_id, expected, expected_rank, outranked_by, passed): the rank of the expected document, and the distractors in front of it.
+
+    ``cases`` (query_id, expected, distractors array), ``hits`` (query_id, id, rank).  A document that is no hit has no rank; a
+    distractor among the hits is in front of an expected document that is none."""
+    roles = cases.select("query_id", "expected", F.explode_outer(F.array_distinct(F.concat(F.array("expected"), F.coalesce("distractors", F.array().cast("array<string>"))))).alias("id"))
+    best = hits.groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
+    ranked_ = roles.join(best, ["query_id", "id"], "left")
+    own = F.max(F.when(F.col("id") == F.col("expected"), F.col("rank")))
+    others = F.collect_list(F.when((F.col("id") != F.col("expected")) & F.col("rank").isNotNull(), F.struct("rank", "id")))
+    out = ranked_.groupBy("query_id", "expected").agg(own.alias("expected_rank"), others.alias("o"))
+    ahead = F.transform(F.array_sort(F.filter("o", lambda x: F.col("expected_rank").isNull() | (x["rank"] < F.col("expected_rank")))), lambda x: x["id"])
+    out = out.withColumn("outranked_by", ahead)
+    return out.select("query_id", "expected", "expected_rank", "outranked_by", (F.coalesce(F.col("expected_rank") <= k, F.lit(False)) & (F.size("outranked_by") == 0)).alias("passed"))
+
+
+def page_hits(rows: DataFrame, pages: str, expected: str) -> DataFrame:
+    """``rows`` with ``page_hit``: whether a retrieved page is an expected one; none is expected of a row without pages."""
+    return rows.withColumn("page_hit", F.coalesce(F.arrays_overlap(pages, expected), F.lit(False)))

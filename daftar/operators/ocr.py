@@ -58,3 +58,8 @@ def budget_removed(tokens: DataFrame, budget: DataFrame) -> DataFrame:
     """(key, pos, token): the first occurrences of each token within its budget dropped, the order of the rest kept."""
     seen = F.row_number().over(Window.partitionBy("key", "token").orderBy("pos"))
     return tokens.withColumn("r", seen).join(budget, ["key", "token"], "left").where(F.col("r") > F.coalesce("budget", F.lit(0))).select("key", "pos", "token")
+
+
+def critical_failures(critical: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, token): critical tokens (key, token) of pages that the engine's tokens (key, token, n) don't have; one of them fails the gate."""
+    return critical.select("key", "token").distinct().join(found.select("key", "token"), ["key", "token"], "left_anti")

@@ -85,9 +85,9 @@ def broken_words(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return pairs.join(vocabulary(docs, text).select(F.col("term").alias("joined"), F.col("n").alias("joined_seen")), "joined").select("id", "broken", "joined", "joined_seen")
 
 
-def binding_problem(articles: DataFrame, law: str) -> DataFrame:
-    """One row (bound): whether some law of the corpus has the target's name in it."""
-    return articles.agg(F.coalesce(F.bool_or(F.contains("law_name", F.lit(law))), F.lit(False)).alias("bound"))
+def binding_problem(articles: DataFrame, law: str, group: str) -> DataFrame:
+    """(group, bound): whether some law of each part of the corpus has the target's name in it."""
+    return articles.groupBy(group).agg(F.coalesce(F.bool_or(F.contains("law_name", F.lit(law))), F.lit(False)).alias("bound"))
 
 
 def admission(files: DataFrame, content: str = "content", path: str = "path") -> DataFrame:

@@ -6,6 +6,7 @@ Searches ask with every row whose id is divisible by 100, against all rows; ever
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from daftar.functions import text as tx
 from daftar.operators import answers as an
 from daftar.operators import dense, drift, evaluate, fusion, identity, lexical, ocr, quality, segment
 from daftar.plans import sql
-from daftar.session import spread, table
+from daftar.session import cut_lineage, spread, table
 from daftar.streaming import limits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,13 +191,28 @@ def bm25_scoreboard(s: SparkSession, d: str) -> DataFrame:
     return evaluate.scoreboard(asked(s, d).select(F.col("id").alias("query_id"), "category", "answerable"), _scores(s, d, 5))
 
 
-_RRF = f"""a AS (WITH {sql.bm25(QUERY_TERMS, DOC_TERMS, 20)} SELECT * FROM hits), b AS (WITH {sql.bm25(QUERY_CONTENT, DOC_CONTENT, 20)} SELECT * FROM hits),
+DIMENSIONS = 64
+_BUCKETS = lambda ts: f"list_transform({ts}, lambda t: CAST('0x' || substr(md5(t), 1, 6) AS BIGINT) % {DIMENSIONS})"
+_COUNTS = f"list_transform(range(0, {DIMENSIONS}), lambda k: CAST(len(list_filter(bs, lambda b: b = k)) AS DOUBLE))"
+_UNIT = "CASE WHEN list_sum(list_transform(v, lambda x: x * x)) > 0 THEN list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) ELSE v END"
+_ENCODED = lambda key, select: f"(SELECT {key}, {_UNIT} AS v FROM (SELECT {key}, {_COUNTS} AS v FROM (SELECT {key}, {_BUCKETS('ts')} AS bs FROM ({select}))))"
+_DENSE_HITS = f"""dense_scores AS (SELECT q.query_id, t.id, round(list_sum(list_transform(list_zip(q.v, t.v), lambda z: z[1] * z[2])), 4) AS score FROM {_ENCODED('query_id', QUERY_TERMS)} q, {_ENCODED('id', DOC_TERMS)} t),
+    dense_hits AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, score FROM dense_scores) WHERE rank <= 20)"""
+_RRF = f"""a AS (WITH {sql.bm25(QUERY_TERMS, DOC_TERMS, 20)} SELECT * FROM hits), {_DENSE_HITS}, b AS (SELECT * FROM dense_hits),
     fused AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL),
     best AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, score FROM fused)"""
 
 
+def _dense(s: SparkSession, d: str, k: int) -> DataFrame:
+    """Cosine search over hashed terms, which stand for an encoder's vectors: any encoder may be injected in their place."""
+    vector = lambda c: dense.hashed_terms(_terms(c), DIMENSIONS).alias("embedding")
+    queries = asked(s, d).select("id", vector("question"))
+    return dense.cosine_topk(queries, "id", articles(s, d).where("text is not null").select("article_ref", vector("text")), "article_ref", k)
+
+
 def _fused(s: SparkSession, d: str, k: int) -> DataFrame:
-    return fusion.reciprocal_rank_fusion([_bm25(s, d, 20), _bm25(s, d, 20, _content)], k)
+    """Hybrid search: the lexical and the dense list of twenty, fused."""
+    return fusion.reciprocal_rank_fusion([_bm25(s, d, 20), _dense(s, d, 20)], k)
 
 
 @query(f"WITH {_RRF} SELECT query_id, id, rank, score FROM best WHERE rank <= 5")
@@ -222,6 +238,46 @@ def rerank_overlap(s: SparkSession, d: str) -> DataFrame:
     return fusion.rerank(_fused(s, d, 20), texts, asked(s, d).select(F.col("id").alias("query_id"), F.col("question").alias("query")), fusion.containment(_content("query"), _content("text")), 5)
 
 
+def _reranked(s: SparkSession, d: str) -> DataFrame:
+    return rerank_overlap(s, d)
+
+
+_ABLATION = ["direct", "multi_article", "colloquial"]
+
+
+@query(f"""WITH {_RRF}, t AS ({DOC_CONTENT}), qq AS ({QUERY_CONTENT}),
+    scored AS (SELECT b.query_id, b.id, round(CASE WHEN len(qq.ts) > 0 THEN CAST(len(list_filter(qq.ts, lambda x: list_contains(t.ts, x))) AS DOUBLE) / len(qq.ts) ELSE 0.0 END, 4) AS score
+        FROM best b JOIN t ON b.id = t.id JOIN qq ON b.query_id = qq.query_id WHERE b.rank <= 20),
+    configs AS (SELECT 'bm25' AS config, query_id, id, rank FROM a WHERE rank <= 5 UNION ALL SELECT 'dense', query_id, id, rank FROM b WHERE rank <= 5 UNION ALL SELECT 'hybrid', query_id, id, rank FROM best WHERE rank <= 5
+        UNION ALL SELECT 'hybrid_rerank', query_id, id, rank FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= 5),
+    by_id AS (SELECT config, query_id, a.id, min(rank) AS rank FROM configs h JOIN {A} a ON h.id = a.article_ref GROUP BY ALL), names AS (SELECT unnest(['bm25', 'dense', 'hybrid', 'hybrid_rerank']) AS config),
+    wanted AS (SELECT id AS query_id, category, unnest(expected_articles) AS id FROM {ASKED} WHERE len(expected_articles) > 0),
+    sc AS (SELECT n.config, w.query_id, any_value(w.category) AS category, round(avg(CASE WHEN rank IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS recall, round(coalesce(1.0::DOUBLE / min(rank), 0.0::DOUBLE), 6) AS rr FROM names n CROSS JOIN wanted w LEFT JOIN by_id b ON b.config = n.config AND b.query_id = w.query_id AND b.id = w.id GROUP BY n.config, w.query_id),
+    cf AS (SELECT config, avg(recall) AS r, round(avg(rr), 6) AS mrr, {', '.join(f"round(avg(recall) FILTER (category = '{c}'), 6) AS {c}_recall" for c in _ABLATION)} FROM sc GROUP BY config)
+    SELECT config, round(r, 6) AS recall, mrr, {', '.join(f'{c}_recall' for c in _ABLATION)}, round(r - (SELECT r FROM cf WHERE config = 'bm25'), 6) AS delta FROM cf""")
+def ablation_table(s: SparkSession, d: str) -> DataFrame:
+    configs = {"bm25": _bm25(s, d, 5), "dense": _dense(s, d, 5), "hybrid": _fused(s, d, 5), "hybrid_rerank": _reranked(s, d)}
+    scores = [evaluate.per_question(_expected(s, d), _by_id(s, d, hits), 5).withColumn("config", F.lit(name)) for name, hits in configs.items()]
+    return evaluate.ablation(reduce(DataFrame.unionByName, scores), asked(s, d).select(F.col("id").alias("query_id"), "category"), "bm25", _ABLATION)
+
+
+_PROBES = f"""cases AS (SELECT id AS query_id, expected_articles[1] AS expected, regexp_extract(expected_articles[1], '^([a-z]+)-', 1) AS book, TRY_CAST(regexp_extract(expected_articles[1], '-(\\d+)$', 1) AS INTEGER) AS n FROM {ASKED} WHERE len(expected_articles) > 0)"""
+
+
+@query(f"""WITH {sql.bm25(QUERY_TERMS, DOC_TERMS, 20)}, by_id AS (SELECT h.query_id, a.id, min(rank) AS rank FROM hits h JOIN {A} a ON h.id = a.article_ref GROUP BY ALL), {_PROBES},
+    ranked AS (SELECT query_id, expected, (SELECT rank FROM by_id b WHERE b.query_id = c.query_id AND b.id = c.expected) AS expected_rank, list_filter([book || '-' || (n - 1), book || '-' || (n + 1)], lambda x: x IS NOT NULL) AS ds FROM cases c),
+    ahead AS (SELECT r.query_id, string_agg(b.id, ',' ORDER BY b.rank, b.id) AS ids FROM ranked r JOIN by_id b ON b.query_id = r.query_id AND list_contains(ds, b.id) WHERE expected_rank IS NULL OR b.rank < expected_rank GROUP BY r.query_id)
+    SELECT r.query_id, expected, expected_rank, coalesce(ids, '') AS outranked_by, coalesce(expected_rank <= 5, false) AND ids IS NULL AS passed FROM ranked r LEFT JOIN ahead USING (query_id)""")
+def probe_ranks(s: SparkSession, d: str) -> DataFrame:
+    """The first expected article of each question against its two neighbours in the law as distractors."""
+    first = F.element_at("expected_articles", 1)
+    book, n = F.regexp_extract(first, "^([a-z]+)-", 1), F.regexp_extract(first, r"-(\d+)$", 1).try_cast("int")
+    near = lambda k: F.concat_ws("-", book, (n + k).cast("string"))
+    cases = asked(s, d).where("size(expected_articles) > 0").select(F.col("id").alias("query_id"), first.alias("expected"), F.when(n.isNotNull(), F.array(near(-1), near(1))).alias("distractors"))
+    out = evaluate.probe_ranks(cases, _by_id(s, d, _bm25(s, d, 20)), 5)
+    return out.withColumn("outranked_by", F.array_join("outranked_by", ","))
+
+
 def _sweep(s: SparkSession, d: str) -> DataFrame:
     """(form, query_id, article, rank): ranks of the expected articles under each spelling."""
     forms = ["as_written", *tx.TYPIST_FORMS, "all"]
@@ -285,11 +341,11 @@ def dense_maxpool(s: SparkSession, d: str) -> DataFrame:
     return dense.cosine_topk(queries, "vec_id", vectors.withColumn("doc", F.expr("vec_id div 4")), "doc", 5)
 
 
-@query(f"""WITH {_SIMILAR}, own AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS r FROM sim WHERE label % 2 = 0)
+@query(f"""WITH {_SIMILAR}, own AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS r FROM sim WHERE label IS NOT NULL)
     SELECT * FROM (SELECT query_id, label AS doc, vec_id AS chunk, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, vec_id, label) AS rank, round(score, 4) AS score FROM own WHERE r <= 5) WHERE rank <= 5""")
 def library_scoped_search(s: SparkSession, d: str) -> DataFrame:
     queries, vectors = _vectors(s, d)
-    live = vectors.where("label % 2 = 0").select("label").distinct().withColumn("created_at", F.lit(None).cast("timestamp"))
+    live = vectors.where("label is not null").select("label").distinct().withColumn("created_at", F.lit(None).cast("timestamp"))
     return dense.library_search(queries, "vec_id", vectors, "label", "vec_id", 5, live)
 
 
@@ -300,10 +356,18 @@ def vector_norms(s: SparkSession, d: str) -> DataFrame:
     return v.select("vec_id", F.round(norm, 6).alias("norm"), F.size("embedding").cast("bigint").alias("size"))
 
 
-@query("SELECT 'wrong_dimension' AS problem, count(*) AS rows FROM embeddings WHERE len(embedding) <> 64 HAVING count(*) > 0")
+_STORED = """v AS (SELECT CASE WHEN vec_id % 13 = 5 THEN vec_id + 1000000 ELSE vec_id END AS vec_id, CASE WHEN vec_id % 7 = 3 THEN embedding[1:63] WHEN vec_id % 11 = 4 THEN list_concat([CAST('nan' AS FLOAT)], embedding[2:]) ELSE embedding END AS e FROM embeddings WHERE vec_id % 17 <> 6)"""
+
+
+@query(f"""WITH {_STORED}, p AS (SELECT 'wrong_dimension' AS problem, count(*) FILTER (len(e) <> 64) AS rows FROM v UNION ALL SELECT 'not_finite', count(*) FILTER (len(list_filter(e, lambda x: isnan(x))) > 0) FROM v
+    UNION ALL SELECT 'document_without_vector', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM v) UNION ALL SELECT 'vector_without_document', count(DISTINCT vec_id) FROM v WHERE vec_id NOT IN (SELECT vec_id FROM embeddings))
+    SELECT * FROM p WHERE rows > 0""")
 def index_problems(s: SparkSession, d: str) -> DataFrame:
+    """A stored index with faults of each kind, made of the vectors by rules on their ids, against the vectors as they are."""
     v = table(s, d, "embeddings")
-    return dense.index_problems(v, v, "vec_id", 64)
+    e = F.when(F.col("vec_id") % 7 == 3, F.slice("embedding", 1, 63)).when(F.col("vec_id") % 11 == 4, F.concat(F.array(F.lit(float("nan")).cast("float")), F.slice("embedding", 2, 63))).otherwise(F.col("embedding"))
+    stored = v.where("vec_id % 17 <> 6").select(F.when(F.col("vec_id") % 13 == 5, F.col("vec_id") + 1000000).otherwise(F.col("vec_id")).alias("vec_id"), e.alias("embedding"))
+    return dense.index_problems(stored, v, "vec_id", 64)
 
 
 # --- guards -----------------------------------------------------------------------------------------
@@ -322,9 +386,15 @@ def question_errors(s: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "delivery", F.array_join("errors", "; ").alias("errors"))
 
 
-@query(f"SELECT DISTINCT id, article_id FROM (SELECT id, unnest(expected_articles) AS article_id FROM {Q}) WHERE article_id NOT IN (SELECT id FROM articles WHERE id IS NOT NULL)")
+@query(f"""WITH f AS (SELECT DISTINCT source_file FROM {A} WHERE source_file IS NOT NULL), known AS (SELECT DISTINCT source_file, id FROM {A} WHERE id IS NOT NULL), w AS (SELECT DISTINCT id, unnest(expected_articles) AS article_id FROM {Q})
+    SELECT 'all' AS corpus, id, article_id FROM w WHERE article_id NOT IN (SELECT id FROM known) UNION ALL SELECT (SELECT min(source_file) FROM f), id, article_id FROM w WHERE article_id NOT IN (SELECT id FROM known WHERE source_file = (SELECT min(source_file) FROM f))""")
 def missing_references(s: SparkSession, d: str) -> DataFrame:
-    return quality.missing_references(questions(s, d), articles(s, d))
+    """References that the whole corpus lacks, and those that its first source file alone lacks."""
+    rows = articles(s, d)
+    first = rows.agg(F.min("source_file").alias("source_file"))
+    lost = quality.missing_references(questions(s, d), rows).select(F.lit("all").alias("corpus"), "id", "article_id")
+    alone = quality.missing_references(questions(s, d), rows.join(F.broadcast(first), "source_file", "left_semi"))
+    return lost.unionByName(alone.crossJoin(F.broadcast(first)).select(F.col("source_file").alias("corpus"), "id", "article_id"))
 
 
 @query(f"""WITH w AS (SELECT DISTINCT id, unnest(expected_articles) AS article_id, expected_keywords FROM {Q}),
@@ -355,17 +425,23 @@ def containment_band(s: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "article_id", "overlap", "verdict", F.array_join("leaked", " ").alias("leaked"))
 
 
-@query(f"""WITH voc AS ({_VOCABULARY}), t AS (SELECT article_ref, {_STRIPPED} AS ts FROM {A}),
+_SPLIT = "(^| )([^ ]{4})([^ ]{2})( |$)"
+
+
+@query(f"""WITH tx AS (SELECT article_ref, text FROM {A} WHERE text IS NOT NULL UNION ALL SELECT article_ref || 'x', regexp_replace(text, '{_SPLIT}', '\\1\\2 \\3\\4', 'g') FROM {A} WHERE text IS NOT NULL), voc AS ({_VOCABULARY.replace(f'FROM {A}', 'FROM tx')}), t AS (SELECT article_ref, {_STRIPPED} AS ts FROM tx),
     p AS (SELECT article_ref, unnest(list_transform(range(1, len(ts)), lambda i: struct_pack(a := ts[i], b := ts[i + 1]))) AS p FROM t),
     c AS (SELECT article_ref AS id, p.a || ' ' || p.b AS broken, p.a || p.b AS joined FROM p WHERE length(p.a) >= 2 AND length(p.b) BETWEEN 1 AND 4)
     SELECT id, broken, joined, n AS joined_seen FROM c JOIN voc ON term = joined""")
 def broken_words(s: SparkSession, d: str) -> DataFrame:
-    return quality.broken_words(articles(s, d).where("text is not null"), "article_ref")
+    """Over the texts and over copies in which words of six letters are broken in two."""
+    rows = articles(s, d).where("text is not null").select("article_ref", "text")
+    broken = rows.select(F.concat("article_ref", F.lit("x")).alias("article_ref"), F.regexp_replace("text", _SPLIT, "$1$2 $3$4").alias("text"))
+    return quality.broken_words(rows.unionByName(broken), "article_ref")
 
 
-@query("SELECT coalesce(bool_or(contains(law_name, 'Act')), false) AS bound FROM articles")
+@query("SELECT source_file, coalesce(bool_or(contains(law_name, 'Act')), false) AS bound FROM articles GROUP BY source_file")
 def corpus_binding(s: SparkSession, d: str) -> DataFrame:
-    return quality.binding_problem(table(s, d, "articles"), "Act")
+    return quality.binding_problem(table(s, d, "articles"), "Act", "source_file")
 
 
 @query(f"""WITH t AS (SELECT DISTINCT id AS article_id, text FROM {A} WHERE text IS NOT NULL),
@@ -609,6 +685,60 @@ def abstain_reasons(s: SparkSession, d: str) -> DataFrame:
     return an.gate_verdicts(*_gated(s, d)).groupBy(F.coalesce("abstain_reason", F.lit("(none)")).alias("reason"), "status").agg(F.count("*").alias("answers"))
 
 
+_REPORT = f"""{_GATE}, good AS (SELECT query_id, claim_no, text, copied FROM gated WHERE reason IS NULL AND query_id IN (SELECT query_id FROM verdicts WHERE kept > 0)),
+    ex AS (SELECT query_id, list_contains(list_transform(flatten(list(arts)), lambda n: list_contains(expected, n)), true) AS cites FROM gated JOIN r USING (query_id) WHERE reason IS NULL AND query_id IN (SELECT query_id FROM verdicts WHERE kept > 0) GROUP BY query_id, expected),
+    an AS (SELECT r.query_id, coalesce(r.answerable, false) AS able, seconds, coalesce(cites, false) AS cites FROM r LEFT JOIN ex USING (query_id))"""
+
+
+def _kept_articles(s: SparkSession, d: str, gated: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(query_id, cites_expected): whether a kept claim rests on an article that the question expects."""
+    rows = answers(s, d).select(F.col("answer_no").alias("query_id"), "text", F.coalesce("retrieved", F.array().cast("array<int>")).alias("retrieved"), "expected", "answerable", "seconds")
+    claims = rows.where("text is not null").select("query_id", "expected", F.posexplode(tx.sentences(F.col("text"))).alias("claim_no", "claim"), "retrieved")
+    claims = claims.select("query_id", "claim_no", "claim", "expected", F.array_intersect(ci.citations(F.col("claim")), "retrieved").alias("arts"))
+    kept = claims.join(gated, ["query_id", "claim_no"]).withColumnRenamed("claim", "text")
+    good = kept.where("reason is null").join(verdicts.where("kept > 0").select("query_id"), "query_id", "left_semi")
+    cites = good.groupBy("query_id").agg(F.bool_or(F.coalesce(F.arrays_overlap("arts", "expected"), F.lit(False))).alias("cites_expected"))
+    return rows.select("query_id", "answerable", "seconds").join(cites, "query_id", "left"), kept
+
+
+@query(f"""WITH {_REPORT}, t AS (SELECT count(*) FILTER (able) AS answerable, count(*) FILTER (NOT able) AS unanswerable, count(*) FILTER (able AND kept > 0) AS covered, count(*) FILTER (able AND status = 'abstained') AS false_abstentions, count(*) FILTER (NOT able AND status = 'abstained') AS right_abstentions,
+        count(*) FILTER (able AND cites) AS cited_expected, count(*) FILTER (abstain_reason = 'schema_failure') AS schema_failures, count(*) FILTER (status = 'answered') AS answered, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'abstained') AS abstained,
+        CAST(sum(ignored_on_abstain) AS BIGINT) AS ignored_on_abstain, CAST(sum(fabricated) AS BIGINT) AS fabricated, CAST(sum(uncited) AS BIGINT) AS uncited, CAST(sum(ungrounded) AS BIGINT) AS ungrounded FROM an JOIN verdicts USING (query_id)),
+    u AS (SELECT count(*) AS kept_claims, count(*) FILTER (copied) AS copied_claims, count(*) FILTER (length(trim(text)) < {ci.LEAST_CLAIM}) AS short_claims FROM good)
+    SELECT *, round(CASE WHEN unanswerable > 0 THEN CAST(right_abstentions AS DOUBLE) / unanswerable ELSE 0.0 END, 4) AS abstention_rate,
+        fabricated = 0 AND CASE WHEN unanswerable > 0 THEN CAST(right_abstentions AS DOUBLE) / unanswerable ELSE 0.0 END >= 0.8 AND cited_expected >= 10 AS adopted FROM t, u""")
+def claims_report(s: SparkSession, d: str) -> DataFrame:
+    heads, gated = _gated(s, d)
+    gated = cut_lineage(gated)
+    verdicts = an.gate_verdicts(heads, gated)
+    told, claims = _kept_articles(s, d, gated, verdicts)
+    return an.claims_report(told, verdicts, claims)
+
+
+@query(f"""WITH {_REPORT} SELECT count(*) FILTER (able) AS answerable, count(*) FILTER (NOT able) AS out_of_document, count(*) FILTER (able AND kept > 0) AS covered, count(*) FILTER (able AND cites) AS page_grounded, count(*) FILTER (NOT able AND status = 'abstained') AS right_abstentions,
+    count(*) FILTER (able AND status = 'abstained') AS false_abstentions, CAST(sum(fabricated) AS BIGINT) AS fabricated, round(avg(seconds), 4) AS mean_seconds FROM an JOIN verdicts USING (query_id)""")
+def app_summary(s: SparkSession, d: str) -> DataFrame:
+    """The expected articles stand for the expected pages: one page an article."""
+    heads, gated = _gated(s, d)
+    gated = cut_lineage(gated)
+    verdicts = an.gate_verdicts(heads, gated)
+    told, _ = _kept_articles(s, d, gated, verdicts)
+    return an.app_summary(told.join(verdicts, "query_id").withColumnRenamed("cites_expected", "page_grounded"))
+
+
+@query(f"SELECT answer_no, len(list_filter(coalesce(retrieved, []), lambda n: list_contains(list_transform(coalesce(expected, []), lambda e: e // 10), n // 10))) > 0 AS page_hit FROM {R}")
+def page_hits(s: SparkSession, d: str) -> DataFrame:
+    """Ten articles to a page."""
+    pages = lambda c: F.transform(F.coalesce(c, F.array().cast("array<int>")), lambda n: F.floor(n / 10))
+    return evaluate.page_hits(answers(s, d).select("answer_no", pages("retrieved").alias("p"), pages("expected").alias("e")), "p", "e").select("answer_no", "page_hit")
+
+
+@query(f"WITH n AS (SELECT DISTINCT {_LAW} AS n FROM {A}) SELECT DISTINCT answer_no, number FROM (SELECT answer_no, unnest(retrieved) AS number FROM {R}) WHERE number IS NOT NULL AND number NOT IN (SELECT n FROM n WHERE n IS NOT NULL)")
+def missing_articles(s: SparkSession, d: str) -> DataFrame:
+    numbers = articles(s, d).select(tx.article_number(F.col("id")).alias("number")).where("number is not null")
+    return an.missing_articles(answers(s, d), "answer_no", "retrieved", numbers, "number").where("number is not null")
+
+
 _ANS = "NOT coalesce(abstained, false)"
 _HAS = lambda c: f"count(*) FILTER ({_ANS} AND coalesce(len({c}), 0) > 0) AS {c}"
 
@@ -740,6 +870,14 @@ def digit_gate(s: SparkSession, d: str) -> DataFrame:
     return ocr.gate_totals(_digit_scores(s, d))
 
 
+@query(f"""WITH {_DIGIT_SCORES}, c AS (SELECT key, min(token) AS token FROM e GROUP BY key) SELECT key, token FROM c WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.key = c.key AND f.token = c.token)""")
+def critical_digits(s: SparkSession, d: str) -> DataFrame:
+    """The least number of each text is its critical one."""
+    rows = articles(s, d)
+    critical = ocr.digit_counts(rows, "article_ref", "text").groupBy("key").agg(F.min("token").alias("token"))
+    return ocr.critical_failures(critical, ocr.digit_counts(rows, "article_ref", "search_text"))
+
+
 # --- statistics -------------------------------------------------------------------------------------
 
 
