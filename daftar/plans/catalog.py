@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from daftar.functions import citations as ci
 from daftar.functions import text as tx
 from daftar.operators import answers as an
-from daftar.operators import dense, drift, evaluate, fusion, identity, lexical, ocr, quality, segment
+from daftar.operators import dense, drift, evaluate, fusion, glyphs, identity, lexical, ocr, quality, segment
 from daftar.plans import sql
 from daftar.session import cut_lineage, spread, table
 from daftar.streaming import limits
@@ -568,6 +568,47 @@ def extraction_problems(s: SparkSession, d: str) -> DataFrame:
     return segment.extraction_problems(spread(table(s, d, "documents").select("doc_id", "text"))).select("doc_id", F.array_join("problems", "; ").alias("problems"))
 
 
+# --- glyph geometry: chunks set as pages, and read again -------------------------------------------------
+
+_ARABIC_WORDS = f"list_filter({_TOKENS}, lambda w: regexp_full_match(w, '[ء-غف-ي]{{2,}}'))"
+_SET_LINES = f"""ws AS (SELECT id AS doc, {_ARABIC_WORDS} AS ws FROM (SELECT DISTINCT id, text FROM chunks) WHERE text IS NOT NULL),
+    ln AS (SELECT doc, i AS line, array_to_string(ws[i * 8 + 1 : i * 8 + 8], ' ') AS t FROM (SELECT doc, ws, unnest(range(0, CAST(ceil(len(ws) / 8.0) AS BIGINT))) AS i FROM ws))"""
+
+
+def _glyphs(s: SparkSession, d: str) -> DataFrame:
+    """Glyphs of the Arabic words of each chunk, eight to a line and from right to left, with a second column in Latin letters on every
+    second page and a vowel mark painted above every fifth letter of every third line."""
+    words = F.filter(_tokens(), lambda w: w.rlike("^[ء-غف-ي]{2,}$"))
+    rows = table(s, d, "chunks").where("text is not null").select("id", "text").distinct().select(F.col("id").alias("doc"), words.alias("ws")).where(F.size("ws") > 0)
+    rows = spread(rows.select("doc", "ws", F.explode(F.sequence(F.lit(0), F.ceil(F.size("ws") / 8).cast("int") - 1)).alias("line")).select("doc", "line", F.array_join(F.slice("ws", F.col("line") * 8 + 1, F.lit(8)), " ").alias("t")))
+    y = F.col("line") * 20.0
+    glyph = lambda text, x, b: F.struct(text.alias("text"), x.cast("double").alias("x0"), (x + 5).cast("double").alias("x1"), b.alias("bottom"))
+    at = F.sequence(F.lit(1), F.length("t"))
+    body = F.transform(at, lambda i: glyph(F.substring("t", i, F.lit(1)), 600 - i * 6, y + (i % 2) * 0.3))
+    marks = F.transform(F.filter(at, lambda i: (i % 5 == 0) & (F.col("line") % 3 == 2)), lambda i: glyph(F.lit("\u064e"), 600 - i * 6, y - 5.0))
+    latin = F.when(F.crc32("doc") % 2 == 0, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(12), F.floor(F.length("t") / 3).cast("int"))), lambda i: glyph(F.lit("e"), 700 + i * 6, y))).otherwise(F.array().cast("array<struct<text:string,x0:double,x1:double,bottom:double>>"))
+    return rows.select("doc", F.lit(1).alias("page"), F.explode(F.concat(body, marks, latin)).alias("g")).select("doc", "page", "g.*", F.lit(12.0).alias("size"))
+
+
+@query(f"WITH {_SET_LINES} SELECT doc, md5(string_agg(t, chr(10) ORDER BY line)) AS text_md5, count(*) AS lines FROM ln GROUP BY doc")
+def glyph_pages(s: SparkSession, d: str) -> DataFrame:
+    """Columns, lines, marks and reading order put back: the text that was set must come out."""
+    rows = glyphs.page_texts(_glyphs(s, d))
+    return rows.select("doc", F.md5("text").alias("text_md5"), F.size(F.split("text", "\n")).cast("bigint").alias("lines"))
+
+
+@query("""SELECT id AS doc, md5('(' || coalesce(number, 0) || ') [VPN] (كلمة) «' || regexp_replace(text, '[(){}<>«»\\[\\]]', '', 'g') || '»') AS text_md5 FROM (SELECT DISTINCT id, number, text FROM chunks) WHERE text IS NOT NULL""")
+def mirrored_brackets(s: SparkSession, d: str) -> DataFrame:
+    """Pages of brackets drawn the wrong way round in every second document; quotations over 200 characters or lines are no evidence,
+    so they are turned only with a short one in front."""
+    rows = table(s, d, "chunks").where("text is not null").select("id", "number", "text").distinct()
+    bare = F.regexp_replace("text", r"[(){}<>«»\[\]]", "")
+    right = F.concat(F.lit("("), F.coalesce("number", F.lit(0)).cast("string"), F.lit(") [VPN] (كلمة) «"), bare, F.lit("»"))
+    text = F.when(F.crc32("id") % 2 == 0, F.translate(right, "()[]", ")(][")).otherwise(right)
+    told = F.when((F.crc32("id") % 2 == 0) & (F.length(bare) > 0) & (F.length(bare) <= 200) & ~F.contains(bare, F.lit("\n")), F.translate(text, "«»", "»«")).otherwise(text)
+    return glyphs.mirrored_pages(rows.select(F.col("id").alias("doc"), F.lit(1).alias("page"), told.alias("text"))).select("doc", F.md5("text").alias("text_md5"))
+
+
 # --- identity and library ---------------------------------------------------------------------------
 
 
@@ -733,12 +774,47 @@ def page_hits(s: SparkSession, d: str) -> DataFrame:
     return evaluate.page_hits(answers(s, d).select("answer_no", pages("retrieved").alias("p"), pages("expected").alias("e")), "p", "e").select("answer_no", "page_hit")
 
 
-@query(f"WITH n AS (SELECT DISTINCT {_LAW} AS n FROM {A}) SELECT DISTINCT answer_no, number FROM (SELECT answer_no, unnest(retrieved) AS number FROM {R}) WHERE number IS NOT NULL AND number NOT IN (SELECT n FROM n WHERE n IS NOT NULL)")
+@query(f"WITH n AS (SELECT DISTINCT {_LAW} AS n FROM {A} WHERE source_file = (SELECT min(source_file) FROM {A})) SELECT DISTINCT answer_no, number FROM (SELECT answer_no, unnest(retrieved) AS number FROM {R}) WHERE number IS NOT NULL AND number NOT IN (SELECT n FROM n WHERE n IS NOT NULL)")
 def missing_articles(s: SparkSession, d: str) -> DataFrame:
-    numbers = articles(s, d).select(tx.article_number(F.col("id")).alias("number")).where("number is not null")
+    """Against the first source file alone, which lacks what only the others have."""
+    rows = articles(s, d)
+    first = F.broadcast(rows.agg(F.min("source_file").alias("source_file")))
+    numbers = rows.join(first, "source_file", "left_semi").select(tx.article_number(F.col("id")).alias("number")).where("number is not null")
     return an.missing_articles(answers(s, d), "answer_no", "retrieved", numbers, "number").where("number is not null")
 
 
+# replies made of saved answers, with a fault of each kind by the answer's number; what is found wrong is known from how they were made
+_FAULTS = ["invalid JSON", "not an object", "abstain is not a boolean", "claims is not a list", "too many claims", "claim is not an object", "claim has no text", "claim text is empty", "claim text is too long", "claim sources are not integers"]
+
+
+@query(f"""WITH x AS (SELECT answer_no, answer_no % 13 AS k, coalesce(text, '-') AS text, coalesce(retrieved, []) AS retrieved FROM {R})
+    SELECT answer_no, CASE k {' '.join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(_FAULTS))} WHEN 12 THEN NULL ELSE CASE WHEN trim(substr(text, 1, 300)) = '' THEN 'claim text is empty' END END AS violation,
+        CASE WHEN k = 12 THEN true WHEN k > 9 AND trim(substr(text, 1, 300)) <> '' THEN false END AS abstain, CASE WHEN k = 12 THEN '' WHEN k > 9 AND trim(substr(text, 1, 300)) <> '' THEN substr(text, 1, 300) || '|' || array_to_string(retrieved, ',') END AS claims FROM x""")
+def parsed_claims(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("answer_no") % 13
+    text, none = F.substring(F.coalesce("text", F.lit("-")), 1, 300), F.array().cast("array<int>")
+    claim = F.struct(text.alias("text"), F.coalesce("retrieved", none).alias("sources"))
+    reply = lambda claims: F.to_json(F.struct(F.lit(False).alias("abstain"), claims.alias("claims")))
+    broken = [
+        F.lit("{abstain"), F.lit("[1]"), F.lit('{"abstain": "no", "claims": []}'), F.lit('{"abstain": false, "claims": {}}'), reply(F.array_repeat(claim, 4)), F.lit('{"abstain": false, "claims": ["x"]}'),
+        F.lit('{"abstain": false, "claims": [{"text": 7, "sources": [1]}]}'), F.lit('{"abstain": false, "claims": [{"text": " ", "sources": [1]}]}'), F.concat(F.lit('{"abstain": false, "claims": [{"text": "'), F.repeat(F.lit("x"), 301), F.lit('", "sources": [1]}]}')),
+        F.lit('{"abstain": false, "claims": [{"text": "x", "sources": [true]}]}'),
+    ]
+    raw = F.when(k == 12, '{"abstain": true, "claims": []}')
+    for i, b in enumerate(broken):
+        raw = raw.when(k == i, b)
+    rows = an.parsed_claims(answers(s, d).select("answer_no", raw.otherwise(reply(F.array(claim))).alias("raw")))
+    shown = F.array_join(F.transform("claims", lambda c: F.concat_ws("|", c["text"], F.array_join(F.transform(c["sources"], lambda n: n.cast("string")), ","))), ";")
+    return rows.select("answer_no", "violation", "abstain", shown.alias("claims"))
+
+
+@query(f"SELECT answer_no, CASE answer_no % 5 WHEN 0 THEN 'invalid JSON' WHEN 1 THEN 'not an object' WHEN 2 THEN 'answers is not a boolean' END AS violation, CASE WHEN answer_no % 5 > 2 THEN answer_no % 5 = 3 END AS relevant FROM {R}")
+def parsed_relevance(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("answer_no") % 5
+    raw = F.when(k == 0, "yes").when(k == 1, "[true]").when(k == 2, '{"answers": 1}').when(k == 3, '{"answers": true}').otherwise('{"answers": false, "why": "x"}')
+    return an.parsed_relevance(answers(s, d).select("answer_no", raw.alias("raw"))).select("answer_no", "violation", "relevant")
+
+
 _ANS = "NOT coalesce(abstained, false)"
 _HAS = lambda c: f"count(*) FILTER ({_ANS} AND coalesce(len({c}), 0) > 0) AS {c}"
 

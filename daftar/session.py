@@ -18,6 +18,7 @@ def local_session(cores: int = 8, app: str = "daftar", shuffle_partitions: int |
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -58,9 +59,13 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the cluster's shared checkpoint folder, so that a lost executor recomputes nothing above it.
 
-    The folder is the session's ``spark.checkpoint.dir``; a folder of our own is set only where there is none (tests)."""
+    The folder is the session's ``spark.checkpoint.dir``.  Only a local session without one gets a folder of its own: on a cluster a
+    folder of one machine would be lost with it, so there a missing setting is an error."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "daftar-checkpoint"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master.startswith("local[") or sc.master == "local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "daftar-checkpoint"))
     return df.checkpoint(eager=True)

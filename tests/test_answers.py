@@ -226,3 +226,34 @@ def test_probe_cases(spark):
         "a": "INVALID: no expected articles", "b": "INVALID: not in corpus: gone", "c": "INVALID: no variants", "d": None, "e": "INVALID: no evidence",
         "f": "INVALID: evidence not found", "g": "NOT-A-PROBE: not truncated", "h": "NOT-A-PROBE: evidence is read", "i": None, "j": "INVALID: no expected articles",
     }
+
+
+def test_reports_of_a_claims_run(spark):
+    from daftar.operators import answers as an
+
+    told = spark.createDataFrame([(1, True, True, 2.0), (2, True, False, 4.0), (3, False, False, 6.0), (4, False, False, None)], "query_id long, answerable boolean, cites_expected boolean, seconds double")
+    verdicts = spark.createDataFrame(
+        [(1, 2, 1, 0, 1, 0, 0, "partial", None), (2, 0, 0, 0, 0, 0, 2, "abstained", "model_abstained"), (3, 0, 0, 0, 0, 0, 0, "abstained", "schema_failure"), (4, 1, 0, 0, 0, 0, 0, "answered", None)],
+        "query_id long, kept long, dropped long, uncited long, fabricated long, ungrounded long, ignored_on_abstain long, status string, abstain_reason string",
+    )
+    claims = spark.createDataFrame([(1, "a claim that is long enough to be one", None, True), (1, "short", None, False), (1, "x", "fabricated", None), (2, "ignored", None, False), (4, "another claim of enough letters", None, False)], "query_id long, text string, reason string, copied boolean")
+    r = an.claims_report(told, verdicts, claims).first()
+    assert (r.answerable, r.unanswerable, r.covered, r.false_abstentions, r.right_abstentions, r.cited_expected) == (2, 2, 1, 1, 1, 1)
+    assert (r.schema_failures, r.ignored_on_abstain, r.fabricated, r.kept_claims, r.copied_claims, r.short_claims) == (1, 2, 1, 3, 1, 1)
+    assert (r.answered, r.partial, r.abstained, r.abstention_rate, r.adopted) == (1, 1, 2, 0.5, False)
+    app = an.app_summary(told.join(verdicts, "query_id").withColumnRenamed("cites_expected", "page_grounded")).first()
+    assert (app.covered, app.page_grounded, app.false_abstentions, app.right_abstentions, app.fabricated, app.mean_seconds) == (1, 1, 1, 1, 1, 4.0)
+    assert an.claims_report(told.limit(0), verdicts, claims).first().adopted is False
+
+
+def test_a_corpus_that_lacks_articles_is_refused(spark):
+    import pytest
+
+    from daftar.operators import answers as an
+
+    rows = spark.createDataFrame([(1, [7, 9, 9]), (2, None)], "k int, retrieved array<int>")
+    numbers = spark.createDataFrame([(7,)], "n int")
+    assert [tuple(r) for r in an.missing_articles(rows, "k", "retrieved", numbers, "n").collect()] == [(1, 9)]
+    with pytest.raises(ValueError, match="1: 9"):
+        an.require_articles(rows, "k", "retrieved", numbers, "n")
+    an.require_articles(rows.where("k = 2"), "k", "retrieved", numbers, "n")

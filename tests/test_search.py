@@ -117,3 +117,19 @@ def test_mix_and_reweight(spark):
     mix = evaluate.mix(spark.createDataFrame([("a",), ("a",), ("b",), ("b",)], "c string"), "c")
     rates = spark.createDataFrame([("a", 1.0), ("b", 0.5)], "category string, rate double")
     assert evaluate.reweighted(rates, mix).first().rate == 0.75
+
+
+def test_probe_ranks_and_ablation(spark):
+    cases = spark.createDataFrame([("a", "x", ["y", "z"]), ("b", "x", ["y"]), ("c", "x", None)], "query_id string, expected string, distractors array<string>")
+    hits = spark.createDataFrame([("a", "y", 1), ("a", "x", 2), ("a", "z", 3), ("b", "y", 4), ("c", "x", 5)], "query_id string, id string, rank int")
+    got = {r.query_id: (r.expected_rank, r.outranked_by, r.passed) for r in evaluate.probe_ranks(cases, hits, 5).collect()}
+    assert got == {"a": (2, ["y"], False), "b": (None, ["y"], False), "c": (5, [], True)}
+    scores = spark.createDataFrame([("bm25", "a", 0.5, 1.0), ("bm25", "b", 0.0, 0.0), ("dense", "a", 1.0, 1.0), ("dense", "b", 0.5, 0.5)], "config string, query_id string, recall double, rr double")
+    table = {r.config: r for r in evaluate.ablation(scores, spark.createDataFrame([("a", "direct"), ("b", None)], "query_id string, category string"), "bm25", ["direct"]).collect()}
+    assert (table["dense"].recall, table["dense"].mrr, table["dense"].direct_recall, table["dense"].delta) == (0.75, 0.75, 1.0, 0.5) and table["bm25"].delta == 0.0
+
+
+def test_hashed_terms_are_unit_counts(spark):
+    rows = spark.createDataFrame([(["a", "a", "b"],), ([],)], "ts array<string>").select(dense.hashed_terms(F.col("ts"), 8).alias("v")).collect()
+    assert len(rows[0].v) == 8 and math.isclose(sum(x * x for x in rows[0].v), 1) and sorted(x > 0 for x in rows[0].v).count(True) in (1, 2)
+    assert list(rows[1].v) == [0.0] * 8

@@ -48,3 +48,21 @@ def test_sinks(spark, tmp_path):
     assert writers.read_vectors(spark, str(tmp_path / "v"), {"model": "m"}).count() == 1
     assert writers.read_vectors(spark, str(tmp_path / "v"), {"model": "other"}) is None
     assert writers.read_vectors(spark, str(tmp_path / "nothing"), {}) is None
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
+    from daftar import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Frame:
+        sparkSession = type("S", (), {"sparkContext": Context(), "conf": type("C", (), {"get": staticmethod(lambda name, default=None: default)})()})()
+
+    import pytest
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.cut_lineage(Frame())
