@@ -224,12 +224,14 @@ def fit_endings(counts: list[tuple[str, float, float]], rounds: int = 50) -> dic
     kind, odds, n = np.array([r[0] for r in rows], dtype=int), np.array([r[1] for r in rows], dtype=float), np.array([r[2] for r in rows], dtype=float)
     start = np.array([EVIDENCE[e] for e in ENDINGS])
     share = 1 / (1 + np.exp(-start))
-    prior = (PRIOR / len(ENDINGS)) * np.stack([share, 1 - share])  # places of the endings among cut and among finished values
+    prior = np.stack([share, 1 - share]) * 2 / len(ENDINGS)  # shares of the endings among cut and among finished values
     log_ratio = start
     for _ in range(rounds):
         cut = np.where(np.isin(kind, finished), 0.0, n / (1 + np.exp(-np.clip(log_ratio[kind] + odds, -60, 60))))
-        seen = np.stack([np.bincount(kind, cut, len(ENDINGS)), np.bincount(kind, n - cut, len(ENDINGS))]) + prior
-        seen /= seen.sum(1, keepdims=True)
+        seen = np.stack([np.bincount(kind, cut, len(ENDINGS)), np.bincount(kind, n - cut, len(ENDINGS))])
+        # the prior weighs on either side by that side's size, so an ending that never came keeps the odds it began with
+        total = seen.sum(1, keepdims=True)
+        seen = (seen + PRIOR * prior * total / max(total.sum(), 1.0)) / np.maximum(total, 1e-9)
         log_ratio = np.log(np.maximum(seen[0], 1e-12)) - np.log(np.maximum(seen[1], 1e-12))
     return {e: EVIDENCE[e] if e in FINISHED else float(x) for e, x in zip(ENDINGS, log_ratio)}
 

@@ -137,12 +137,14 @@ def aligned(a: list[str], b: list[str], df: dict[str, int], n: int) -> tuple[boo
     return None, "|".join(sorted([" ".join(x), " ".join(y)])), min(shared, key=lambda w: (df.get(w, 1), w), default="")
 
 
-_ENTRY = "array<struct<df:bigint,term:string,w:double>>"
+_ENTRY = "array<struct<df:bigint,term:string,tf:int,w:double>>"
+#: Bounds are kept in single precision, so a pair is dropped only if it is clearly under the threshold; the cosine itself is exact.
+_SLACK = 1e-5
 
 
 def cosine_join(left: DataFrame, right: DataFrame, key: str, terms: str, threshold: float = THRESHOLD) -> DataFrame:
     """(key_a, key_b, cosine, va, vb, n): all pairs of weighted term bags with a cosine of at least ``threshold``, with their vectors
-    (df, term, w) and the number of bags.
+    (df, term, tf, w) and the number of bags.
 
     ``left`` and ``right`` have one row per key; the weights count both tables.  Terms weigh tf * ln(1 + n / (df + 4)).
     No pair is formed but over a shared indexed term; no side is broadcast or collected."""
@@ -152,24 +154,24 @@ def cosine_join(left: DataFrame, right: DataFrame, key: str, terms: str, thresho
     flat = flat.select("side", "k", "term", F.size(F.filter("ts", lambda t: t == F.col("term"))).alias("tf"))
     df = flat.groupBy("term").agg(F.count("*").alias("df"))
     total = sides.agg(F.count("*").alias("n"))  # one row
-    weighed = flat.join(df, "term").crossJoin(F.broadcast(total)).select("side", "k", "n", "df", "term", (F.col("tf") * F.log1p(F.col("n") / (F.col("df") + 4))).alias("w"))
-    vectors = weighed.groupBy("side", "k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "term", "w"))).alias("v"))  # rarest term first; bounded by a question's words
+    weighed = flat.join(df, "term").crossJoin(F.broadcast(total)).select("side", "k", "n", "df", "term", "tf", (F.col("tf") * F.log1p(F.col("n") / (F.col("df") + 4))).alias("w"))
+    vectors = weighed.groupBy("side", "k", "n").agg(F.array_sort(F.collect_list(F.struct("df", "term", "tf", "w"))).alias("v"))  # rarest term first; bounded by a question's words
     vectors = vectors.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e["w"] * e["w"])))
-    vectors = cut_lineage(vectors.select("side", "k", "n", F.transform("v", lambda e: F.struct(e["df"].alias("df"), e["term"].alias("term"), (e["w"] / F.col("norm")).alias("w"))).cast(_ENTRY).alias("v")))
+    vectors = cut_lineage(vectors.select("side", "k", "n", F.transform("v", lambda e: F.struct(e["df"].alias("df"), e["term"].alias("term"), e["tf"].alias("tf"), (e["w"] / F.col("norm")).alias("w"))).cast(_ENTRY).alias("v")))
     # what is left of a vector from an entry on, worked out in its row
     onward = F.reverse(F.aggregate(F.reverse("v"), F.array().cast("array<double>"), lambda s, e: F.array_append(s, F.coalesce(F.element_at(s, F.when(F.size(s) > 0, -1)), F.lit(0.0)) + e["w"] * e["w"])))
-    entries = F.zip_with("v", onward, lambda e, r: F.struct(F.xxhash64(e["term"]).alias("t"), e["w"].alias("w"), F.sqrt(F.greatest(r - e["w"] * e["w"], F.lit(0.0))).alias("rest"), F.sqrt(r).alias("reach")))
-    lists = vectors.select("side", "k", F.explode(F.filter(entries, lambda e: e["reach"] >= threshold - 1e-9)).alias("e")).select("side", "k", "e.t", "e.w", "e.rest")
+    entries = F.zip_with("v", onward, lambda e, r: F.struct(F.xxhash64(e["term"]).alias("t"), e["w"].cast("float").alias("w"), F.sqrt(F.greatest(r - e["w"] * e["w"], F.lit(0.0))).cast("float").alias("rest"), F.sqrt(r).alias("reach")))
+    lists = vectors.select("side", "k", F.explode(F.filter(entries, lambda e: e["reach"] >= threshold - _SLACK)).alias("e")).select("side", "k", "e.t", "e.w", "e.rest")
     lists = lists.repartition("t")
     of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
     most = lists.groupBy("t").agg(of(0, "w").alias("w0"), of(1, "w").alias("w1"), of(0, "rest").alias("r0"), of(1, "rest").alias("r1")).where("w0 is not null and w1 is not null")
     own = F.col("side") == 0
     bound = F.col("w") * F.when(own, F.col("w1")).otherwise(F.col("w0")) + F.col("rest") * F.when(own, F.col("r1")).otherwise(F.col("r0"))
-    lists = lists.join(most, "t").where(bound >= threshold - 1e-9)
+    lists = lists.join(most, "t").where(bound >= threshold - _SLACK)
     a = lists.where("side = 0").select("t", F.col("k").alias("key_a"), F.col("w").alias("wa"), F.col("rest").alias("ra"))
     b = lists.where("side = 1").select("t", F.col("k").alias("key_b"), F.col("w").alias("wb"), F.col("rest").alias("rb"))
     # at a later common term a row is not needed, so all rows below the threshold go before anything is shuffled
-    met = a.join(b, "t").where(F.col("wa") * F.col("wb") + F.col("ra") * F.col("rb") >= threshold - 1e-9).select("key_a", "key_b").distinct()
+    met = a.join(b, "t").where(F.col("wa") * F.col("wb") + F.col("ra") * F.col("rb") >= threshold - _SLACK).select("key_a", "key_b").distinct()
     va = vectors.where("side = 0").select(F.col("k").alias("key_a"), F.col("v").alias("va"), "n")
     vb = vectors.where("side = 1").select(F.col("k").alias("key_b"), F.col("v").alias("vb"))
     terms_a = F.map_from_entries(F.transform("va", lambda e: F.struct(e["term"], e["w"])))
@@ -188,9 +190,8 @@ def split_overlaps(questions: DataFrame, key: str = "id", text: str = "question"
     rows = cut_lineage(rows.withColumn("bag", F.unhex(F.md5(F.array_join("ws", " ")))))
     bags = rows.groupBy("bag").agg(F.first("ws").alias("ws"), F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_held"))
     pairs = cosine_join(bags.where("in_train").select("bag", "ws"), bags.where("in_held").select("bag", "ws"), "bag", "ws", threshold)
-    texts = bags.select("bag", "ws")
-    pairs = pairs.select("key_a", "key_b", "n", F.transform(F.concat("va", "vb"), lambda e: F.struct(e["df"].alias("df"), e["term"].alias("term"))).alias("df"))
-    pairs = pairs.join(texts.select(F.col("bag").alias("key_a"), F.col("ws").alias("a")), "key_a").join(texts.select(F.col("bag").alias("key_b"), F.col("ws").alias("b")), "key_b")
+    bag = lambda v: F.array_sort(F.flatten(F.transform(v, lambda e: F.array_repeat(e["term"], e["tf"]))))
+    pairs = pairs.select("key_a", "key_b", "n", F.transform(F.concat("va", "vb"), lambda e: F.struct(e["df"].alias("df"), e["term"].alias("term"))).alias("df"), bag("va").alias("a"), bag("vb").alias("b"))
     told = T.StructType([T.StructField("same", T.BooleanType()), T.StructField("swap", T.StringType()), T.StructField("rarest", T.StringType())])
 
     @F.arrow_udf(told)
