@@ -6,7 +6,7 @@ of lengths).  Candidate limits are lengths of any size, in characters or bytes,
 value gets the posterior probability that it was censored at its length.  How much an ending (open word or sentence, open
 citation, broken character, debris, a refusal without a mark by what its last words do elsewhere) says is a likelihood ratio on
 the same scale: expectation and maximization over the counts of (ending, posterior) fit the endings of censored and of
-finished values, starting from ``EVIDENCE`` with the weight of ``PRIOR`` values.  The sum of both log odds decides.  A closed
+finished values, where ``EVIDENCE`` weighs as much as all values do.  The sum of both log odds decides.  A closed
 sentence or citation and a whole answer are finished by definition; a refusal without a mark is what the length can decide.
 
 The scan gives one small row per value; fits see histograms only, so a source with a third of all rows is no larger than
@@ -34,10 +34,10 @@ from daftar.session import cut_lineage, spread
 
 #: What an ending says of having been cut, as log odds, before the data speak.  A refusal without a mark is told by its last words: they
 #: hardly ever end refusals (inner), do so again and again, as no cut at any place does (final), or stand in no other (unseen).
-EVIDENCE = {"empty": -99.0, "closed": -99.0, "whole": -99.0, "doubtful": 0.0, "unseen": 0.0, "final": -4.0, "inner": 3.0, "open": 7.0, "debris": 9.0}
+EVIDENCE = {"empty": -99.0, "closed": -99.0, "whole": -99.0, "doubtful": 0.0, "unseen": 0.0, "final": -4.0, "inner": 1.5, "open": 7.0, "debris": 9.0}
 ENDINGS, FINISHED = ("closed", "whole", "unseen", "final", "inner", "open", "debris"), ("closed", "whole")
-#: Values that ``EVIDENCE`` weighs as, last words that are looked at, and the share of their places that end sentences from which they are final.
-PRIOR, LAST_WORDS, FINAL_SHARE = 200.0, 3, 0.05
+#: What ``EVIDENCE`` weighs beside the values, last words that are looked at, and the share of their places that end sentences from which they are final.
+PRIOR, LAST_WORDS, FINAL_SHARE = 1.0, 3, 0.05
 #: Share of finished values whose length follows no model, evenly spread over so many powers of e.
 STRAY, STRAY_RANGE = 0.1, 14.0
 #: A question that has more than this share of all rows is joined apart.
@@ -216,8 +216,8 @@ def _posterior(mu: Column, sigma: Column, limits: Column, hazard: Column, chars:
 def fit_endings(counts: list[tuple[str, float, float]], rounds: int = 50) -> dict[str, float]:
     """Log odds of each ending from (ending, log odds of its length, values), by expectation and maximization.
 
-    Each value is cut or finished; its length says how likely that is, and its ending is drawn from one of two distributions, which start
-    from ``EVIDENCE`` and stay there as far as there are few values."""
+    Each value is cut or finished; its length says how likely that is, and its ending is drawn from one of two distributions, each half
+    ``EVIDENCE`` and half what the values say: an ending that never came keeps the odds it began with."""
     place = {e: i for i, e in enumerate(ENDINGS)}
     finished = [place[e] for e in FINISHED]
     rows = [(place[e], x, n) for e, x, n in counts if e in place]
@@ -231,7 +231,7 @@ def fit_endings(counts: list[tuple[str, float, float]], rounds: int = 50) -> dic
         seen = np.stack([np.bincount(kind, cut, len(ENDINGS)), np.bincount(kind, n - cut, len(ENDINGS))])
         # the prior weighs on either side by that side's size, so an ending that never came keeps the odds it began with
         total = seen.sum(1, keepdims=True)
-        seen = (seen + PRIOR * prior * total / max(total.sum(), 1.0)) / np.maximum(total, 1e-9)
+        seen = seen / np.maximum(total, 1e-9) + PRIOR * prior
         log_ratio = np.log(np.maximum(seen[0], 1e-12)) - np.log(np.maximum(seen[1], 1e-12))
     return {e: EVIDENCE[e] if e in FINISHED else float(x) for e, x in zip(ENDINGS, log_ratio)}
 
