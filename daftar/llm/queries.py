@@ -73,6 +73,14 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d).drop("no_space")
 
 
+def p5_whole(spark: SparkSession, d: str) -> DataFrame:
+    """For each item whether its pieces keep the limit and the overlap, and the hash of the pieces put together without their overlaps."""
+    rows = _pieces(spark, d).select("item_table", "item_key", "piece_no", "overlap", "piece")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", F.expr("substring(piece, overlap + 1)").alias("body")))), lambda x: x["body"]), "")
+    sizes = (F.max(F.length("piece")) <= chunk.LIMIT) & (F.max("overlap") <= chunk.OVERLAP)
+    return rows.groupBy("item_table", "item_key").agg(sizes.alias("kept"), F.md5(body).alias("text_md5"))
+
+
 def _scans(spark: SparkSession, d: str) -> DataFrame:
     clean = table(spark, d, "articles").select("text").unionByName(table(spark, d, "chunks").select("text"))
     return scans.repaired_pages(table(spark, d, "ocr_pages"), clean)
@@ -119,7 +127,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_classes, p1_articles, p1_questions, p3_found, p3_counts, p4_found, p4_counts, p5_found, p5_pieces, p6_found, p6_text, p7_found, p7_rates, p8_ids, p9_found, p9_report, p10_found, p10_shares)
+    f.__name__: f for f in (p1_found, p1_classes, p1_articles, p1_questions, p3_found, p3_counts, p4_found, p4_counts, p5_found, p5_pieces, p5_whole, p6_found, p6_text, p7_found, p7_rates, p8_ids, p9_found, p9_report, p10_found, p10_shares)
 }
 
 #: Where SQL can say the same over whole tables.
@@ -132,4 +140,8 @@ ORACLES: dict[str, str] = {
             CASE WHEN list_max(list_transform(string_split_regex(text, '[\\x{09}-\\x{0d}\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]'), lambda x: length(x))) > 1000
                 THEN 'forced' ELSE 'natural' END AS cut
         FROM items WHERE length(text) > 1000""",
+    "p5_whole": """
+        SELECT item_table, item_key, true AS kept, md5(text) AS text_md5 FROM (
+            SELECT DISTINCT 'articles' AS item_table, article_ref AS item_key, text FROM articles WHERE text <> ''
+            UNION SELECT DISTINCT 'chunks', id, text FROM chunks WHERE text <> '')""",
 }
