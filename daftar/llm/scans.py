@@ -40,8 +40,8 @@ from daftar.llm.sampling import hashed_sample
 from daftar.session import cut_lineage, spread
 
 Q, MOST_EDITS = 2, 2
-#: Lexicon words in the sample that the models are trained on.
-FIT_WORDS = 1500
+#: Lexicon words in the sample that the models are trained on, and the most letters that one of them has.
+FIT_WORDS, FIT_LETTERS = 1500, 40
 #: Pages in the sample that the furniture classifier is trained on.
 FIT_PAGES = 300
 #: Headers of a scan that its pages in that sample are compared with.
@@ -577,9 +577,9 @@ def repaired_pages(pages: DataFrame, clean: DataFrame, text: str = "text") -> Da
     """(page_key, scan_id, page_no, kinds, repaired) of every page; ``clean`` has the texts the lexicon is counted over."""
     rows = spread(_pages(pages.withColumnRenamed(text, "text") if text != "text" else pages))
     known = cut_lineage(lexicon(clean))
-    sample = known.orderBy(F.desc("n"), "form").limit(FIT_WORDS).collect()
+    sample = known.where(F.length("form") <= FIT_LETTERS).orderBy(F.desc("n"), "form").limit(FIT_WORDS).collect()
     words = [(r.form, r.n) for r in sample if "-" not in r.form]
-    joins = fit_joins(words, [(r.form, r.n) for r in known.where(F.contains("form", F.lit("-"))).orderBy(F.desc("n"), "form").limit(FIT_WORDS).collect()])
+    joins = fit_joins(words, [(r.form, r.n) for r in known.where(F.contains("form", F.lit("-")) & (F.length("form") <= FIT_LETTERS)).orderBy(F.desc("n"), "form").limit(FIT_WORDS).collect()])
     ranker = fit_ranker(words)
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
