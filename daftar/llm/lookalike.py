@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daftar.session import cut_lineage
+
 # --- fixed values -------------------------------------------------------------------------------
 SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 INVISIBLE = (
@@ -248,7 +250,8 @@ def same_looking_classes(df: DataFrame, key: str, field: str) -> DataFrame:
     Records of one ``form`` look the same, those of one ``spelling`` are the same; both are hashes.  One row a record, so a form that
     holds a third of all rows is no larger than its rows.  Null and empty values are in no class; a row delivered twice counts once."""
     rows = canonical_columns(df.select(F.col(key).alias("k"), F.col(field).alias("v")).where("k is not null and v is not null and v <> ''"), ["v"], "_c")
-    rows = rows.where(F.length("v_c") > 0).select("k", F.sha2("v_c", 256).alias("form"), F.sha2("v", 256).alias("spelling")).distinct()
+    # written once: the counts and the rows below both come from it, and no text is brought to its form twice
+    rows = cut_lineage(rows.where(F.length("v_c") > 0).select("k", F.sha2("v_c", 256).alias("form"), F.sha2("v", 256).alias("spelling")).distinct())
     # spellings are counted with partial sums, and only forms of several come back
     many = rows.groupBy("form", "spelling").agg(F.count("*").alias("n")).groupBy("form").agg(F.count("*").alias("spellings"), F.sum("n").alias("n")).where("spellings > 1").select("form", "n")
     return rows.join(many, "form").select(F.lit(field).alias("field"), F.col("k").alias("key"), "form", "spelling", "n")
