@@ -17,6 +17,9 @@ LOOSE = rf"(?:{_ONE}{_WS}:?{_WS}(?:رقم{_WS}:?{_WS})?|{_MANY}{_WS}(?:رقم)?{
 ABSTENTION = "لا أستطيع الإجابة من المواد المتاحة"
 COPIED_RUN = 60
 LEAST_CLAIM = 25
+#: Starts of runs in a stretch of text, and the word of a hash's bit in :func:`hash_marks`.
+STRETCH = 256
+_WORD = "shiftrightunsigned(h, 6) & 262143L"
 # --------------------------------------------------------------------------------------------------
 
 
@@ -63,11 +66,31 @@ def copied_windows(sentence: Column) -> Column:
     return F.when(F.length(s) >= COPIED_RUN, each).otherwise(F.array().cast("array<struct<h:bigint,g:int>>"))
 
 
-def run_hashes(texts: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, h, g): each run of 60 characters of any text of the key, once.
+def run_hashes(texts: DataFrame, key: str, text: Column, marks: DataFrame | None = None) -> DataFrame:
+    """(key, h, g): each run of 60 characters of any text of the key, once; with ``marks`` those alone that :func:`marked` lets pass.
 
-    The runs are spread by their hashes, so a key of many texts is no hot partition."""
+    The runs are spread by their hashes, so a key of many texts is no hot partition.  They are many more than the texts' size lets
+    Spark's planner guess: join them with the hint ``merge``, or it may send them all through the driver."""
     rows = texts.select(key, tx.collapse(text).alias("t")).where(F.length("t") >= COPIED_RUN)
-    rows = rows.select(key, "t", F.explode(F.sequence(F.lit(1), F.greatest(F.length("t") - COPIED_RUN + 1, F.lit(1)))).alias("i"))
+    # a character of a text is found by counting from its start, so runs are cut out of stretches
+    first = F.sequence(F.lit(1), F.length("t") - COPIED_RUN + 1, F.lit(STRETCH))
+    rows = rows.select(key, "t", F.explode(first).alias("i")).select(key, F.substring(F.col("t"), F.col("i"), F.lit(STRETCH + COPIED_RUN - 1)).alias("t"))
+    rows = rows.select(key, "t", F.explode(F.sequence(F.lit(1), F.length("t") - COPIED_RUN + 1)).alias("i"))
     run = F.substring(F.col("t"), F.col("i"), F.lit(COPIED_RUN))
-    return rows.select(key, F.xxhash64(run).alias("h"), F.hash(run).alias("g")).distinct()
+    if marks is None:
+        return rows.select(key, F.xxhash64(run).alias("h"), F.hash(run).alias("g")).distinct()
+    return marked(rows.select(key, F.xxhash64(run).alias("h"), F.hash(run).alias("g")), marks).distinct()
+
+
+def hash_marks(hashed: DataFrame) -> DataFrame:
+    """(word, bits): a bit map of 2^24 bits of the hashes ``h``, at most 2^18 rows however many hashes there are.
+
+    A hash whose bit is not set is not among them.  A full map only lets more pass; what passes is still joined exactly."""
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    return hashed.select(F.expr(_WORD).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def marked(hashed: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of ``hashed`` whose hash ``h`` may be among those of ``marks``, before anything is shuffled."""
+    rows = hashed.withColumn("word", F.expr(_WORD)).join(F.broadcast(marks), "word")
+    return rows.where("shiftrightunsigned(bits, cast(h & 63 as int)) & 1L = 1L").select(*hashed.columns)

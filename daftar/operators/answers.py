@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daftar.functions import citations as ci
 from daftar.functions import text as tx
+from daftar.session import cut_lineage
 
 MOST_CLAIMS, MOST_CLAIM_TEXT = 3, 300
 ABSTENTION_GOAL, LEAST_CITED = 0.80, 10
@@ -19,8 +18,12 @@ def copied_sentences(answers: DataFrame, key: str, retrieved: str, texts: DataFr
 
     ``texts`` (number, text) may have any number of texts for an article."""
     windows = F.transform(tx.sentences(F.col(text)), lambda s, i: F.transform(ci.copied_windows(s), lambda w: F.struct(i.alias("i"), w["h"].alias("h"), w["g"].alias("g"))))
-    rows = answers.select(key, retrieved, F.explode(F.flatten(windows)).alias("w")).select(key, "w.*", F.explode(F.array_distinct(retrieved)).alias(number))
-    hits = rows.join(ci.run_hashes(texts, number, F.col("text")), [number, "h", "g"], "left_semi")
+    rows = answers.select(key, F.array_distinct(retrieved).alias("ns"), F.flatten(windows).alias("ws")).where("size(ns) > 0 and size(ws) > 0")
+    rows = cut_lineage(rows).select(key, "ns", F.explode("ws").alias("w")).select(key, "ns", "w.*")
+    # runs that no answer has and windows that no text has are left out before they meet: few of either stay
+    runs = cut_lineage(ci.run_hashes(texts, number, F.col("text"), ci.hash_marks(rows)))
+    rows = ci.marked(rows, ci.hash_marks(runs)).select(key, "i", "h", "g", F.explode("ns").alias(number))
+    hits = rows.join(runs.hint("merge"), [number, "h", "g"], "left_semi")
     return hits.groupBy(key).agg(F.collect_set("i").alias("copied"))
 
 
@@ -98,45 +101,60 @@ def gate(claims: DataFrame, sources: DataFrame, compat: bool = True) -> DataFram
 
     ``sources`` (query_id, n, article, text), n from 1.  Rules apply in that order, so no claim is dropped twice.  The sources of an
     answer (a handful) are gathered to one row and joined once."""
-    rows = _ruled(claims, sources, lambda x: ci.citations(tx.strip_invisible(x["text"])), compat)
+    rows = _ruled(claims, sources, compat)
+    cited = F.flatten(F.transform("_cited", lambda x: ci.citations(tx.strip_invisible(x["text"]))))
+    rows = rows.withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.coalesce(F.size(F.array_except("_stray", cited)) > 0, F.lit(False)), "ungrounded"))
     texts = F.transform("_cited", lambda x: tx.strip_invisible(x["text"]))
     rows = rows.withColumn("copied", F.when(F.col("reason").isNull(), ci.copied(F.col("_plain"), texts)))
-    return rows.drop("m", "k", "_plain", "_cited")
+    return rows.drop("m", "k", "_plain", "_cited", "_stray")
 
 
 def gate_corpus(claims: DataFrame, sources: DataFrame, texts: DataFrame, compat: bool = True) -> DataFrame:
     """(query_id, claim_no, reason, copied): the rules of :func:`gate` for ``sources`` (query_id, n, article) with any number of
-    ``texts`` (article, text) an article: what one of them cites is allowed, what stands in one of them is copied."""
+    ``texts`` (article, text) an article: what one of them cites is allowed, what stands in one of them is copied.
+
+    The ruled claims are written once; only their stray numbers meet what the texts cite, and only their windows the texts' runs."""
     plain = tx.strip_invisible(F.col("text"))
-    cites = texts.select("article", F.explode(ci.citations(plain)).alias("c")).groupBy("article").agg(F.collect_set("c").alias("cites"))
-    sources = sources.select("query_id", "n", "article").join(cites, "article", "left").withColumn("cites", F.coalesce("cites", F.array().cast("array<int>")))
-    rows = _ruled(claims, sources, lambda x: x["cites"], compat)
+    rows = _ruled(claims, sources.select("query_id", "n", "article"), compat)
+    open_ = F.col("reason").isNull()
     articles = F.array_distinct(F.filter(F.transform("_cited", lambda x: x["article"]), lambda a: a.isNotNull()))
-    windows = F.flatten(F.transform(ci.copied_windows(F.col("_plain")), lambda w: F.transform(articles, lambda a: F.struct(a.alias("article"), w["h"].alias("h"), w["g"].alias("g")))))
-    rows = rows.select("query_id", "claim_no", "reason", F.explode_outer(F.when(F.col("reason").isNull(), windows)).alias("w"))
-    # a claim without windows still needs a place of its own in the join
-    rows = rows.select("query_id", "claim_no", "reason", F.coalesce("w.article", F.lit(-1)).alias("article"), F.coalesce("w.h", F.xxhash64("query_id", "claim_no")).alias("h"), F.coalesce("w.g", F.lit(0)).alias("g"))
-    rows = rows.join(ci.run_hashes(texts, "article", plain).withColumn("hit", F.lit(True)), ["article", "h", "g"], "left")
-    return rows.groupBy("query_id", "claim_no", "reason").agg(F.when(F.col("reason").isNull(), F.coalesce(F.max("hit"), F.lit(False))).alias("copied"))
+    rows = rows.select("query_id", "claim_no", "reason", F.when(open_, F.col("_stray")).alias("stray"), F.when(open_, articles).alias("articles"), F.when(open_, ci.copied_windows(F.col("_plain"))).alias("ws"))
+    rows = cut_lineage(rows)
+
+    cites = texts.select("article", F.explode(ci.citations(plain)).alias("c")).distinct().withColumn("known", F.lit(True))
+    stray = rows.where("size(stray) > 0").select("query_id", "claim_no", "articles", F.explode("stray").alias("c"))
+    stray = stray.select("query_id", "claim_no", "c", F.explode_outer("articles").alias("article")).join(cites.hint("merge"), ["article", "c"], "left")
+    stray = stray.groupBy("query_id", "claim_no", "c").agg(F.max("known").alias("known")).where("known is null")
+
+    windows = rows.where("size(articles) > 0 and size(ws) > 0").select("query_id", "claim_no", "articles", F.explode("ws").alias("w"))
+    windows = windows.select("query_id", "claim_no", F.explode("articles").alias("article"), "w.*")
+    runs = ci.run_hashes(texts, "article", plain, ci.hash_marks(windows))
+    found = windows.join(runs.hint("merge"), ["article", "h", "g"], "left_semi")
+
+    marks = stray.select("query_id", "claim_no", F.lit(True).alias("away"), F.lit(False).alias("hit")).unionByName(found.select("query_id", "claim_no", F.lit(False).alias("away"), F.lit(True).alias("hit")))
+    marks = marks.groupBy("query_id", "claim_no").agg(F.max("away").alias("away"), F.max("hit").alias("hit"))
+    rows = rows.select("query_id", "claim_no", "reason").join(marks.hint("merge"), ["query_id", "claim_no"], "left")
+    reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.coalesce("away", F.lit(False)), "ungrounded")
+    return rows.select("query_id", "claim_no", reason.alias("reason"), "hit").select("query_id", "claim_no", "reason", F.when(F.col("reason").isNull(), F.coalesce("hit", F.lit(False))).alias("copied"))
 
 
-def _ruled(claims: DataFrame, sources: DataFrame, cites: Callable[[Column], Column], compat: bool) -> DataFrame:
-    """Claims with their reason, plain text and cited sources; ``cites``: numbers that a source cites."""
+def _ruled(claims: DataFrame, sources: DataFrame, compat: bool) -> DataFrame:
+    """Claims with their plain text, cited sources, the reason as far as it needs no text, and ``_stray``: cited numbers that are no
+    article of a cited source, which makes a claim ungrounded unless a text of one cites them."""
     kept = [c for c in sources.columns if c not in ("query_id", "n")]
     own = sources.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("n", F.struct(*kept)))).alias("m"), F.max("n").alias("k"))
     rows = claims.join(own, "query_id", "left").withColumn("k", F.coalesce("k", F.lit(0)))
     rows = rows.withColumn("_cited", F.filter(F.transform("sources", lambda s: F.try_element_at("m", s)), lambda x: x.isNotNull()))
     numbers = F.filter(F.transform("_cited", lambda x: x["article"]), lambda n: n.isNotNull())
-    rows = rows.withColumn("_allowed", F.array_union(numbers, F.flatten(F.transform("_cited", cites))))
     rows = rows.withColumn("_plain", tx.strip_invisible(tx.evaluation_form(F.col("text"), compat)))
+    rows = rows.withColumn("_stray", F.array_except(ci.citations(F.col("_plain")), numbers))
     hazard = tx.has_unsafe_gap(F.col("text")) | tx.has_override(F.col("text"))
-    stray = F.exists(ci.citations(F.col("_plain")), lambda n: ~F.array_contains("_allowed", n))
     reason = (
         F.when(F.coalesce(F.size("sources"), F.lit(0)) <= 0, "uncited")
         .when(F.exists("sources", lambda s: (s < 1) | (s > F.col("k"))), "fabricated")
-        .when(hazard | F.coalesce(stray, F.lit(False)), "ungrounded")
+        .when(hazard, "ungrounded")
     )
-    return rows.withColumn("reason", reason).drop("_allowed")
+    return rows.withColumn("reason", reason)
 
 
 def gate_verdicts(answers: DataFrame, gated: DataFrame) -> DataFrame:

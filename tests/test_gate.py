@@ -1,5 +1,6 @@
 import __spark_entry__ as entry
 from daftar.operators import answers as an
+from daftar.plans import catalog
 
 
 def tables(spark, path, answers, articles):
@@ -42,3 +43,29 @@ def test_gate_over_many_texts(spark):
     texts = spark.createDataFrame([(7, "نص المادة"), (7, f"تمهيد {LONG} وختام"), (33, "نص")], "article int, text string")
     got = {(r.query_id, r.claim_no): (r.reason, r.copied) for r in an.gate_corpus(claims, sources, texts, compat=False).collect()}
     assert got == {(1, 0): (None, True), (1, 1): (None, False), (1, 2): ("ungrounded", None), (1, 3): (None, False), (2, 0): ("uncited", None)}
+
+
+def broadcast_runs(df):
+    """Joins in the plan as first made, before any runtime figure, that send the runs of texts through the driver."""
+    return [x for x in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "BroadcastHashJoin [" in x and "h#" in x and "g#" in x]
+
+
+def copying_tables(spark, path):
+    return tables(spark, path, [(1, LONG + " [مادة 7]", [7]), (2, LONG, [33])], [("a", "law-7", f"تمهيد {LONG} وختام"), ("b", "law-33", "نص")])
+
+
+def test_runs_of_texts_never_pass_through_the_driver_in_app_summary(spark, tmp_path, monkeypatch):
+    # the planner takes the runs, thirty times the texts and more, for smaller than the texts
+    answers = [(1, LONG + " [مادة 7]", [7], True, [7], 1.5), (2, "وفق [مادة 7]", [7], True, [7], 0.5), (3, "لا شيء", [7], False, [7], 1.0)]
+    d = tables(spark, tmp_path, [], [("a", "law-7", f"تمهيد {LONG} وختام"), ("b", "law-33", "نص")])
+    spark.createDataFrame(answers, "answer_no bigint, text string, retrieved array<int>, answerable boolean, expected array<int>, seconds double").write.mode("overwrite").parquet(f"{d}/answer_rows.parquet")
+    plans = watch_checkpoints(monkeypatch)
+    got = entry.queries()["app_summary"](spark, d).first()
+    assert (got.answerable, got.covered, got.page_grounded, got.fabricated, got.mean_seconds) == (2, 1, 1, 1, 1.0)
+    assert plans and not any(broadcast_runs(df) for df in plans)
+
+
+def watch_checkpoints(monkeypatch):
+    plans, write = [], catalog.cut_lineage
+    monkeypatch.setattr(catalog, "cut_lineage", lambda df: plans.append(df) or write(df))
+    return plans
