@@ -50,10 +50,6 @@ def broadcast_runs(df):
     return [x for x in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "BroadcastHashJoin [" in x and "h#" in x and "g#" in x]
 
 
-def copying_tables(spark, path):
-    return tables(spark, path, [(1, LONG + " [مادة 7]", [7]), (2, LONG, [33])], [("a", "law-7", f"تمهيد {LONG} وختام"), ("b", "law-33", "نص")])
-
-
 def test_runs_of_texts_never_pass_through_the_driver_in_app_summary(spark, tmp_path, monkeypatch):
     # the planner takes the runs, thirty times the texts and more, for smaller than the texts
     answers = [(1, LONG + " [مادة 7]", [7], True, [7], 1.5), (2, "وفق [مادة 7]", [7], True, [7], 0.5), (3, "لا شيء", [7], False, [7], 1.0)]
@@ -69,3 +65,13 @@ def watch_checkpoints(monkeypatch):
     plans, write = [], catalog.cut_lineage
     monkeypatch.setattr(catalog, "cut_lineage", lambda df: plans.append(df) or write(df))
     return plans
+
+
+def test_claims_report_counts_copies_and_leaves_the_runs_to_the_executors(spark, tmp_path, monkeypatch):
+    answers = [(1, LONG + " [مادة 7]", [7, 33], True, [33], 1.5), (2, "وفق [مادة 7]", [7], True, [7], 0.5)]
+    d = tables(spark, tmp_path, [], [("a", "law-7", f"تمهيد {LONG} وختام"), ("b", "law-33", "نص")])
+    spark.createDataFrame(answers, "answer_no bigint, text string, retrieved array<int>, answerable boolean, expected array<int>, seconds double").write.mode("overwrite").parquet(f"{d}/answer_rows.parquet")
+    plans = watch_checkpoints(monkeypatch)
+    got = entry.queries()["claims_report"](spark, d).first()
+    assert (got.kept_claims, got.copied_claims, got.cited_expected, got.fabricated) == (2, 1, 2, 0)
+    assert plans and not any(broadcast_runs(df) for df in plans)
