@@ -1,4 +1,7 @@
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from daftar.functions import citations
 from daftar.operators import answers as an
 from daftar.plans import catalog
 
@@ -75,3 +78,26 @@ def test_claims_report_counts_copies_and_leaves_the_runs_to_the_executors(spark,
     got = entry.queries()["claims_report"](spark, d).first()
     assert (got.kept_claims, got.copied_claims, got.cited_expected, got.fabricated) == (2, 1, 2, 0)
     assert plans and not any(broadcast_runs(df) for df in plans)
+
+
+def test_gate_claims_joins_runs_by_shuffle_and_resolves_stray_numbers(spark, tmp_path):
+    # the second text of law-7 cites 33, so a claim of its own that does so by another writing is grounded; 34 is cited by none
+    arts = [("a", "law-7", f"تمهيد {LONG} وختام"), ("b", "law-33", "نص")]
+    d = tables(spark, tmp_path, [(1, f"{LONG} [مادة 7]. كما في المادة 3​3 وفق [مادة 7]. كما في المادة 3​4 وفق [مادة 7]", [3, 7, 33])], arts)
+    df = entry.queries()["gate_claims"](spark, d)
+    assert {r.claim_no: (r.reason, r.copied) for r in df.collect()} == {0: ("kept", True), 1: ("kept", False), 2: ("ungrounded", None)}
+    assert not broadcast_runs(df)
+
+
+def test_runs_of_long_texts_are_all_there(spark):
+    """Stretches overlap, so no run is lost where one ends; a full bit map lets all pass, an empty one none."""
+    text = "".join(chr(0x628 + (i * i + i // 7) % 19) for i in range(1100))
+    texts = spark.createDataFrame([(7, text), (7, text[:59]), (8, text[250:330])], "article int, text string")
+    runs = citations.run_hashes(texts, "article", F.col("text"))
+    want = {(n, t[i : i + 60]) for n, t in ((7, text), (8, text[250:330])) for i in range(len(t) - 59)}
+    hashed = spark.createDataFrame(sorted(want), "article int, run string").select("article", F.xxhash64("run").alias("h"), F.hash("run").alias("g"))
+    assert {tuple(r) for r in runs.collect()} == {tuple(r) for r in hashed.collect()}
+    some = hashed.where("pmod(g, 10) = 0")
+    kept = citations.run_hashes(texts, "article", F.col("text"), citations.hash_marks(some))
+    assert {tuple(r) for r in some.collect()} <= {tuple(r) for r in kept.collect()} and kept.count() < len(want) // 5
+    assert citations.run_hashes(texts, "article", F.col("text"), citations.hash_marks(hashed.limit(0))).count() == 0
