@@ -101,3 +101,11 @@ def test_runs_of_long_texts_are_all_there(spark):
     kept = citations.run_hashes(texts, "article", F.col("text"), citations.hash_marks(some))
     assert {tuple(r) for r in some.collect()} <= {tuple(r) for r in kept.collect()} and kept.count() < len(want) // 5
     assert citations.run_hashes(texts, "article", F.col("text"), citations.hash_marks(hashed.limit(0))).count() == 0
+
+
+def test_audit_joins_runs_by_shuffle(spark, tmp_path):
+    arts = [("a", "law-7", f"تمهيد {LONG} وختام"), ("b", "law-33", "نص"), ("c", "law-8", f"{LONG} وختام")]
+    d = tables(spark, tmp_path, [(1, LONG + " [مادة 7]", [7, 7, 33]), (2, LONG, [33]), (3, None, [7]), (4, LONG + " [مادة 8]", None), (5, LONG, [7, 8])], arts)
+    df = entry.queries()["audit_answers"](spark, d)
+    assert {r.answer_no: (r.copied, r.cited, r.uncited) for r in df.collect()} == {1: ("7,33", "", 1), 2: ("", "33", 0), 3: ("", "", 0), 4: ("", "8,33", 0), 5: ("33", "", 1)}
+    assert not broadcast_runs(df)
