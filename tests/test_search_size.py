@@ -46,6 +46,14 @@ def test_ablation_table_writes_no_terms(spark, tmp_path, no_tokens_written):
     against_sql(spark, tables(spark, tmp_path), "ablation_table")
 
 
+def test_orthographic_stability_writes_no_terms(spark, tmp_path, no_tokens_written):
+    against_sql(spark, tables(spark, tmp_path), "orthographic_stability")
+
+
+def test_orthographic_sweep_writes_no_terms(spark, tmp_path, no_tokens_written):
+    against_sql(spark, tables(spark, tmp_path), "orthographic_sweep")
+
+
 @pytest.mark.parametrize("ties", ["asc", "desc"])
 def test_blocks_and_partitions_keep_the_best(spark, no_tokens_written, monkeypatch, ties):
     monkeypatch.setattr(lexical, "BLOCK", 4)
