@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +16,13 @@ _ONE = "(?:ال)?مادة"
 _MANY = "(?:ال)?(?:مادتين|مادتي|مواد|مادتان)"
 STRICT = rf"\[{_WS}{_ONE}{_WS}\(?{_WS}({_NUMBER}){_WS}\)?{_WS}\]"
 LOOSE = rf"(?:{_ONE}{_WS}:?{_WS}(?:رقم{_WS}:?{_WS})?|{_MANY}{_WS}(?:رقم)?{_WS})((?:[(\[]?{_WS}{_NUMBER}{_WS}[)\]]?{_WS}[،,و]?{_WS}){{1,8}})"
+#: One of them stands in whatever either pattern takes.
+STEMS = ("ماد", "مواد")
 ABSTENTION = "لا أستطيع الإجابة من المواد المتاحة"
 COPIED_RUN = 60
 LEAST_CLAIM = 25
-#: Starts of runs in a stretch of text, and the word of a hash's bit in :func:`hash_marks`.
-STRETCH = 256
+#: Starts of runs in a stretch of text and in a stretch of that, and the word of a hash's bit in :func:`hash_marks`.
+STRETCHES = (4096, 64)
 _WORD = "shiftrightunsigned(h, 6) & 262143L"
 # --------------------------------------------------------------------------------------------------
 
@@ -39,8 +43,10 @@ def loose_citations(c: Column) -> Column:
 
 
 def citations(c: Column) -> Column:
-    """Both kinds, each number once, strict ones first."""
-    return F.array_distinct(F.concat(strict_citations(c), loose_citations(c)))
+    """Both kinds, each number once, strict ones first.  A text without the stem of any word for an article is not searched."""
+    both = F.array_distinct(F.concat(strict_citations(c), loose_citations(c)))
+    named = reduce(Column.__or__, [F.contains(c, F.lit(x)) for x in STEMS])
+    return F.when(named | c.isNull(), both).otherwise(F.array().cast("array<int>"))
 
 
 def is_abstention(c: Column) -> Column:
@@ -60,10 +66,13 @@ def copied(sentence: Column, context: Column) -> Column:
 
 def copied_windows(sentence: Column) -> Column:
     """Hashes (h, g: 96 bits) of the runs that :func:`copied` tries, to be met with :func:`run_hashes` of texts."""
-    s = tx.collapse(sentence)
-    starts = F.sequence(F.lit(1), F.greatest(F.length(s) - COPIED_RUN + 1, F.lit(1)), F.lit(COPIED_RUN // 2))
-    each = F.transform(F.transform(starts, lambda i: F.substring(s, i, F.lit(COPIED_RUN))), lambda w: F.struct(F.xxhash64(w).alias("h"), F.hash(w).alias("g")))
-    return F.when(F.length(s) >= COPIED_RUN, each).otherwise(F.array().cast("array<struct<h:bigint,g:int>>"))
+    def hashed(s: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(s) - COPIED_RUN + 1, F.lit(1)), F.lit(COPIED_RUN // 2))
+        each = F.transform(F.transform(starts, lambda i: F.substring(s, i, F.lit(COPIED_RUN))), lambda w: F.struct(F.xxhash64(w).alias("h"), F.hash(w).alias("g")))
+        return F.when(F.length(s) >= COPIED_RUN, each).otherwise(F.array().cast("array<struct<h:bigint,g:int>>"))
+
+    # the sentence is collapsed once, not once a run
+    return tx.bound(tx.collapse(sentence), hashed)
 
 
 def run_hashes(texts: DataFrame, key: str, text: Column, marks: DataFrame | None = None) -> DataFrame:
@@ -73,13 +82,13 @@ def run_hashes(texts: DataFrame, key: str, text: Column, marks: DataFrame | None
     Spark's planner guess: join them with the hint ``merge``, or it may send them all through the driver."""
     rows = texts.select(key, tx.collapse(text).alias("t")).where(F.length("t") >= COPIED_RUN)
     # a character of a text is found by counting from its start, so runs are cut out of stretches
-    first = F.sequence(F.lit(1), F.length("t") - COPIED_RUN + 1, F.lit(STRETCH))
-    rows = rows.select(key, "t", F.explode(first).alias("i")).select(key, F.substring(F.col("t"), F.col("i"), F.lit(STRETCH + COPIED_RUN - 1)).alias("t"))
+    for stretch in STRETCHES:
+        first = F.sequence(F.lit(1), F.length("t") - COPIED_RUN + 1, F.lit(stretch))
+        rows = rows.select(key, "t", F.explode(first).alias("i")).select(key, F.substring(F.col("t"), F.col("i"), F.lit(stretch + COPIED_RUN - 1)).alias("t"))
     rows = rows.select(key, "t", F.explode(F.sequence(F.lit(1), F.length("t") - COPIED_RUN + 1)).alias("i"))
-    run = F.substring(F.col("t"), F.col("i"), F.lit(COPIED_RUN))
-    if marks is None:
-        return rows.select(key, F.xxhash64(run).alias("h"), F.hash(run).alias("g")).distinct()
-    return marked(rows.select(key, F.xxhash64(run).alias("h"), F.hash(run).alias("g")), marks).distinct()
+    rows = rows.select(key, F.substring(F.col("t"), F.col("i"), F.lit(COPIED_RUN)).alias("run")).select(key, "run", F.xxhash64("run").alias("h"))
+    rows = rows if marks is None else marked(rows, marks)
+    return rows.select(key, "h", F.hash("run").alias("g")).distinct()
 
 
 def hash_marks(hashed: DataFrame) -> DataFrame:

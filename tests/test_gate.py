@@ -109,3 +109,10 @@ def test_audit_joins_runs_by_shuffle(spark, tmp_path):
     df = entry.queries()["audit_answers"](spark, d)
     assert {r.answer_no: (r.copied, r.cited, r.uncited) for r in df.collect()} == {1: ("7,33", "", 1), 2: ("", "33", 0), 3: ("", "", 0), 4: ("", "8,33", 0), 5: ("33", "", 1)}
     assert not broadcast_runs(df)
+
+
+def test_windows_collapse_their_sentence_once(spark):
+    assert str(citations.copied_windows(F.col("s"))).count("regexp_replace") == 1
+    text = "  " + "".join(chr(0x628 + (i * i + i // 7) % 19) for i in range(200)) + " \n x"
+    got = spark.createDataFrame([(text,), ("short",), (None,)], "s string").select(F.size(citations.copied_windows(F.col("s"))).alias("n"))
+    assert [r.n for r in got.collect()][:2] == [5, 0]
