@@ -109,16 +109,17 @@ def gate(claims: DataFrame, sources: DataFrame, compat: bool = True) -> DataFram
     return rows.drop("m", "k", "_plain", "_cited", "_stray")
 
 
-def gate_corpus(claims: DataFrame, sources: DataFrame, texts: DataFrame, compat: bool = True) -> DataFrame:
-    """(query_id, claim_no, reason, copied): the rules of :func:`gate` for ``sources`` (query_id, n, article) with any number of
-    ``texts`` (article, text) an article: what one of them cites is allowed, what stands in one of them is copied.
+def gate_corpus(claims: DataFrame, sources: DataFrame | str, texts: DataFrame, compat: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, claim_no, reason, copied, articles): the rules of :func:`gate` for ``sources`` (query_id, n, article), or the column
+    of ``claims`` that lists their articles, with any number of ``texts`` (article, text) an article: what one of them cites is allowed,
+    what stands in one of them is copied.  ``articles`` are those that a kept claim rests on; columns of ``claims`` to ``keep`` follow.
 
     The ruled claims are written once; only their stray numbers meet what the texts cite, and only their windows the texts' runs."""
     plain = tx.strip_invisible(F.col("text"))
-    rows = _ruled(claims, sources.select("query_id", "n", "article"), compat)
+    rows = _ruled(claims, sources if isinstance(sources, str) else sources.select("query_id", "n", "article"), compat)
     open_ = F.col("reason").isNull()
     articles = F.array_distinct(F.filter(F.transform("_cited", lambda x: x["article"]), lambda a: a.isNotNull()))
-    rows = rows.select("query_id", "claim_no", "reason", F.when(open_, F.col("_stray")).alias("stray"), F.when(open_, articles).alias("articles"), F.when(open_, ci.copied_windows(F.col("_plain"))).alias("ws"))
+    rows = rows.select("query_id", "claim_no", "reason", F.when(open_, F.col("_stray")).alias("stray"), F.when(open_, articles).alias("articles"), F.when(open_, ci.copied_windows(F.col("_plain"))).alias("ws"), *keep)
     rows = cut_lineage(rows)
 
     cites = texts.select("article", F.explode(ci.citations(plain)).alias("c")).distinct().withColumn("known", F.lit(True))
@@ -133,18 +134,24 @@ def gate_corpus(claims: DataFrame, sources: DataFrame, texts: DataFrame, compat:
 
     marks = stray.select("query_id", "claim_no", F.lit(True).alias("away"), F.lit(False).alias("hit")).unionByName(found.select("query_id", "claim_no", F.lit(False).alias("away"), F.lit(True).alias("hit")))
     marks = marks.groupBy("query_id", "claim_no").agg(F.max("away").alias("away"), F.max("hit").alias("hit"))
-    rows = rows.select("query_id", "claim_no", "reason").join(marks.hint("merge"), ["query_id", "claim_no"], "left")
+    rows = rows.select("query_id", "claim_no", "reason", "articles", *keep).join(marks.hint("merge"), ["query_id", "claim_no"], "left")
     reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.coalesce("away", F.lit(False)), "ungrounded")
-    return rows.select("query_id", "claim_no", reason.alias("reason"), "hit").select("query_id", "claim_no", "reason", F.when(F.col("reason").isNull(), F.coalesce("hit", F.lit(False))).alias("copied"))
+    open_ = F.col("reason").isNull()
+    rows = rows.select("query_id", "claim_no", reason.alias("reason"), "hit", "articles", *keep)
+    return rows.select("query_id", "claim_no", "reason", F.when(open_, F.coalesce("hit", F.lit(False))).alias("copied"), F.when(open_, F.col("articles")).alias("articles"), *keep)
 
 
-def _ruled(claims: DataFrame, sources: DataFrame, compat: bool) -> DataFrame:
+def _ruled(claims: DataFrame, sources: DataFrame | str, compat: bool) -> DataFrame:
     """Claims with their plain text, cited sources, the reason as far as it needs no text, and ``_stray``: cited numbers that are no
     article of a cited source, which makes a claim ungrounded unless a text of one cites them."""
-    kept = [c for c in sources.columns if c not in ("query_id", "n")]
-    own = sources.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("n", F.struct(*kept)))).alias("m"), F.max("n").alias("k"))
-    rows = claims.join(own, "query_id", "left").withColumn("k", F.coalesce("k", F.lit(0)))
-    rows = rows.withColumn("_cited", F.filter(F.transform("sources", lambda s: F.try_element_at("m", s)), lambda x: x.isNotNull()))
+    if isinstance(sources, str):
+        rows = claims.withColumn("k", F.coalesce(F.size(sources), F.lit(0)))
+        rows = rows.withColumn("_cited", F.transform(F.filter("sources", lambda s: (s >= 1) & (s <= F.col("k"))), lambda s: F.struct(F.get(sources, s - 1).alias("article"))))
+    else:
+        kept = [c for c in sources.columns if c not in ("query_id", "n")]
+        own = sources.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("n", F.struct(*kept)))).alias("m"), F.max("n").alias("k"))
+        rows = claims.join(own, "query_id", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+        rows = rows.withColumn("_cited", F.filter(F.transform("sources", lambda s: F.try_element_at("m", s)), lambda x: x.isNotNull()))
     numbers = F.filter(F.transform("_cited", lambda x: x["article"]), lambda n: n.isNotNull())
     rows = rows.withColumn("_plain", tx.strip_invisible(tx.evaluation_form(F.col("text"), compat)))
     rows = rows.withColumn("_stray", F.array_except(ci.citations(F.col("_plain")), numbers))
@@ -276,7 +283,8 @@ def set_changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def claims_report(answers: DataFrame, verdicts: DataFrame, claims: DataFrame, least_cited: int = LEAST_CITED) -> DataFrame:
     """One row: a claims run in figures, and whether it may be adopted.
 
-    ``answers`` (query_id, answerable, cites_expected), ``verdicts`` as of :func:`gate_verdicts`, ``claims`` (query_id, text, reason, copied).
+    ``answers`` (query_id, answerable, cites_expected), ``verdicts`` as of :func:`gate_verdicts`, ``claims`` (query_id, reason, copied, and
+    text, or short: whether it is shorter than a claim).
     Claims of an abstention were not checked and count as ignored only.  Adopted: nothing fabricated, four fifths of the unanswerable
     questions declined, enough expected articles cited."""
     rows = answers.join(verdicts, "query_id")
@@ -292,7 +300,8 @@ def claims_report(answers: DataFrame, verdicts: DataFrame, claims: DataFrame, le
         *[total(c) for c in ("ignored_on_abstain", "fabricated", "uncited", "ungrounded")],
     )
     kept = claims.where("reason is null").join(verdicts.where("kept > 0").select("query_id"), "query_id", "left_semi")
-    texts = kept.agg(F.count("*").alias("kept_claims"), F.count_if(F.coalesce("copied", F.lit(False))).alias("copied_claims"), F.count_if(F.length(F.trim("text")) < ci.LEAST_CLAIM).alias("short_claims"))
+    short = F.col("short") if "short" in claims.columns else F.length(F.trim("text")) < ci.LEAST_CLAIM
+    texts = kept.agg(F.count("*").alias("kept_claims"), F.count_if(F.coalesce("copied", F.lit(False))).alias("copied_claims"), F.count_if(short).alias("short_claims"))
     rate = F.when(F.col("unanswerable") > 0, F.col("right_abstentions") / F.col("unanswerable")).otherwise(0.0)
     out = out.crossJoin(F.broadcast(texts)).withColumn("abstention_rate", F.round(rate, 4))
     return out.withColumn("adopted", (F.col("fabricated") == 0) & (rate >= ABSTENTION_GOAL) & (F.col("cited_expected") >= least_cited))

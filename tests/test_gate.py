@@ -111,6 +111,18 @@ def test_audit_joins_runs_by_shuffle(spark, tmp_path):
     assert not broadcast_runs(df)
 
 
+def test_sources_listed_with_the_claims_need_no_table(spark):
+    """The same verdicts for the retrieved list as a column as for a table of its places; no shuffle gathers it again."""
+    rows = [(1, 0, LONG + " [مادة 7]", [1], [7, 33, 7]), (1, 1, "المادة 34", [2], [7, 33, 7]), (1, 2, "المادة 33", [3, 2], [7, 33, 7]), (1, 3, "x", [0], [7, 33, 7]), (1, 4, "x", [4], [7, 33, 7]), (2, 0, "x", [1], []), (3, 0, "x", [], [7]), (3, 1, "x", None, [7]), (4, 0, "x", [2], [7, None])]
+    claims = spark.createDataFrame(rows, "query_id bigint, claim_no int, text string, sources array<int>, retrieved array<int>")
+    sources = spark.createDataFrame([(1, 1, 7), (1, 2, 33), (1, 3, 7), (3, 1, 7), (4, 1, 7), (4, 2, None)], "query_id bigint, n int, article int")
+    texts = spark.createDataFrame([(7, f"تمهيد {LONG} وختام"), (33, "نص")], "article int, text string")
+    got = {(r.query_id, r.claim_no): (r.reason, r.copied) for r in an.gate_corpus(claims, "retrieved", texts, compat=False).collect()}
+    assert got == {(r.query_id, r.claim_no): (r.reason, r.copied) for r in an.gate_corpus(claims, sources, texts, compat=False).collect()}
+    assert [got[1, i] for i in range(5)] == [(None, True), ("ungrounded", None), (None, False), ("fabricated", None), ("fabricated", None)]
+    assert [got[2, 0], got[3, 0], got[3, 1], got[4, 0]] == [("fabricated", None), ("uncited", None), ("uncited", None), (None, False)]
+
+
 def test_windows_collapse_their_sentence_once(spark):
     assert str(citations.copied_windows(F.col("s"))).count("regexp_replace") == 1
     text = "  " + "".join(chr(0x628 + (i * i + i // 7) % 19) for i in range(200)) + " \n x"
