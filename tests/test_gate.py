@@ -111,6 +111,18 @@ def test_audit_joins_runs_by_shuffle(spark, tmp_path):
     assert not broadcast_runs(df)
 
 
+def test_claims_report_splits_answers_into_sentences_once(spark, tmp_path):
+    """The claims that the gate kept are counted; what they rest on is not worked out again."""
+    answers = [(1, LONG + " [مادة 7]. قصير [مادة 33]", [7, 33], True, [33], 1.5), (2, "وفق [مادة 8]. وفق [مادة 7]", [7], True, [8], 0.5), (3, None, None, False, None, 1.0)]
+    d = tables(spark, tmp_path, [], [("a", "law-7", f"تمهيد {LONG} وختام"), ("b", "law-33", "نص")])
+    spark.createDataFrame(answers, "answer_no bigint, text string, retrieved array<int>, answerable boolean, expected array<int>, seconds double").write.mode("overwrite").parquet(f"{d}/answer_rows.parquet")
+    df = entry.queries()["claims_report"](spark, d)
+    got = df.first()
+    assert (got.kept_claims, got.copied_claims, got.short_claims, got.cited_expected, got.fabricated) == (3, 1, 2, 1, 1)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "regexp_replace(" not in plan
+
+
 def test_sources_listed_with_the_claims_need_no_table(spark):
     """The same verdicts for the retrieved list as a column as for a table of its places; no shuffle gathers it again."""
     rows = [(1, 0, LONG + " [مادة 7]", [1], [7, 33, 7]), (1, 1, "المادة 34", [2], [7, 33, 7]), (1, 2, "المادة 33", [3, 2], [7, 33, 7]), (1, 3, "x", [0], [7, 33, 7]), (1, 4, "x", [4], [7, 33, 7]), (2, 0, "x", [1], []), (3, 0, "x", [], [7]), (3, 1, "x", None, [7]), (4, 0, "x", [2], [7, None])]
