@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from daftar.functions import citations as ci
@@ -30,6 +32,20 @@ def test_search_and_content_tokens(spark):
     assert one(spark, "...", tx.search_tokens(F.col("t"))) == []
 
 
+def test_search_tokens_take_no_token_by_itself(spark):
+    """The whole text goes through a few passes, and the tokens are those of the forms that they are made of."""
+    rng = random.Random(6)
+    pieces = [*tx.CLITICS, *"\u0610\u061a\u064b\u064e\u0651\u065f\u0670\u06d6\u06dd\u06ed\u0640", *tx.DIGITS_FROM, *tx.FOLD_FROM, *"بتمكولا" * 6, *" " * 25, *"\t\n\r\x1c\x1f\x85\xa0\u2003\u2028\u3000\u200f\u200d", *".،؟-_[]$\\", "a", "Z", "é", "e\u0301", "7", "Ⅷ", "²", "𞤀", "😀", "ﻻ", "م\0م"]
+    texts = ["".join(rng.choice(pieces) for _ in range(i % 60)) for i in range(600)]
+    rows = spark.createDataFrame([(t,) for t in [*texts, *tx.CLITICS, *[c + w for c in tx.CLITICS for w in ("كتب", "كت", " كتب", "كـتَ", "و😀اب")], None]], "t string")
+    for compat in (False, True):
+        got = rows.select(tx.search_tokens(F.col("t"), compat).alias("x"))
+        assert "lambda" not in got._jdf.queryExecution().analyzed().toString()
+        whole = tx.collapse(F.regexp_replace(tx.orthographic_form(F.col("t"), compat), tx.NOT_WORD, " "))
+        want = rows.select(F.transform(tx.tokens(whole), tx.strip_clitic).alias("x"))
+        assert [r.x for r in got.collect()] == [r.x for r in want.collect()]
+
+
 def test_typist_forms(spark):
     assert one(spark, "الدعائية على أ", tx.typist_form(F.col("t"), "ta_marbuta")) == "الدعائيه على أ"
     assert one(spark, "مسؤول على أمة", tx.typist_form(F.col("t"), "all")) == "مسوول علي امه"
